@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import exact_dedup, mixing, sharding
+from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, token_files
 from scholium.llm.common import load
 
 
@@ -18,10 +18,25 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(load(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark, sf_dir):
+    return token_files.round_trip(load(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality.score(load(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark, sf_dir):
+    return bpe.encode_documents(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op6_sharding": op6_sharding,
+    "op8_token_files": op8_token_files,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {

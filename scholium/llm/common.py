@@ -60,3 +60,21 @@ def key60(*columns: Column) -> Column:
     """The first 60 bits of an MD5, as a non-negative long."""
     digest = F.md5(F.concat_ws("\x1f", *columns))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``chosen`` (doc_id, text_sha256) names, each once.
+
+    Rows of ``docs`` that agree in doc_id and text are one row here, whatever
+    their other columns hold; only such rows are grouped, by themselves.
+    """
+    marked = docs.withColumn("_sha_of", F.sha2(text_of().cast("binary"), 256))
+    names = chosen.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    same = (F.col("_sha_of") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = marked.join(names, same, "left_semi")
+    repeated = marked.groupBy(F.col("doc_id").alias("_id"), F.col("_sha_of").alias("_sha")).count().where("count > 1").drop("count")
+    repeated = written(repeated, "repeated-rows")
+    if repeated.isEmpty():
+        return rows.drop("_sha_of")
+    once = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_sha_of"])
+    return rows.join(repeated, same, "left_anti").unionByName(once).drop("_sha_of")

@@ -110,7 +110,11 @@ def odd_words(x: Facts) -> bool:
     return not 2 * x.n_words <= x.word_chars <= 20 * x.n_words
 
 
-RULES = (too_short, too_repetitive, too_many_symbols, too_many_copied_lines, odd_words)
+def stuttering(x: Facts) -> bool:
+    return 100 * sum(map(bytes.__eq__, x.words, x.words[1:])) > 30 * x.n_words
+
+
+RULES = (too_short, too_repetitive, too_many_symbols, too_many_copied_lines, odd_words, stuttering)
 BASE = (too_short, too_repetitive)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, token_files
+from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_files
 from scholium.llm.common import load
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op6_sharding": op6_sharding,

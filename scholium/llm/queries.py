@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_files
+from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files
 from scholium.llm.common import load
 
 
@@ -22,6 +22,10 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(load(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.round_trip(load(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op6_sharding": op6_sharding,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files
+from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files
 from scholium.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeated_bytes(load(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(load(spark, sf_dir, "documents"))
 
@@ -42,8 +46,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_sharding": op6_sharding,
-    "op7_substring_dedup": op7_substring_dedup,
+    "op7_substring_dedup": op7_substring_dedup, suffix_dedup,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,

@@ -80,9 +80,9 @@ def words_of(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed(between(prefix_sums(_BYTES[buffer]), start, end)), start, end
 
 
-def least_grams(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """Places of the grams that the ``valid`` windows of ``width`` grams name, ascending."""
-    out, step, low = [], (1 << PLACES) - width, _U((1 << PLACES) - 1)
+def named_grams(grams: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, place of the gram named by each window of ``width`` grams from start on), in slices."""
+    step, low = (1 << PLACES) - width, _U((1 << PLACES) - 1)
     for a in range(0, max(len(grams) - width + 1, 0), step):
         part = grams[a : a + step + width - 1]
         least, size = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
@@ -90,10 +90,15 @@ def least_grams(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
             least, size = np.minimum(least[:-size], least[size:]), 2 * size
         if size < width:
             least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-        picked = least[valid[a : a + len(least)]] & low
-        flag = np.zeros(len(part), bool)
-        flag[picked.astype(np.int64)] = True
-        out.append(np.flatnonzero(flag) + a)
+        yield a, (least & low).astype(np.int64) + a
+
+
+def least_grams(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
+    """Places of the grams that the ``valid`` windows name, ascending."""
+    out = []
+    for a, named in named_grams(grams, width):
+        named = named[valid[a : a + len(named)]]  # never descends
+        out.append(named[np.diff(named, prepend=-1) > 0])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
@@ -178,12 +183,12 @@ def representatives(rows: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, rows: DataFrame, reps: DataFrame, other_text: bool) -> DataFrame:
-    """Writes did, th, text, places of the representatives with a seed that another place has.
+    """Writes did, th, text, copies, places of the representatives with a seed that another place has.
 
     ``other_text``: the other place must be in another text.
     """
-    own = written(rows.join(reps.select("did", "th", "copies"), ["did", "th"]).select("did", "th", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("did", "th", "x.*"), "own-seeds")
+    own = written(rows.join(reps.select("did", "th", "copies"), ["did", "th"]).select("did", "th", "copies", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("did", "th", "copies", "x.*"), "own-seeds")
     groups = own.groupBy("grams").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("low"), F.max("th").alias("high"))
     shared = groups.where("low < high" if other_text else "n > 1").select("grams")
-    places = own.join(shared, "grams", "left_semi").groupBy("did", "th").agg(F.collect_set("places").alias("places"))
+    places = own.join(shared, "grams", "left_semi").groupBy("did", "th", "copies").agg(F.collect_set("places").alias("places"))
     return written(keyed(docs).join(places, ["did", "th"]), "seeded-texts")

@@ -31,7 +31,7 @@ LONG_WORD = 512
 #: Symbols of a leaf of the tree, and tokens on each side of a join at first.
 LEAF, JOIN = 128, 4
 #: Words, and pieces of words, that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Words that need no normalising but lower case, and their pieces. The file's pattern over these characters.
 _USUAL = re.compile("[!-~À-ÿŒœ]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+")

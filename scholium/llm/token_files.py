@@ -39,7 +39,7 @@ BLOCK_TOKENS = 1_000_000
 PART_DOCS = 8192
 MAGIC = b"RPR1"
 #: A round replaces pairs seen this often or more; rounds end when they save under this share.
-MIN_COUNT, MIN_GAIN, MAX_SYMBOLS, ROUND_RULES = 4, 0.02, 1 << 16, 4096
+MIN_COUNT, MIN_GAIN, MAX_SYMBOLS, ROUND_RULES = 8, 0.04, 1 << 16, 4096
 
 
 def re_pair(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:

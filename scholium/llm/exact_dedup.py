@@ -18,7 +18,7 @@ import itertools
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scholium.llm.common import text_of, written
+from scholium.llm.common import only, text_of, written
 
 BLOCK_BYTES = 4096
 
@@ -91,24 +91,12 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
     """
     rows = written(identities(docs, **options), "identities")
     groups = rows.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", (-F.col("uid")).alias("order"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups, "groups")  # so that Spark can split the join of a hot group
     return rows.join(groups, ["n_blocks", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("uid") == -F.col("best.order")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without the copies.
-
-    Rows that agree in doc_id and text but differ in other columns are copies
-    too; one of them stays.
-    """
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.select("*", F.sha2(text_of().cast("binary"), 256).alias("_sha_of"))
-    rows = marked.join(kept, (F.col("_sha_of") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = marked.groupBy(F.col("doc_id").alias("_id"), F.col("_sha_of").alias("_sha")).count().where("count > 1").drop("count")
-    repeated = written(repeated, "repeated-rows")
-    if repeated.isEmpty():
-        return rows.drop("_sha_of")
-    same = (F.col("_sha_of") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_sha_of"])
-    return rows.join(repeated, same, "left_anti").unionByName(once).drop("_sha_of")
+    """The rows of ``docs``, all columns, without the copies."""
+    return only(docs, exact_groups(docs).where("kept"))

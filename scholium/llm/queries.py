@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files
+from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files, toxicity
 from scholium.llm.common import load
 
 
@@ -22,6 +22,11 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeated_bytes(load(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(load(spark, sf_dir, "documents"))
 
@@ -42,13 +47,21 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode_documents(load(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
-    "op7_substring_dedup": op7_substring_dedup, suffix_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,

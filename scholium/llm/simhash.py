@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """
     rows = written(fingerprints(docs), "simhash")
     rooted = written(_with_components(rows, node_rows), "simhash-roots")
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    names = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-names")  # so that Spark can split the join of a hot root
     return rooted.join(names, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,0 +1,3 @@
+"""Imports every module that registers queries."""
+
+from scholium.queries import retrieval  # noqa: F401

@@ -42,7 +42,7 @@ def questions(spark, sf_dir: str) -> DataFrame:
 
 
 EVENTS_SQL = """ev AS (SELECT user_id, event_id % 40 AS concept_id, CASE WHEN event_type = 'purchase' THEN 'concept_mastered' ELSE event_type END AS kind,
-    least(value / 100.0, 1.0) AS mastery, 1.0 AS weight, epoch_us(ts) / 1e6 AS at, ts AS occurred_at, event_id, event_type FROM events)"""
+    least(value / 100.0, 1.0) AS mastery, 1.0 AS weight, epoch_us(ts) / 1e6 AS moment, ts AS occurred_at, event_id, event_type FROM events)"""
 
 
 def progress_events(spark, sf_dir: str) -> DataFrame:
@@ -79,13 +79,13 @@ def edges(spark, sf_dir: str) -> DataFrame:
 
 
 USAGE_SQL = """usage AS (SELECT CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'gpt-4o-mini' WHEN 'NF' THEN 'gpt-4.1' WHEN 'NO' THEN 'openai/gpt-4o' ELSE 'local-model' END AS model,
-    (l_quantity * 100)::BIGINT AS prompt_tokens, (l_linenumber * 50)::BIGINT AS completion_tokens, l_tax > 0.06 AS fallback_used, l_shipmode AS task FROM lineitem)"""
+    (l_quantity * 100)::BIGINT AS prompt_tokens, (l_linenumber * 50)::BIGINT AS completion_tokens, l_tax > 0.06 AS fallback_used, l_linenumber AS task FROM lineitem)"""
 
 
 def usage(spark, sf_dir: str) -> DataFrame:
     key = F.concat("l_returnflag", "l_linestatus")
     model = F.when(key == "AF", "gpt-4o-mini").when(key == "NF", "gpt-4.1").when(key == "NO", "openai/gpt-4o").otherwise("local-model")
-    return table(spark, sf_dir, "lineitem").select(model.alias("model"), (F.col("l_quantity") * 100).cast("long").alias("prompt_tokens"), (F.col("l_linenumber") * 50).cast("long").alias("completion_tokens"), (F.col("l_tax") > 0.06).alias("fallback_used"), F.col("l_shipmode").alias("task"))
+    return table(spark, sf_dir, "lineitem").select(model.alias("model"), (F.col("l_quantity") * 100).cast("long").alias("prompt_tokens"), (F.col("l_linenumber") * 50).cast("long").alias("completion_tokens"), (F.col("l_tax") > 0.06).alias("fallback_used"), F.col("l_linenumber").alias("task"))
 
 
 # Prices of a million tokens by part of the model's name; the first hit counts.

@@ -189,6 +189,6 @@ def repeated(docs: DataFrame, rows: DataFrame, reps: DataFrame, other_text: bool
     """
     own = written(rows.join(reps.select("did", "th", "copies"), ["did", "th"]).select("did", "th", "copies", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("did", "th", "copies", "x.*"), "own-seeds")
     groups = own.groupBy("grams").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("low"), F.max("th").alias("high"))
-    shared = groups.where("low < high" if other_text else "n > 1").select("grams")
+    shared = written(groups.where("low < high" if other_text else "n > 1").select("grams"), "shared-seeds")  # so that Spark can split the join of a hot seed
     places = own.join(shared, "grams", "left_semi").groupBy("did", "th", "copies").agg(F.collect_set("places").alias("places"))
     return written(keyed(docs).join(places, ["did", "th"]), "seeded-texts")

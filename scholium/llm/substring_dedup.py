@@ -115,14 +115,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, gr
     reps = seeds.representatives(rows)
     texts = seeds.repeated(docs, rows, reps, other_text=True)
     probes = written(texts.select("did", "th", "text", "places").mapInArrow(_probes(window, block, gram), "block long, did long, th long, place int"), "probes")
-    index = probes.where(F.col("place") % block == 0).groupBy("block").agg(F.min("did").alias("first"))
-    reach = probes.groupBy("block").agg(F.max("did").alias("last"))
-    met = written(index.join(reach, "block").where("first < last"), "met-blocks")
+    indexed = F.when(F.col("place") % block == 0, F.col("did"))
+    met = probes.groupBy("block").agg(F.min(indexed).alias("first"), F.max("did").alias("last")).where("first < last")
+    met = written(met, "met-blocks")
     hits = probes.join(met, "block").where((F.col("did") > F.col("first")) | (F.col("place") % block == 0))
     hits = hits.groupBy("did", "th").agg(F.collect_set("place").alias("places"))
     around = texts.select("did", "th", "text").join(hits, ["did", "th"]).select("did", "th", "text", "places")
     windows = written(around.mapInArrow(_windows(window, block), "w1 long, w2 long, did long, th long, place int"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("w1", "w2", "first")
+    first = written(first, "first-windows")  # so that Spark can split the join of a hot window
     gone = windows.join(first, ["w1", "w2"]).where("did > first").groupBy("did", "th").agg(F.collect_set("place").alias("places"))
     cut = texts.select("did", "th", "text").join(gone, ["did", "th"]).select("did", "th", "text", "places").mapInArrow(_cut(window), "did long, th long, removed long, left string")
     cut = written(cut.distinct(), "cut-texts")

@@ -90,26 +90,24 @@ def cycles(edges: DataFrame, seeds: DataFrame | None = None, max_path: int = MAX
     """path of every cycle of up to ``max_path`` concepts over requires and part_of, at any confidence."""
     steps = _steps(edges, TRANSITIVE, None).select("at", "to").distinct()
     starts = (seeds if seeds is not None else steps.select(F.col("at").alias("seed"))).distinct()
-    level = starts.select(F.array("seed").alias("path"), F.col("seed").alias("last"))
-    out = None
-    for _ in range(max_path):
-        ahead = level.join(steps, F.col("last") == F.col("at"))
-        closed = ahead.where(F.col("to") == F.col("path")[0]).select(F.concat("path", F.array("to")).alias("path"))
-        out = closed if out is None else out.unionByName(closed)
-        level = ahead.where(~F.array_contains("path", F.col("to"))).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("last"))
-    return out.distinct()
+    level = starts.select(F.array("seed").alias("path"), F.col("seed").alias("last"), F.lit(False).alias("closed"))
+    back = F.col("to") == F.col("path")[0]
+    for _ in range(max_path):  # closed paths pass through, so that each round reads the one before once
+        ahead = level.join(steps, (F.col("last") == F.col("at")) & ~F.col("closed"), "left").where(F.col("closed") | back | ~F.array_contains("path", F.col("to")))
+        level = ahead.select(F.when(F.col("closed"), F.col("path")).otherwise(F.concat("path", F.array("to"))).alias("path"), F.coalesce("to", "last").alias("last"), (F.col("closed") | back).alias("closed"))
+    return level.where("closed").select("path").distinct()
 
 
 def would_cycle(proposed: DataFrame, edges: DataFrame, relation: str = "requires", max_depth: int = MAX_PATH) -> DataFrame:
     """proposed (source_id, target_id) and whether target already leads to source. Frontiers are sets, so each round is linear."""
     steps = _steps(edges, relation, None).select("at", "to").distinct()
     pairs = proposed.select("source_id", "target_id").distinct()
-    reached = pairs.select("source_id", "target_id", F.col("target_id").alias("at"))
-    seen = reached
-    for _ in range(max_depth):
-        reached = reached.join(steps, "at").select("source_id", "target_id", F.col("to").alias("at")).distinct()
-        seen = seen.unionByName(reached)
-    hit = seen.where("at = source_id").select("source_id", "target_id").distinct().withColumn("hit", F.lit(True))
+    reached = pairs.select("source_id", "target_id", F.col("target_id").alias("here"))
+    arrived = F.col("here") == F.col("source_id")
+    for _ in range(max_depth):  # what has arrived passes through, so that each round reads the one before once
+        ahead = reached.join(steps, (F.col("here") == F.col("at")) & ~arrived, "left").where(arrived | F.col("to").isNotNull())
+        reached = ahead.select("source_id", "target_id", F.when(arrived, F.col("here")).otherwise(F.col("to")).alias("here")).distinct()
+    hit = reached.where(arrived).select("source_id", "target_id").distinct().withColumn("hit", F.lit(True))
     return proposed.join(hit, ["source_id", "target_id"], "left").withColumn("would_cycle", F.coalesce("hit", F.lit(False))).drop("hit")
 
 

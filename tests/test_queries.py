@@ -1,6 +1,7 @@
 """Every registered query against its SQL, at the smallest size."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -23,7 +24,7 @@ def cell(x):
         x = x.tolist()
     if isinstance(x, list):
         return str([cell(y) for y in x])
-    if x is None or x != x:
+    if pd.isna(x):
         return "~"
     if isinstance(x, float):
         return f"{x:.8g}"

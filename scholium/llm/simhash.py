@@ -35,7 +35,7 @@ BLOCKS = (13, 13, 13, 13, 12)
 STEP = 8
 NODE_ROWS = 50_000
 #: Node pairs that a task expands at a time.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 14
 ORDERS = [(a, b, *(x for x in range(5) if x not in (a, b))) for a, b in itertools.combinations(range(5), 2)]
 
 
@@ -113,7 +113,7 @@ def traverse(values: np.ndarray, nodes: np.ndarray, most: int = MAX_BITS) -> tup
     bits. The nodes of a pair are the same range or apart.
     """
     n = len(values)
-    label = np.arange(n)
+    label, breaks = np.arange(n), np.arange(n)  # breaks: how often the label changes up to an index
     ones: dict[int, np.ndarray] = {}
 
     def ones_before(depth: int) -> np.ndarray:
@@ -122,21 +122,26 @@ def traverse(values: np.ndarray, nodes: np.ndarray, most: int = MAX_BITS) -> tup
             ones[depth] = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
         return ones[depth]
 
+    def members(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        sizes = end - start
+        return np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
     stack = [(int(d), nodes[nodes[:, 0] == d, 1:]) for d in np.unique(nodes[:, 0])]
     while stack:
         depth, pairs = stack.pop()
         if len(pairs) > FRONTIER:
             stack += [(depth, pairs[:FRONTIER]), (depth, pairs[FRONTIER:])]
             continue
-        pairs = pairs[(pairs[:, 0] != pairs[:, 2]) | (pairs[:, 1] - pairs[:, 0] > 1)]
+        # a node with itself needs two members; nodes whose members are all linked already have no more to give
+        linked = (breaks[pairs[:, 1] - 1] == breaks[pairs[:, 0]]) & (breaks[pairs[:, 3] - 1] == breaks[pairs[:, 2]]) & (label[pairs[:, 0]] == label[pairs[:, 2]])
+        pairs = pairs[~linked & ((pairs[:, 0] != pairs[:, 2]) | (pairs[:, 1] - pairs[:, 0] > 1))]
         within = pairs[:, 4] + 64 - depth <= most  # whatever follows, all of both nodes are near
         if within.any():
-            i, j = [], []
-            for a, a_end, b, b_end, _ in pairs[within].tolist():
-                members = [*range(a, a_end), *range(b, b_end)]
-                i += [a] * len(members)
-                j += members
-            label = label[_forest(n, np.concatenate([np.arange(n), i]).astype(np.int64), np.concatenate([label, j]).astype(np.int64))]
+            a, a_end, b, b_end, _ = pairs[within].T
+            i = np.concatenate([np.arange(n), np.repeat(a, a_end - a), np.repeat(a, b_end - b)])
+            j = np.concatenate([label, members(a, a_end), members(b, b_end)])
+            label = label[_forest(n, i, j)]
+            breaks = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
             pairs = pairs[~within]
         if not len(pairs) or depth == 64:
             continue

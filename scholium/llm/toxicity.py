@@ -2,7 +2,8 @@
 
 Grades 0 < 1 < 2 of severity come from the labels: sound, of low quality, toxic. P(grade > k) = sigmoid(x.w - cut_k): all cuts share the weights w. A
 text's features x count its words and the stems of longer words. The model is fitted on at
-most ``LABEL_ROWS`` labelled rows: words that lean to no grade are screened out,
+most ``LABEL_ROWS`` labelled rows: Spark counts their words and screens out those
+that lean to no grade, the driver gets the rest as numbers,
 and an L1 penalty (accelerated proximal gradient) thins the rest. Every document is then scored in one pass without a shuffle.
 """
 
@@ -39,10 +40,10 @@ def counts(raw: bytes) -> tuple[Counter, Counter]:
     return Counter(words), Counter([w[:STEM] for w in words if len(w) > STEM])
 
 
-def features(raw: bytes) -> list[bytes]:
-    """Words, and stems marked by a star, each as often as the text has it but ``MOST`` times at most."""
+def features(raw: bytes) -> dict[bytes, int]:
+    """Words, and stems marked by a star, with how often the text has each, ``MOST`` times at most."""
     words, stems = counts(raw)
-    return [w for w, n in words.items() for _ in range(min(n, MOST))] + [w + b"*" for w, n in stems.items() for _ in range(min(n, MOST))]
+    return {w: min(n, MOST) for w, n in words.items()} | {w + b"*": min(n, MOST) for w, n in stems.items()}
 
 
 @dataclass
@@ -65,22 +66,11 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[list[bytes]], grades: list[int], n_grades: int = GRADES) -> Model:
-    """Fits the model; grades that no row has leave their cut out of reach."""
+def fit(rows: list[list[int]], grades: list[int], words: list[bytes], n_grades: int = GRADES) -> Model:
+    """Fits weights of ``words``; a row lists the numbers of its words, repeats counted. Grades that no row has leave their cut out of reach."""
     y, top = np.array(grades, np.int64), n_grades - 1
-    sizes = np.array([len(x) for x in rows], np.int64)
-    number: dict[bytes, int] = {}
-    column = np.array([number.setdefault(w, len(number)) for x in rows for w in x], np.int64)
-    words = list(number)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    pairs = np.unique(owner * max(len(words), 1) + column)  # a row counts once here
-    seen, at = np.divmod(pairs, max(len(words), 1))
-    held, toxic = np.bincount(at, minlength=len(words)), np.bincount(at, (y == top)[seen], len(words))
-    share = min(max((y == top).mean() if len(y) else 0.0, 1e-6), 1 - 1e-6)
-    often = (held >= MIN_ROWS) & (np.abs(toxic - held * share) >= LEAN * np.sqrt(held * share * (1 - share)))
-    new = np.cumsum(often) - 1
-    keep = often[column]
-    column, owner, words = new[column[keep]], owner[keep], [w for w, o in zip(words, often.tolist(), strict=True) if o]
+    column = np.array([k for x in rows for k in x], np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows]).astype(np.int64)
     n = max(len(rows), 1)
     w = np.zeros(len(words))
     rate = np.array([((y > k).sum() + 0.5) / (n + 1) for k in range(top)])
@@ -126,13 +116,32 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> M
 
     def featured(batches):
         for batch in batches:
-            lists = [features(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(lists, pa.list_(pa.binary()))], ["grade", "words"])
+            found = [features(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("th"), batch.column("grade"), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
+                ["doc_id", "th", "grade", "words", "counts"])
+
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "grade", "text")
+    labelled = written(labelled.mapInArrow(featured, "doc_id long, th long, grade int, words array<binary>, counts array<int>"), "labelled-texts").dropDuplicates(["doc_id", "th", "grade"])
+    chosen = written(labelled.select("doc_id", "th", "grade").orderBy(F.xxhash64("doc_id"), "th", "grade").limit(label_rows), "labelled-chosen")  # repeated doc_ids do not raise the bound
+    rows = written(labelled.join(F.broadcast(chosen), ["doc_id", "th", "grade"], "left_semi").select("grade", "words", "counts"), "labelled-rows")
+
+    top = F.col("grade") == GRADES - 1
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(top.cast("int")), F.lit(0))).first()
+    share = min(max(toxic / n if n else 0.0, 1e-6), 1 - 1e-6)
+    by_word = rows.select("grade", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("held"), F.sum(top.cast("int")).alias("toxic"))
+    leaning = (F.col("held") >= MIN_ROWS) & (F.abs(F.col("toxic") - F.col("held") * share) >= LEAN * F.sqrt(F.col("held") * share * (1 - share)))
+    words = sorted(bytes(r.word) for r in by_word.where(leaning).select("word").collect())  # the model's own words
+    number = {w: i for i, w in enumerate(words)}
+
+    def numbered(batches):
+        for batch in batches:
+            lists = [sorted(number[w] for w, c in zip(ws, cs, strict=True) if w in number for _ in range(c)) for ws, cs in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["grade", "numbers"])
 
-    labelled = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("grade", "text")
-    found = labelled.mapInArrow(featured, "grade int, words array<binary>").limit(label_rows).toArrow()
-    rows = sorted(zip(found["grade"].to_pylist(), found["words"].to_pylist(), strict=True))  # in one order, so that reruns agree
-    return fit([x for _, x in rows], [g for g, _ in rows])
+    found = rows.mapInArrow(numbered, "grade int, numbers array<int>").toArrow()  # at most label_rows rows, of screened words alone
+    ordered = sorted(zip(found["grade"].to_pylist(), found["numbers"].to_pylist(), strict=True))  # in one order, so that reruns agree
+    return fit([x for _, x in ordered], [g for g, _ in ordered], words)
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:

@@ -75,7 +75,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def _cut(text: Column, limit: int, least: float, ellipsis: str) -> Column:
-    head = F.substring(text, 1, limit)
+    head = F.rtrim(F.substring(text, 1, limit))
     stop = F.length(head) - F.length(F.regexp_extract(head, r"([^.!?]*)$", 1))
     return F.when(F.length(text) <= limit, text).when(stop >= least, F.trim(head.substr(F.lit(1), stop))).otherwise(F.concat(F.rtrim(head), F.lit(ellipsis)))
 
@@ -87,7 +87,7 @@ def bounded_quote(text: Column, limit: int = 240) -> Column:
 
 def first_chars(text: Column, limit: int) -> Column:
     """The first characters, ended at a sentence beyond half of them."""
-    return _cut(F.trim(text), limit, limit / 2 + 1, "")
+    return _cut(F.trim(F.regexp_replace(text, r"\s+", " ")), limit, limit // 2 + 2, "...")
 
 
 def title_of(text: Column, limit: int = 80) -> Column:

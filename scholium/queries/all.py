@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from scholium.queries import domain, retrieval  # noqa: F401
+from scholium.queries import domain, retrieval, services  # noqa: F401

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 LONG_WORD = 512
 #: Symbols of a leaf of the tree, and tokens on each side of a join at first.
 LEAF, JOIN = 128, 4
-#: Words, and pieces of words, that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Words, and pieces of words, that a worker remembers before it starts anew: by themselves, and where
+#: a worker goes on with other stages, which its memory must leave room for.
+REMEMBERED, REMEMBERED_BESIDE = 800_000, 200_000
 #: Words that need no normalising but lower case, and their pieces. The file's pattern over these characters.
 _USUAL = re.compile("[!-~À-ÿŒœ]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+")
@@ -76,7 +77,7 @@ def byte_symbols() -> dict[int, str]:
 class Encoder:
     """Words to ids, packed as little-endian 16-bit integers."""
 
-    def __init__(self, path: str, long_word: int = LONG_WORD):
+    def __init__(self, path: str, long_word: int = LONG_WORD, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -94,7 +95,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.tokens[i] = token
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.long_word = long_word
+        self.long_word, self.remembered = long_word, remembered
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.symbols = byte_symbols()
@@ -118,7 +119,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= self.remembered:
                 self.pieces.clear()
             ids = self._encode(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols), True)
             found = self.pieces[piece] = struct.pack(f"<{len(ids)}H", *ids)
@@ -135,7 +136,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}H", *ids)
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             self.known.clear()
         self.known.update((w, self._word(w)) for w in words)
 
@@ -145,7 +146,7 @@ class Encoder:
         parts = list(map(self.known.get, words))
         if None in parts:
             new = {w for w, p in zip(words, parts, strict=True) if p is None}
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) + len(new) > self.remembered:
                 new = set(words)
             self._learn(new)
             parts = list(map(self.known.__getitem__, words))
@@ -156,21 +157,21 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """This worker's encoder; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered=remembered)
+    return _encoders[path, remembered]
 
 
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
     One row per row of ``docs``. A null text is empty and has no ids; null or
@@ -180,7 +181,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     path = path or default_path()
 
     def encoded(batches):
-        own = encoder(path)
+        own = encoder(path, remembered)
         for batch in batches:
             counts, shas, decoded, ids = [], [], [], []
             for raw in raw_texts(batch):

@@ -38,7 +38,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, with_ids=True)
+    return bpe.encode_documents(docs, with_ids=True, remembered=bpe.REMEMBERED_BESIDE)
 
 
 STAGES = [

@@ -86,9 +86,24 @@ def knowledge_gap(goals: DataFrame, mastery: DataFrame, edges: DataFrame, concep
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def _on_cycles(steps: DataFrame, rounds: int = 2 * MAX_PATH) -> DataFrame:
+    """``steps`` without those from a source or to a sink, round by round; what is left over costs time only."""
+    kept = (lambda df: df.checkpoint()) if steps.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df.localCheckpoint())
+    steps = kept(steps)
+    before = steps.count()
+    for _ in range(rounds):
+        inner = steps.join(steps.select(F.col("to").alias("at")).distinct(), "at", "left_semi")
+        steps = kept(inner.join(inner.select(F.col("at").alias("to")).distinct(), "to", "left_semi"))
+        after = steps.count()
+        if after in (0, before):
+            break
+        before = after
+    return steps.select("at", "to")
+
+
 def cycles(edges: DataFrame, seeds: DataFrame | None = None, max_path: int = MAX_PATH) -> DataFrame:
     """path of every cycle of up to ``max_path`` concepts over requires and part_of, at any confidence."""
-    steps = _steps(edges, TRANSITIVE, None).select("at", "to").distinct()
+    steps = _on_cycles(_steps(edges, TRANSITIVE, None).select("at", "to").distinct())
     starts = (seeds if seeds is not None else steps.select(F.col("at").alias("seed"))).distinct()
     level = starts.select(F.array("seed").alias("path"), F.col("seed").alias("last"), F.lit(False).alias("closed"))
     back = F.col("to") == F.col("path")[0]

@@ -224,6 +224,30 @@ def macro_metrics(spark, d):
     return E.macro(E.retrieval_metrics(ranked, qrels))
 
 
+# Every document competes, ranked by BM25 as one tenant.
+ALL_SQL = RETRIEVAL_SQL.replace("source AS tenant_id", "'all' AS tenant_id").replace("'src' || (item_id % 20) AS tenant_id", "'all' AS tenant_id")
+BM25_METRICS_SQL = METRICS_SQL.replace(f"WITH {QRELS_SQL}", f"{ALL_SQL}, {QRELS_SQL[:QRELS_SQL.index(', ranked AS')]}, ranked AS (SELECT query_id, chunk_id, rank FROM lexical)")
+
+
+def _bm25_metrics(spark, d):
+    one = F.lit("all")
+    asked = questions(spark, d).withColumn("tenant_id", one)
+    items = F.broadcast(asked.select("query_id", F.col("text").alias("item")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    qrels = docs.join(items, F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id")
+    return E.retrieval_metrics(L.bm25(asked, chunks(spark, d).withColumn("tenant_id", one)), qrels)
+
+
+@query("bm25_metrics", f"{BM25_METRICS_SQL} SELECT * FROM m")
+def bm25_metrics(spark, d):
+    return _bm25_metrics(spark, d)
+
+
+@query("bm25_macro_metrics", f"{BM25_METRICS_SQL} SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(context_precision), 6) AS context_precision FROM m")
+def bm25_macro_metrics(spark, d):
+    return E.macro(_bm25_metrics(spark, d))
+
+
 @query("latency_percentiles_disc", "SELECT event_type AS stage, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, count(value) AS n FROM events GROUP BY event_type")
 def latency_percentiles_disc(spark, d):
     return E.latency(table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))

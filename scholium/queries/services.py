@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from scholium.operators import answers as A, graph as G, services as V
-from scholium.queries.domain import CLOSURE_SQL, GRAPH, _extracted, _graph, _walk
+from scholium.queries.domain import CLOSURE_SQL, GRAPH, _extracted, _graph, _walk, over_all
 from scholium.queries.tables import EVENTS_SQL, chunks, progress_events, table, tokens_sql, usage
 from scholium.registry import query
 from scholium.scope import TenantScope
@@ -46,12 +46,15 @@ def retrieval_plan(spark, d):
 
 
 @query("fallback_roadmap", f"{GRAPH}, {_walk('source_id', 'target_id')} SELECT seed, concept_id, row_number() OVER (PARTITION BY seed ORDER BY depth, name, concept_id) - 1 AS position FROM ({CLOSURE_SQL}) JOIN (SELECT concept_id, name FROM concepts) USING (concept_id)")
-def fallback_roadmap(spark, d):
-    seeds, e, c = _graph(spark, d)
+def fallback_roadmap(spark, d, every=False):
+    seeds, e, c = _graph(spark, d, every)
     found = G.closure(seeds, e, c).select("seed", "concept_id", "depth").join(c.select("concept_id", "name"), "concept_id")
     return V.fallback_roadmap(found).select("seed", "concept_id", "position")
 
 
+over_all("fallback_roadmap", fallback_roadmap)
+
+
 @query("revision_checks", "SELECT user_id, len(list_filter(list(DISTINCT event_id % 7) FILTER (event_type = 'purchase'), lambda x: NOT list_contains(coalesce(list(DISTINCT event_id % 7) FILTER (event_id % 2 = 0), []), x))) > 0 AS discards_completed, user_id % 3 = 0 AS steps_recomputed FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') > 0")
 def revision_checks(spark, d):
     step = F.col("event_id") % 7

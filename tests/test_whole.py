@@ -57,3 +57,22 @@ def test_quarantine_reads_the_text(spark, secret_docs):
     assert (got[100], got[101], got[102], got[10]) == ("quarantined", "quarantined", "flagged", "clear")
     rows = {r.document_id: r.state for r in QUERIES["quarantine_documents"](spark, secret_docs[0]).collect()}
     assert rows == {i: {100: "quarantined", 102: "flagged"}.get(i, "clear") for i, _ in secret_docs[1]}
+
+
+@pytest.mark.parametrize("k", [10, 500])
+def test_cycles_anywhere_are_found(spark, tmp_path, monkeypatch, k):
+    parts = [(i, f"p{i}", 1) for i in range(1, 701)]
+    path = stored(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_size int"))
+    from scholium.queries import domain
+
+    plain = domain.edges
+    monkeypatch.setattr(domain, "edges", lambda s, d: plain(s, d).unionByName(s.createDataFrame([(k // 2, k, "requires", 0.9, 0.5, False)], plain(s, d).schema)))
+    got = {tuple(r.path) for r in QUERIES["cycle_detect"](spark, path).collect()}
+    assert {(k, k // 2, k), (k // 2, k, k // 2)} <= got
+
+
+def test_every_concept_is_a_goal(spark):
+    d = "/root/testdata/sf0.001"
+    unmastered = {r.p_partkey for r in spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 5 <> 0").collect()}
+    for name in ("plan_roadmap", "adapt_plan"):
+        assert unmastered <= {r.plan_id for r in QUERIES[name](spark, d).select("plan_id").distinct().collect()}

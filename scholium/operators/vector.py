@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scholium.operators.lexical import top_k
 
+BROADCAST_QUESTIONS = 10_000
+
 
 def hash_embedding(dim: int = 384):
     """Tokens to a unit vector: each token adds a sign at a place drawn from its BLAKE2b-8 digest; no tokens, zero vector."""
@@ -55,9 +57,19 @@ def cosine_top_k(questions: DataFrame, vectors: DataFrame, k: int = 20, by_tenan
     the k best a question.
     """
     keys = ["tenant_id"] if by_tenant else []
-    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-questions.count() // block))))
+    n = questions.count()
+    blocks = max(1, -(-n // block))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     packed = questions.withColumn("part", part).groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("asked"))
-    pairs = vectors.join(packed, keys) if keys else vectors.join(F.broadcast(packed.coalesce(1)) if questions.count() <= 10_000 else packed)
+    if keys:
+        pairs = vectors.join(packed, keys)
+    elif n <= BROADCAST_QUESTIONS:
+        pairs = vectors.join(F.broadcast(packed.coalesce(1)))
+    else:  # each vector goes once to each block; a block's vectors are dealt over slices, so that no task gets all
+        slices = 64
+        sliced = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        dealt = vectors.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = dealt.join(sliced, ["part", "slice"])
 
     def score(batches):
         for pdf in batches:

@@ -110,6 +110,21 @@ def cosine_topk(spark, d):
     return V.cosine_top_k(vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), vectors)
 
 
+ALL_COSINE = COSINE.replace("q.vec_id < 10", "q.vec_id %% 100 = 0")
+
+
+@query("cosine_topk_hundredth", SEMANTIC % (ALL_COSINE % "true"))
+def cosine_topk_hundredth(spark, d):
+    vectors = V.checked(table(spark, d, "embeddings"), 64)
+    return V.cosine_top_k(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors)
+
+
+@query("cosine_topk_tenant_hundredth", SEMANTIC % (ALL_COSINE % "q.label = b.label"))
+def cosine_topk_tenant_hundredth(spark, d):
+    vectors = table(spark, d, "embeddings").withColumnRenamed("label", "tenant_id")
+    return V.cosine_top_k(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "tenant_id"), vectors, by_tenant=True)
+
+
 @query("cosine_topk_tenant", SEMANTIC % (COSINE % "q.label = b.label"))
 def cosine_topk_tenant(spark, d):
     vectors = table(spark, d, "embeddings").withColumnRenamed("label", "tenant_id")

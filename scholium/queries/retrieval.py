@@ -59,6 +59,12 @@ def corpus_hash(spark, d):
     return files.corpus_hash(table(spark, d, "documents").where("source = 'src1'").select(F.col("doc_id").cast("string").alias("filename"), "text"))
 
 
+@query("corpus_hash_all")
+def corpus_hash_all(spark, d):
+    """Over every document; the SQL of corpus_hash knows one source and gathers its hashes."""
+    return files.ranged_corpus_hash(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text"))
+
+
 @query("tokenize_terms", f"WITH {CHUNKS_SQL}, {TERMS_SQL} SELECT chunk_id, term, tf FROM terms")
 def tokenize_terms(spark, d):
     return L.chunk_terms(chunks(spark, d)).select("chunk_id", "term", "tf")

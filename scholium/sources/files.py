@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 GOLDEN = "id string, question string, expected_answer string, expected_sources array<string>, category string, notes string"
@@ -54,6 +56,31 @@ def corpus_hash(docs: DataFrame) -> DataFrame:
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filename", "h"))), lambda x: x["h"]), ""), 256).alias("corpus_hash"))
 
 
+def ranged_corpus_hash(docs: DataFrame, ranges: int = 256) -> DataFrame:
+    """One row: a hash over a hash of each range of names, in order of name within it.
+
+    A name's range is the start of its own hash, so that it does not depend on the
+    cluster; tasks hash sorted rows as they pass, and only ``ranges`` hashes are gathered.
+    """
+    each = docs.select("filename", F.sha2(F.concat("filename", F.lit("\x00"), "text", F.lit("\x00")), 256).alias("h"))
+    each = each.withColumn("range", F.pmod(F.conv(F.substring(F.sha2("filename", 256), 1, 8), 16, 10).cast("long"), F.lit(ranges)).cast("int"))
+
+    def fold(frames):
+        at, state = None, None
+        for pdf in frames:
+            for r, h in zip(pdf["range"], pdf["h"], strict=True):
+                if r != at:
+                    if state is not None:
+                        yield pd.DataFrame({"range": [at], "h": [state.hexdigest()]})
+                    at, state = r, hashlib.sha256()
+                state.update((h or "").encode())
+        if state is not None:
+            yield pd.DataFrame({"range": [at], "h": [state.hexdigest()]})
+
+    parts = each.repartition(ranges, "range").sortWithinPartitions("range", "filename", "h").mapInPandas(fold, "range int, h string")
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "h"))), lambda x: F.concat(x["range"].cast("string"), F.lit(":"), x["h"])), "\n"), 256).alias("corpus_hash"))
+
+
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden questions from JSON lines; raises on malformed or contradictory rows."""
     rows = spark.read.schema(GOLDEN).option("mode", "FAILFAST").json(path)

@@ -57,14 +57,25 @@ def fixed_window(hits: list[float], limit: int, window: float, start: float | No
 
 
 def rate_limited(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """key, at, seq, denied, retry_after for a batch of hits (key, at in seconds, seq)."""
+    """key, at, seq, denied, retry_after for a batch of hits (key, at in seconds, seq).
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        marks, _, _ = fixed_window(pdf["at"].tolist(), limit, window)
-        return pdf.assign(denied=[m[0] for m in marks], retry_after=[round(m[1], 6) for m in marks])
+    Batches of sorted rows pass by; only the open window of the key at hand is held.
+    """
 
-    return hits.select("key", "at", "seq").groupBy("key").applyInPandas(fold, "key long, at double, seq long, denied boolean, retry_after double")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, start, count = None, None, 0
+        for pdf in frames:
+            denied, after = [], []
+            for k, at in zip(pdf["key"], pdf["at"], strict=True):
+                if k != key:
+                    key, start, count = k, None, 0
+                marks, start, count = fixed_window([at], limit, window, start, count)
+                denied.append(marks[0][0])
+                after.append(round(marks[0][1], 6))
+            yield pdf.assign(denied=denied, retry_after=after)
+
+    rows = hits.select("key", "at", "seq").repartition("key").sortWithinPartitions("key", "at", "seq")
+    return rows.mapInPandas(fold, "key long, at double, seq long, denied boolean, retry_after double")
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window: float) -> DataFrame:

@@ -103,3 +103,33 @@ def test_many_questions_meet_all_vectors_by_block(spark, monkeypatch):
     by_block = vector.cosine_top_k(asked, rows, 5, block=16)
     assert "NestedLoop" not in by_block._jdf.queryExecution().toString() and "Cartesian" not in by_block._jdf.queryExecution().toString()
     assert {tuple(r) for r in by_block.collect()} == want and len(want) == 5 * asked.count()
+
+
+def test_rate_limit_is_no_group_in_memory(spark):
+    import pandas as pd
+    from scholium.streaming import learners
+
+    rows = [(k, float(i * 7 % 400), i) for k in (1, 2) for i in range(300)] + [(3, 5.0, 1)]
+    limited = learners.rate_limited(spark.createDataFrame(rows, "key long, at double, seq long"), 3, 10.0)
+    assert "FlatMapGroups" not in limited._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in limited.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k in (1, 2, 3):
+        mine = sorted((at, seq) for key, at, seq in rows if key == k)
+        marks, _, _ = learners.fixed_window([at for at, _ in mine], 3, 10.0)
+        want += [(k, at, seq, m[0], round(m[1], 6)) for (at, seq), m in zip(mine, marks, strict=True)]
+    assert got == sorted(want)
+
+
+def test_corpus_hash_knows_every_document(spark, tmp_path):
+    def of(name, *docs, parts=1):
+        spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(parts).write.parquet(str(tmp_path / name / "documents.parquet"))
+        return QUERIES["corpus_hash_all"](spark, str(tmp_path / name)).first()[0]
+
+    rows = [(i, f"text {i}", f"src{i % 3}") for i in range(40)]
+    first = of("a", *rows)
+    assert first == of("b", *reversed(rows), parts=5) and len({first, of("c", *rows[:-1]), of("d", *rows[:2], (2, "other", "src2"), *rows[3:])}) == 3

@@ -4,7 +4,8 @@ Documents are put in ascending order of doc_id by a range partitioning. Each
 partition encodes its texts, ends each document with id ``END`` and cuts the ids
 into blocks of about ``BLOCK_TOKENS``. A block is compressed by itself: its most
 frequent pairs of neighbouring symbols are replaced by new symbols, again and
-again, until no pair is frequent. Blocks are rows of a Parquet table
+again, until no pair is seen ``MIN_COUNT`` times or all 16-bit symbols are used.
+Blocks are rows of a Parquet table
 (part, block, n_docs, n_tokens, data); ``data`` holds, little-endian:
 
     4 bytes  magic "RPR1"
@@ -38,8 +39,8 @@ BLOCK_TOKENS = 1_000_000
 #: Documents per partition of the files, about.
 PART_DOCS = 8192
 MAGIC = b"RPR1"
-#: A round replaces pairs seen this often or more; rounds end when they save under this share.
-MIN_COUNT, MIN_GAIN, MAX_SYMBOLS, ROUND_RULES = 8, 0.04, 1 << 16, 4096
+#: A round replaces pairs seen this often or more; rounds end when there are none or the symbols are used up.
+MIN_COUNT, MAX_SYMBOLS, ROUND_RULES = 4, 1 << 16, 4096
 
 
 def re_pair(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +91,10 @@ def re_pair(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         base = terminals + len(rules)
         ends[base : base + len(new)] = ends[new[:, 1]]
         rules = np.concatenate([rules, new])
-        size = len(x)
         x[take] = (base + symbol).astype(np.uint32)
         keep = np.ones(len(x), bool)
         keep[take + 1] = False
         x = x[keep]
-        if size - len(x) < MIN_GAIN * size:
-            break
     return rules.astype("<u2"), x.astype("<u2")
 
 

@@ -179,3 +179,17 @@ def test_toxicity_held_out(spark, odd, none):
 def test_without_labels_nothing_is_toxic(odd, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert not any(r.toxic for r in toxicity.severity(odd, toxicity.train(odd, labels)).collect())
+
+
+def test_rounds_end_when_no_pair_is_frequent():
+    ids = np.random.default_rng(3).zipf(1.3, 60_000).clip(2, 3000).astype("<u2")
+    ids[::50] = token_files.END
+    rules, x = token_files.re_pair(ids, 3001)
+    ends = np.zeros(1 << 16, bool)
+    ends[token_files.END] = True
+    for i, (_, b) in enumerate(rules):
+        ends[3001 + i] = ends[b]
+    pairs = Counter((a, b) for a, b in zip(x[:-1].tolist(), x[1:].tolist(), strict=True) if not ends[a])
+    assert max(pairs.values()) < 4 <= token_files.MIN_COUNT
+    spelt = lambda y: [int(y)] if y < 3001 else [z for side in rules[y - 3001] for z in spelt(side)]
+    assert [z for y in x for z in spelt(y)] == ids.tolist()

@@ -185,9 +185,16 @@ def _nodes(rows: DataFrame, depth: int) -> DataFrame:
     return rows.groupBy("t", F.shiftrightunsigned("value", 64 - depth).alias("node"))
 
 
+def _gathered(items: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+    """t, node, values of the nodes that ``items`` name; others are dropped before any group is made."""
+    asked = items.select("t", F.col("a").alias("node")).union(items.select("t", F.col("b").alias("node"))).distinct()
+    named = rows.withColumn("node", F.shiftrightunsigned("value", 64 - depth)).join(asked, ["t", "node"], "left_semi")
+    return named.groupBy("t", "node").agg(F.collect_list("value").alias("values"))
+
+
 def _traversed(items: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
     """Links found below node pairs of bounded size."""
-    lists = _nodes(rows, depth).agg(F.collect_list("value").alias("values"))
+    lists = _gathered(items, rows, depth)
     a = lists.select("t", F.col("node").alias("a"), F.col("values").alias("a_values"))
     b = lists.select("t", F.col("node").alias("b"), F.col("values").alias("b_values"))
     own, apart = items.where("a = b").join(a, ["t", "a"]).withColumn("b_values", F.lit(None).cast("array<long>")), items.where("a <> b").join(a, ["t", "a"]).join(b, ["t", "b"])

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from scholium.llm import components, exact_dedup, simhash, substring_dedup, suffix_dedup
 
 SEP = b" \t\n\x0b\x0c\r"
@@ -158,3 +160,9 @@ def test_suffix_array_and_common_prefixes():
             while max(a, b) + same < n and s[a + same] == s[b + same]:
                 same += 1
             assert common[b] == same
+
+
+def test_only_asked_nodes_are_gathered(spark):
+    rows = spark.range(5000).select(F.lit(0).alias("t"), F.col("id").alias("value")).union(spark.createDataFrame([(0, (7 << 40) + i) for i in range(3)], "t int, value long"))
+    items = spark.createDataFrame([(0, 7, 7)], "t int, a long, b long")
+    assert [(r.node, len(r["values"])) for r in simhash._gathered(items, rows, 24).collect()] == [(7, 3)]

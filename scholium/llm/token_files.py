@@ -4,17 +4,18 @@ Documents are put in ascending order of doc_id by a range partitioning. Each
 partition encodes its texts, ends each document with id ``END`` and cuts the ids
 into blocks of about ``BLOCK_TOKENS``. A block is compressed by itself: its most
 frequent pairs of neighbouring symbols are replaced by new symbols, again and
-again, until no pair is seen ``MIN_COUNT`` times or all 16-bit symbols are used.
+again, until no pair is seen ``MIN_COUNT`` times. There may be any number of new
+symbols; all symbols of a block take as many bits as its largest one needs.
 Blocks are rows of a Parquet table
 (part, block, n_docs, n_tokens, data); ``data`` holds, little-endian:
 
-    4 bytes  magic "RPR1"
-    4 x u32  documents, terminals (the first rule's symbol), rules, symbols of the sequence
+    4 bytes  magic "RPR2"
+    5 x u32  documents, terminals (the first rule's symbol), rules, symbols of the sequence, bits of a symbol
     i64 / u8 doc_id of each document; 1 where it is null
     u32      tokens of each document, its end id counted
-    u16 x 2  rules: the two symbols that a rule's symbol stands for
     u32      expansion lengths of the rules, in tokens
-    u16      the sequence
+    bits x 2 rules: the two symbols that a rule's symbol stands for
+    bits     the sequence
 
 With the expansion lengths a document is found in the sequence and decoded
 without expanding what lies before it.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,24 @@ from scholium.llm.common import shared_dir, text_of
 
 END = 1
 BLOCK_TOKENS = 1_000_000
-#: Documents per partition of the files, about.
-PART_DOCS = 8192
-MAGIC = b"RPR1"
-#: A round replaces pairs seen this often or more; rounds end when there are none or the symbols are used up.
-MIN_COUNT, MAX_SYMBOLS, ROUND_RULES = 4, 1 << 16, 4096
+#: Bytes of text per partition of the files, about.
+PART_BYTES = 32 << 20
+MAGIC = b"RPR2"
+#: Pairs seen this often or more are replaced. A round takes those seen at least 1 / ``SHARE`` as often as its most frequent one.
+MIN_COUNT, SHARE = 4, 16
+_HALF = np.uint64(32)
+
+
+def _ranked(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in ascending order, as left << 32 | right, and their places. Where a place still fits beside a pair, both are sorted as one number."""
+    width, place = np.uint64(symbols.bit_length()), np.uint64(len(left).bit_length())
+    if 2 * width + place > 64:
+        keys = (left << _HALF) | right
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = np.sort((((left << width) | right) << place) | np.arange(len(left), dtype=np.uint64))
+    pairs = both >> place
+    return ((pairs >> width) << _HALF) | (pairs & ((np.uint64(1) << width) - np.uint64(1))), (both & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
 
 
 def re_pair(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,70 +63,94 @@ def re_pair(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
 
     Of overlapping frequent pairs the more frequent is replaced and the other
     waits for the next round. No rule spans the end of a document, so a symbol
-    that ends with END never starts a pair.
+    that ends with END never starts a pair. A pair seen too seldom cannot become
+    frequent unless one of its symbols is new, so only the other places are
+    counted again.
     """
-    x = ids.astype(np.uint32)
-    rules = np.empty((0, 2), np.uint32)
-    ends = np.zeros(MAX_SYMBOLS, bool)
+    x = ids.astype(np.uint64)
+    rules = np.empty((0, 2), np.uint64)
+    ends = np.zeros(terminals, bool)
     ends[END] = True
-    while len(rules) + terminals < MAX_SYMBOLS and len(x) > 1:
-        keys = (x[:-1] << np.uint32(16)) | x[1:]
-        ranked = np.sort(keys)
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        counts = np.diff(np.append(first, len(ranked)))
+    live = ~ends[x[:-1]]
+    while len(x) > 1:
+        at = np.flatnonzero(live)
+        keys, order = _ranked(x[at], x[at + 1], len(ends))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(first, len(keys)))
         often = counts >= MIN_COUNT
-        pairs, counts = ranked[first[often]], counts[often]
-        open_ = ~ends[pairs >> np.uint32(16)]
-        pairs, counts = pairs[open_], counts[open_]
-        best = np.argsort(-counts, kind="stable")[: min(ROUND_RULES, MAX_SYMBOLS - terminals - len(rules))]
-        if not len(best):
+        if not often.any():
             break
-        chosen, rank = pairs[best], np.arange(len(best), dtype=np.int32)
-        order = np.argsort(chosen)
-        ranked_pairs, rank_of = chosen[order], rank[order]
-        lefts, rights = np.zeros(MAX_SYMBOLS, bool), np.zeros(MAX_SYMBOLS, bool)
-        lefts[chosen >> np.uint32(16)] = True
-        rights[chosen & np.uint32(0xFFFF)] = True
-        maybe = np.flatnonzero(lefts[x[:-1]] & rights[x[1:]])
-        at = np.minimum(np.searchsorted(ranked_pairs, keys[maybe]), len(ranked_pairs) - 1)
-        hit = ranked_pairs[at] == keys[maybe]
-        none = np.int32(MAX_SYMBOLS)
-        prio = np.full(len(x) + 1, none, np.int32)
-        prio[maybe[hit] + 1] = rank_of[at[hit]]  # shifted by one: prio[0] stands before the text
-        before, middle, after = prio[:-2], prio[1:-1], prio[2:]
-        place = np.arange(len(middle))
-        run = np.maximum.accumulate(np.where(middle != before, place, 0))  # of one symbol: every other pair
-        take = np.flatnonzero((middle < none) & (middle <= after) & ((middle < before) | ((middle == before) & ((place - run) % 2 == 0))))
-        if not len(take):
-            break
-        ranks = middle[take]
-        used, symbol = np.unique(ranks, return_inverse=True)
-        fresh = chosen[used]
-        new = np.stack([fresh >> np.uint32(16), fresh & np.uint32(0xFFFF)], axis=1)
+        best = np.flatnonzero(often & (counts * SHARE >= counts.max()))
+        best = best[np.argsort(-counts[best], kind="stable")]
+        none = len(first)
+        rank = np.full(none, none)
+        rank[best] = np.arange(len(best))
+        rank[~often] = -1
+        mine = np.empty(len(at), np.int64)
+        mine[order] = np.repeat(rank, counts)
+        live[at[mine < 0]] = False
+        chosen = (mine >= 0) & (mine < none)
+        pairs, at, mine = keys[first[best]], at[chosen], mine[chosen]
+        prio = np.full(len(x) + 1, none)
+        prio[at + 1] = mine  # shifted by one: prio[0] stands before the text
+        before, after = prio[at], prio[at + 2]
+        fresh_run = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1])]))
+        odd = (np.arange(len(at)) - np.repeat(fresh_run, np.diff(np.append(fresh_run, len(at))))) % 2 == 1  # of one symbol: every other pair
+        taken = (mine <= after) & ((mine < before) | ((mine == before) & ~odd))
+        at, mine = at[taken], mine[taken]
+        used, symbol = np.unique(mine, return_inverse=True)
+        new = np.stack([pairs[used] >> _HALF, pairs[used] & np.uint64((1 << 32) - 1)], axis=1)
         base = terminals + len(rules)
-        ends[base : base + len(new)] = ends[new[:, 1]]
+        ends = np.concatenate([ends, ends[new[:, 1]]])
         rules = np.concatenate([rules, new])
-        x[take] = (base + symbol).astype(np.uint32)
+        x[at] = (base + symbol).astype(np.uint64)
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(x), bool)
-        keep[take + 1] = False
-        x = x[keep]
-    return rules.astype("<u2"), x.astype("<u2")
+        keep[at + 1] = False
+        after_last = np.append(live, False)  # the place of the last symbol starts no pair
+        x, live = x[keep], after_last[keep][:-1]
+        live &= ~ends[x[:-1]]
+    return rules, x
+
+
+def _levels(rules: np.ndarray, terminals: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules that only use symbols before the range."""
+    most, start = rules.max(axis=1).astype(np.int64) - terminals if len(rules) else np.zeros(0, np.int64), 0
+    while start < len(rules):
+        later = most[start:] >= start
+        end = start + int(later.argmax()) if later.any() else len(rules)
+        yield start, end
+        start = end
 
 
 def lengths_of(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Expansion lengths of the rules; a rule only uses symbols before its own."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - terminals] if a >= terminals else 1) + (out[b - terminals] if b >= terminals else 1))
-    return np.array(out, "<u4")
+    out = np.ones(terminals + len(rules), np.int64)
+    for i, j in _levels(rules, terminals):
+        out[terminals + i : terminals + j] = out[rules[i:j, 0]] + out[rules[i:j, 1]]
+    return out[terminals:].astype("<u4")
+
+
+def to_bits(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bits of each value, end to end."""
+    return np.packbits(np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little").ravel(), bitorder="little").tobytes()
+
+
+def from_bits(data: bytes, start: int, count: int, width: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, (count * width + 7) // 8, start), count=count * width, bitorder="little").reshape(count, width)
+    out = np.zeros((count, 4), np.uint8)
+    out[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
+    return out.reshape(-1).view("<u4").astype(np.int64)
 
 
 def pack(doc_ids: list, counts: list[int], ids: np.ndarray, terminals: int) -> bytes:
     rules, sequence = re_pair(ids, terminals)
-    head = MAGIC + struct.pack("<4I", len(counts), terminals, len(rules), len(sequence))
+    width = (terminals + len(rules)).bit_length()
+    head = MAGIC + struct.pack("<5I", len(counts), terminals, len(rules), len(sequence), width)
     numbers = np.array([x or 0 for x in doc_ids], "<i8")
     nulls = np.array([x is None for x in doc_ids], "u1")
-    return b"".join([head, numbers.tobytes(), nulls.tobytes(), np.array(counts, "<u4").tobytes(), rules.tobytes(), lengths_of(rules, terminals).tobytes(), sequence.tobytes()])
+    return b"".join([head, numbers.tobytes(), nulls.tobytes(), np.array(counts, "<u4").tobytes(), lengths_of(rules, terminals).tobytes(), to_bits(rules.ravel(), width), to_bits(sequence, width)])
 
 
 class Block:
@@ -120,8 +159,8 @@ class Block:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a block of token ids")
-        n, self.terminals, r, s = struct.unpack_from("<4I", data, 4)
-        at = 20
+        n, self.terminals, r, s, width = struct.unpack_from("<5I", data, 4)
+        at = 24
 
         def part(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -132,22 +171,20 @@ class Block:
         numbers, nulls = part("<i8", n), part("u1", n)
         self.doc_ids = [None if z else int(x) for x, z in zip(numbers, nulls, strict=True)]
         self.counts = part("<u4", n).astype(np.int64)
-        self.rules = part("<u2", 2 * r).reshape(r, 2)
         self.lengths = np.concatenate([np.ones(self.terminals, np.int64), part("<u4", r).astype(np.int64)])
-        self.sequence = part("<u2", s)
+        self.rules = from_bits(data, at, 2 * r, width).reshape(r, 2)
+        self.sequence = from_bits(data, at + (2 * r * width + 7) // 8, s, width)
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All symbols' expansions end to end, and where each starts."""
         if self._flat is None:
             starts = np.concatenate([[0], np.cumsum(self.lengths)])
-            flat = np.empty(starts[-1], np.uint16)
+            flat = np.empty(starts[-1], np.uint32)
             flat[: self.terminals] = np.arange(self.terminals)
-            for i, (a, b) in enumerate(self.rules.tolist(), self.terminals):
-                o, m = starts[i], starts[i] + self.lengths[a]
-                flat[o:m] = flat[starts[a] : starts[a + 1]]
-                flat[m : starts[i + 1]] = flat[starts[b] : starts[b + 1]]
             self._flat = flat, starts
+            for i, j in _levels(self.rules, self.terminals):
+                flat[starts[self.terminals + i] : starts[self.terminals + j]] = self.expand(self.rules[i:j].ravel())
         return self._flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -172,34 +209,43 @@ class Block:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Writes the ids of all ``docs`` to ``path``, by ascending doc_id (null first; equal ones by text)."""
+    """Writes the ids of all ``docs`` to ``path``, by ascending doc_id (null first; equal ones by hash of text, then text).
+
+    Rows that share a doc_id, or have none, are spread over parts by the hash.
+    """
     tokenizer = tokenizer or default_path()
-    parts = max(1, -(-docs.count() // PART_DOCS))
-    rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES))
+    rows = texts.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
 
     def blocks(batches):
         own, part, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([END], "<u2").tobytes()
-        doc_ids, counts, packed, total = [], [], [], 0
+        doc_ids, counts, kept, total = [], [], [], 0
 
         def made():
-            data = pack(doc_ids, counts, np.frombuffer(b"".join(packed), "<u2"), len(own.tokens))
+            data = pack(doc_ids, counts, np.concatenate(kept), len(own.tokens))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": pa.array([len(counts)], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), strict=True):
-                ids = own.packed(raw) + end
-                doc_ids.append(doc_id)
-                counts.append(len(ids) // 2)
-                packed.append(ids)
-                total += len(ids) // 2
-                if total >= block_tokens:
-                    yield made()
-                    doc_ids, counts, packed, total, block = [], [], [], 0, block + 1
+            names, at = batch.column("doc_id").to_pylist(), 0
+            for ids, sizes in own.texts(raw_texts(batch)):
+                ids, upto = np.insert(ids, np.cumsum(sizes), END), np.cumsum(sizes + 1)
+                start, base = 0, 0
+                while start < len(sizes):
+                    enough = int(np.searchsorted(upto, base + block_tokens - total)) + 1  # the document that fills the block is its last
+                    stop = min(enough, len(sizes))
+                    doc_ids += names[at + start : at + stop]
+                    counts += (sizes[start:stop] + 1).tolist()
+                    kept.append(ids[base : upto[stop - 1]])
+                    total, base, start = total + int(upto[stop - 1]) - base, int(upto[stop - 1]), stop
+                    if total >= block_tokens:
+                        yield made()
+                        doc_ids, counts, kept, total, block = [], [], [], 0, block + 1
+                at += len(sizes)
         if counts:
             yield made()
 
-    rows.mapInArrow(blocks, "part int, block int, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(path)
+    rows.drop("hash").mapInArrow(blocks, "part int, block int, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -237,7 +283,8 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     One row per row of ``docs``. A null text is empty: its only id is END. Null
     doc_ids come first; repeated doc_ids and repeated rows are documents of
-    their own, in the order of their texts. An empty table gives no rows.
+    their own, in the order of their texts' hashes. Other columns are not looked
+    at. An empty table gives no rows.
     """
     path = f"{shared_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
     write(docs.select(F.col("doc_id").cast("long"), "text"), path, tokenizer)

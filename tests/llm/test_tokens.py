@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -14,7 +15,11 @@ from scholium.llm import bpe, mixing, quality, sharding, token_files, toxicity
 PATH = bpe.default_path()
 LIBRARY = Tokenizer.from_file(PATH)
 ENCODER = bpe.Encoder(PATH)
-TREE = bpe.Encoder(PATH, long_word=0)
+TREE = bpe.Encoder(PATH, leaf=2)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
 
 
 def library_ids(text):
@@ -22,7 +27,7 @@ def library_ids(text):
 
 
 def ids(encoder, text):
-    return np.frombuffer(encoder.packed(text.encode()), "<u2").tolist()
+    return encoder.chunk([text.encode()])[0].tolist()
 
 
 @settings(max_examples=300, deadline=None)
@@ -45,12 +50,27 @@ def test_encode_documents(docs, odd, none):
             x = library_ids(r.text or "")
             want[r.doc_id, len(x), hashlib.sha256(np.array(x, "<u4")).hexdigest(), hashlib.sha256(LIBRARY.decode(x, skip_special_tokens=False).encode()).hexdigest()] += 1
         assert Counter(map(tuple, bpe.encode_documents(df).collect())) == want
+        assert Counter(map(tuple, bpe.encode_documents(df, spread=600, branch=5).collect())) == want
     assert bpe.encode_documents(none, with_ids=True).count() == 0
 
 
+def test_branches_of_unsplit_texts(spark):
+    texts = ["".join(f"unsplit{'abcdefghij'[i % 7]}" for i in range(900)), "don't " + "日本語と言う" * 300 + "<|endoftext|>x", "é" * 3000 + " it's", "plain words"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    got = {(r.doc_id, tuple(r.ids)) for r in bpe.encode_documents(df, with_ids=True, spread=1000, branch=64).collect()}
+    assert got == {(r.doc_id, tuple(library_ids(r.text))) for r in df.collect()}
+
+
+def test_several_texts_of_a_chunk():
+    texts = ["it's", "", "'tis they'll've 12a3", " \n", "ÀÉ×÷ “odd” a|<b <|startoftext|>s don''t", "x" * 40]
+    flat, counts = ENCODER.chunk([t.encode() for t in texts])
+    ends = np.cumsum(counts)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [library_ids(t) for t in texts]
+
+
 def test_token_files(spark, docs, odd, none, tmp_path):
     for k, df in enumerate((docs, odd)):
-        rows = sorted(((r.doc_id is not None, r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0], x[1] or 0, x[2].encode()))
+        rows = sorted(((r.doc_id is not None, r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0], x[1] or 0, signed(xxhash.xxh64_intdigest(x[2].encode(), seed=42)), x[2].encode()))
         want, start = Counter(), 0
         for _, i, t in rows:
             x = [*library_ids(t), 1]
@@ -181,15 +201,30 @@ def test_without_labels_nothing_is_toxic(odd, spark):
     assert not any(r.toxic for r in toxicity.severity(odd, toxicity.train(odd, labels)).collect())
 
 
-def test_rounds_end_when_no_pair_is_frequent():
-    ids = np.random.default_rng(3).zipf(1.3, 60_000).clip(2, 3000).astype("<u2")
+@pytest.mark.parametrize("vocabulary", [3001, 1 << 30])
+def test_rounds_end_when_no_pair_is_frequent(vocabulary):
+    ids = np.random.default_rng(3).zipf(1.3, 60_000).clip(2, 3000).astype("<u4")
     ids[::50] = token_files.END
-    rules, x = token_files.re_pair(ids, 3001)
-    ends = np.zeros(1 << 16, bool)
+    if vocabulary > 3001:  # symbols too wide to be sorted beside their places
+        return assert_same_pairs(ids, *(token_files._ranked(x[:-1].astype(np.uint64), x[1:].astype(np.uint64), vocabulary) for x in (ids,)))
+    rules, x = token_files.re_pair(ids, vocabulary)
+    ends = np.zeros(vocabulary + len(rules), bool)
     ends[token_files.END] = True
     for i, (_, b) in enumerate(rules):
-        ends[3001 + i] = ends[b]
+        ends[vocabulary + i] = ends[b]
     pairs = Counter((a, b) for a, b in zip(x[:-1].tolist(), x[1:].tolist(), strict=True) if not ends[a])
-    assert max(pairs.values()) < 4 <= token_files.MIN_COUNT
-    spelt = lambda y: [int(y)] if y < 3001 else [z for side in rules[y - 3001] for z in spelt(side)]
+    assert max(pairs.values()) < 4 <= token_files.MIN_COUNT and len(rules) > 1000
+    spelt = lambda y: [int(y)] if y < vocabulary else [z for side in rules[y - vocabulary] for z in spelt(side)]
     assert [z for y in x for z in spelt(y)] == ids.tolist()
+
+
+def assert_same_pairs(ids, found):
+    keys, order = found
+    want = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]
+    assert (np.diff(keys.astype(object)) >= 0).all() and (want[order] == keys).all() and len(np.unique(order)) == len(order)
+
+
+@given(st.integers(1, 31), st.lists(st.integers(0, (1 << 31) - 1), max_size=20))
+def test_bits(width, values):
+    values = np.array([v % (1 << width) for v in values], np.int64)
+    assert token_files.from_bits(b"x" + token_files.to_bits(values, width), 1, len(values), width).tolist() == values.tolist()

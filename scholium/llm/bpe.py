@@ -39,7 +39,7 @@ SPREAD, BRANCH = 1 << 16, 1 << 13
 #: Bytes of text that are cut into pieces at a time; a longer text makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Pieces that need no normalising but lower case.
 _USUAL = re.compile("[!-~À-ÖØ-öø-ÿŒœ]+")
 # The pattern that a file must cut words by, and its endings of words.

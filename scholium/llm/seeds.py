@@ -2,7 +2,8 @@
 
 Any window of ``window`` symbols (words or bytes) names one of its ``gram``-symbol
 grams, the one of the least hash, leftmost if tied. Equal windows name equal
-grams, so a window can occur twice only if its gram, the seed, does. Seeds are
+grams, so a window can occur twice only if its gram, the seed, does. That holds for
+any hash; where a hash is the same for unlike grams, more is looked at than needed. Seeds are
 found in one pass, about two for every ``window - gram`` symbols; what follows
 works on the texts around repeated seeds alone, and no repeat is lost.
 
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from scholium.llm.common import text_of, written
@@ -26,8 +28,6 @@ PLACES = 24
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -60,7 +60,7 @@ def prefix_sums(symbols: np.ndarray, which: int = 0) -> np.ndarray:
 
 
 def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of symbols [start, end); equal just if the symbols are, but for chance."""
+    """Hashes of symbols [start, end): equal if the symbols are. Unlike symbols may agree too; no result rests on their not doing so."""
     return (sums[end] - sums[start]) * _power(which, True, len(sums))[start]
 
 
@@ -72,12 +72,10 @@ def rolling(symbols: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     return mixed(between(prefix_sums(symbols, which), at, at + size, which))
 
 
-def words_of(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word in bytes."""
-    inside = np.concatenate([[False], ~_SPACE[buffer], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[::2], edges[1::2]
-    return mixed(between(prefix_sums(_BYTES[buffer]), start, end)), start, end
+def word_symbols(raw: bytes) -> np.ndarray:
+    """A hash of each word's bytes. Words are told apart by a hash that is no polynomial in their letters."""
+    words = raw.split()  # bytes: only ASCII white space splits
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def named_grams(grams: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -122,11 +120,11 @@ def joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def symbols_of(raws: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
     """Symbol hashes of texts one after the other, and where each text starts in them."""
-    buffer, starts = joined(raws)
     if not words:
+        buffer, starts = joined(raws)
         return _BYTES[buffer], starts
-    hashes, at, _ = words_of(buffer)
-    return hashes, np.searchsorted(at, starts)
+    found = [word_symbols(raw) for raw in raws]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
 
 
 def _whole(starts: np.ndarray, ends: np.ndarray, n: int, window: int) -> np.ndarray:

@@ -3,10 +3,13 @@
 A text's words are cut into blocks of ``BLOCK`` = window / 2 words; the blocks of
 all texts are the index. Every rolling run of ``BLOCK`` words of a text probes
 it. Any window holds a whole block of the text it came from, so a window that
-occurs in another text holds a probe that hits. Around hits, on both sides,
-windows are extended word by word over the text; a window is removed if one of
-the same words starts in a text with a smaller doc_id. Runs of such windows are
-the maximal exact repeats.
+occurs in another text holds a probe that hits. A hit is extended to all windows
+around it that hold its block, on both sides. Windows are compared by the first
+128 bits of the SHA-256 of their words; a window is removed if one of the same
+words starts in a text with a smaller doc_id. Runs of such windows are the
+maximal exact repeats. So a passage that very many texts share is compared by
+grouping its windows, never text by text. Hashes of blocks and seeds only choose
+what is compared: they can let too much through, and never lose a repeat.
 
 Which texts and places are indexed and probed at all is decided by repeated
 seeds (seeds.py); the rest can hold no repeated window.
@@ -60,22 +63,31 @@ def _probes(window: int, block: int, gram: int):
     return rows
 
 
+def digest(window: bytes | memoryview) -> bytes:
+    """What windows are compared by: the first 128 bits of the SHA-256 of the words, joined by spaces."""
+    return hashlib.sha256(window).digest()[:16]
+
+
 def _windows(window: int, block: int):
-    """Windows around hits: two 64-bit hashes and the place."""
+    """Windows around hits: the digest of the words as two integers, and the place."""
 
     def rows(batches):
         for batch in batches:
             out, owner = [], []
             for k, (raw, places) in enumerate(_texts(batch)):
-                symbols, _ = seeds.symbols_of([raw], True)
-                at = np.flatnonzero(_spread(places, len(symbols) - window + 1, window - block, 0))
-                out.append((at, seeds.rolling(symbols, window)[at].view(np.int64), seeds.rolling(seeds.mixed(symbols + np.uint64(1)), window, 1)[at].view(np.int64)))
+                words = raw.split()
+                at = np.flatnonzero(_spread(places, len(words) - window + 1, window - block, 0))
+                ends = np.cumsum([len(w) + 1 for w in words])
+                joined, first = memoryview(b" ".join(words)), np.concatenate([[0], ends[:-1]])[at].tolist()
+                found = b"".join([digest(joined[i:j]) for i, j in zip(first, (ends[at + window - 1] - 1).tolist(), strict=True)])
+                out.append((at, np.frombuffer(found, "<i8").reshape(-1, 2)))
                 owner.append(np.full(len(at), k))
             if not out:
                 continue
             owner = pa.array(np.concatenate(owner))
+            found = np.concatenate([x for _, x in out])
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.concatenate([x[i] for x in out])) for i in (1, 2)), batch.column("did").take(owner), batch.column("th").take(owner), pa.array(np.concatenate([x[0] for x in out]).astype(np.int32))],
+                [pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), batch.column("did").take(owner), batch.column("th").take(owner), pa.array(np.concatenate([x for x, _ in out]).astype(np.int32))],
                 ["w1", "w2", "did", "th", "place"])
 
     return rows
@@ -107,7 +119,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, gr
 
     A null text has no words. A null doc_id is larger than all others, and rows
     of one doc_id never remove each other's words. Texts of fewer than
-    ``window`` words keep all. An empty table gives no rows.
+    ``window`` words keep all. Other columns are not looked at. An empty table
+    gives no rows.
     """
     if not 2 * block <= window:
         raise ValueError("a window must hold a whole block wherever it starts")

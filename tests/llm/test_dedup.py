@@ -127,6 +127,36 @@ def test_substring_removal(docs, odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def mirrored_words():
+    """Two words of 1,024 letters that polynomial hashes modulo 2**64 do not tell apart."""
+    bits = [i.bit_count() & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_unlike_words_of_one_polynomial_hash_stay(spark):
+    lead = " ".join(f"word{i}" for i in range(49))
+    df = spark.createDataFrame([(i, f"{lead} {w}") for i, w in enumerate(mirrored_words())] + [(2, f"{mirrored_words()[1]} {lead}")], "doc_id long, text string")
+    assert Counter(map(tuple, substring_dedup.remove_repeats(df).collect())) == plain_word_removal(rows_of(df))
+    assert {r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {0}
+
+
+def test_unlike_bytes_of_one_polynomial_hash_stay(spark):
+    a, b = mirrored_words()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate((a, b, a[:700] + "x", "lead " + b))], "doc_id long, text string")
+    want = plain_byte_removal([(i, t.encode()) for i, t in rows_of(df)])
+    for options in ({}, {"seed_bytes": 500}):
+        assert Counter(map(tuple, suffix_dedup.remove_repeated_bytes(df, **options).collect())) == want
+
+
+def test_whole_table_like_plain_versions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = rows_of(df)
+    assert Counter(map(tuple, substring_dedup.remove_repeats(df).collect())) == plain_word_removal(rows)
+    want = plain_byte_removal([(i, t.encode()) for i, t in rows])
+    for options in ({}, {"seed_bytes": 3000}):
+        assert Counter(map(tuple, suffix_dedup.remove_repeated_bytes(df, **options).collect())) == want
+
+
 def plain_byte_removal(rows, n=400):
     count = Counter(t[s : s + n] for _, t in rows for s in range(len(t) - n + 1))
     out = []

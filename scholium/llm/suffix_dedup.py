@@ -2,16 +2,24 @@
 
 Equal ``window``-byte strings have equal seeds (seeds.py). Around each repeated
 seed the bytes of the windows that name it are cut out as a fragment; equal
-fragments of a seed are counted as one. Fragments are dealt out by seed, so that
-all windows that may be equal meet in one shard. A shard joins its fragments
-and builds their suffix array by induced sorting: suffixes are classed as S or
-L, leftmost-smaller substrings are sorted by inducing and named, the string of
-names is sorted by doubling names, and the shard's array is induced from it.
-Permuted common prefixes are then found where they cannot be derived from the
-place before, and tell which windows have an equal neighbour.
-
-A seed whose distinct fragments outgrow a shard is not gathered: its windows are
-spread over the cluster by two 64-bit hashes and counted.
+fragments of a seed (by SHA-256, then by their bytes) are counted as one.
+Fragments are dealt out by seed, so that all windows that may be equal meet in
+one shard. A shard joins its fragments and builds their suffix array by induced
+sorting: suffixes are classed as S or L, leftmost-smaller substrings are sorted
+by inducing and named, the string of names is sorted, and the shard's array is
+induced from it. Permuted common prefixes are then found where they cannot be
+derived from the place before, and tell which windows have an equal neighbour.
+
+The string of names is sorted by doubling names. Sorting it by the same
+induction again gives the same array, but takes a step of the interpreter for
+each of its tens of thousands of symbols (35 times the time of a shard).
+
+A seed whose distinct fragments outgrow a shard is split by the bytes around it:
+the windows that name it are told apart by where in them it stands, in ranges of
+offsets, and all windows of a range share the bytes that make the range's own,
+longer seed. Ranges get finer until each seed's fragments fit into a shard; the
+finest hold one window each. So no common passage is gathered in one task, and
+every result comes from a suffix array.
 """
 
 from __future__ import annotations
@@ -26,8 +34,10 @@ from scholium.llm import seeds
 from scholium.llm.common import written
 
 WINDOW, GRAM = 400, 40
-#: Bytes from which a shard is full, and beyond which a seed is spread.
+#: Bytes from which a shard is full, and beyond which a seed is split.
 SHARD_BYTES, SEED_BYTES = 1 << 20, 2 << 20
+#: Ranges of offsets of a seed in its windows, by level of splitting; a last level has as many as there are offsets.
+RANGES = (1, 8, 64)
 
 
 # ---- suffix array of bytes ---------------------------------------------------
@@ -214,36 +224,54 @@ def runs(places) -> list[tuple[int, int]]:
 # ---- the job -----------------------------------------------------------------
 
 
-def _fragments(window: int, gram: int, with_bytes: bool):
-    """The fragment of each repeated seed: gram, two hashes, where it starts, bytes."""
+def _pieces(raw: bytes, places: np.ndarray, window: int, gram: int, ranges: int) -> list[tuple[int, int, int, int]]:
+    """(key, place of the seed, start, end) of the fragments of a text: the windows that name a seed, by ranges of its offset in them.
+
+    The key is a hash of bytes that all windows of a range of that seed have.
+    """
+    symbols = seeds.symbols_of([raw], False)[0][:-1]
+    grams = seeds.rolling(symbols, gram)
+    named = np.concatenate([x for _, x in seeds.named_grams(grams, window - gram + 1)])
+    first, last = np.searchsorted(named, places), np.searchsorted(named, places, side="right") - 1
+    if ranges == 1:
+        return list(zip(grams[places].view(np.int64).tolist(), places.tolist(), first.tolist(), (last + window).tolist(), strict=True))
+    out, edges = [], np.linspace(0, window - gram + 1, ranges + 1).astype(int).tolist()
+    for at, i, j in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
+        for low, high in zip(edges[:-1], edges[1:], strict=True):  # offsets [low, high): windows from at - high + 1 to at - low
+            start, end = max(i, at - high + 1), min(j, at - low) + window
+            if start + window <= end:
+                core = raw[at - low : at - high + 1 + window]
+                out.append((int.from_bytes(hashlib.sha256(b"%d " % low + core).digest()[:8], "little", signed=True), at, start, end))
+    return out
+
+
+def _fragments(window: int, gram: int, ranges: int, with_bytes: bool):
+    """The fragments of repeated seeds: key, first 128 bits of the SHA-256, and where they are or the bytes."""
 
     def rows(batches):
         for batch in batches:
-            out, owner, cut = [], [], []
+            keys, found, owner, cut = [], [], [], []
             for k, (raw, places) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places"), strict=True)):
-                symbols, _ = seeds.symbols_of([raw], False)
-                symbols = symbols[:-1]
-                grams = seeds.rolling(symbols, gram)
-                named = np.concatenate([x for _, x in seeds.named_grams(grams, window - gram + 1)])
-                at = np.sort(np.array(places.values, np.int64))
-                first = np.searchsorted(named, at)
-                end = np.searchsorted(named, at, side="right") - 1 + window
-                hashes = [seeds.mixed(seeds.between(seeds.prefix_sums(symbols, i), first, end, i)) for i in (0, 1)]
-                out.append((grams[at], *hashes, first, end))
-                owner.append(np.full(len(at), k))
-                cut.append([raw[i:j] for i, j in zip(first.tolist(), end.tolist(), strict=True)] if with_bytes else [])
-            if not out:
+                part = _pieces(raw, np.sort(np.array(places.values, np.int64)), window, gram, ranges)
+                found += part
+                bodies = [raw[i:j] for _, _, i, j in part]
+                keys += [hashlib.sha256(x).digest()[:16] for x in bodies]
+                owner += [k] * len(part)
+                if with_bytes:
+                    cut += bodies
+            if not found:
                 continue
-            g, f1, f2, first, end = (np.concatenate(x) for x in zip(*out, strict=True))
-            owner = np.concatenate(owner)
+            sha = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            seed, at, first, end = np.array(found, np.int64).T
+            owner = np.array(owner)
             if with_bytes:  # what a batch has more than once is sent once
                 copies = batch.column("copies").to_numpy()[owner]
-                _, once, inverse = np.unique(np.stack([g, f1, f2], 1), axis=0, return_index=True, return_inverse=True)
+                _, once, inverse = np.unique(np.column_stack([seed, sha]), axis=0, return_index=True, return_inverse=True)
                 weight = np.bincount(inverse.ravel(), copies).astype(np.int64)
-                flat = [x for part in cut for x in part]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[once].view(np.int64)) for x in (g, f1, f2)), pa.array(weight), pa.array([flat[i] for i in once.tolist()], pa.binary())], ["gram", "f1", "f2", "weight", "fragment"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed[once], sha[once, 0].copy(), sha[once, 1].copy(), weight)] + [pa.array([cut[i] for i in once.tolist()], pa.binary())], ["gram", "f1", "f2", "weight", "fragment"])
             else:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (g, f1, f2)), batch.column("did").take(pa.array(owner)), batch.column("th").take(pa.array(owner)), pa.array(first), pa.array(end - first)], ["gram", "f1", "f2", "did", "th", "first", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (seed, sha[:, 0], sha[:, 1])] + [batch.column(c).take(pa.array(owner)) for c in ("did", "th")] + [pa.array(np.ascontiguousarray(x)) for x in (at, first, end - first)],
+                                                 ["gram", "f1", "f2", "did", "th", "at", "first", "size"])
 
     return rows
 
@@ -272,6 +300,8 @@ def _sorted_shards(window: int, shard_bytes: int):
         for batch in batches:
             for g, f1, f2, weight, fragment in zip(*(batch.column(c).to_pylist() for c in ("gram", "f1", "f2", "weight", "fragment")), strict=True):
                 if keys and keys[-1] == (g, f1, f2):
+                    if fragments[-1] != fragment:
+                        raise ValueError("unlike fragments have the same SHA-256")
                     counts[-1] += weight
                     continue
                 if size >= shard_bytes and keys[-1][0] != g:
@@ -287,18 +317,6 @@ def _sorted_shards(window: int, shard_bytes: int):
     return rows
 
 
-def _spread_windows(window: int):
-    def rows(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                symbols = seeds._BYTES[np.frombuffer(row["fragment"], np.uint8)]
-                h1, h2 = (seeds.rolling(symbols, window, i).view(np.int64) for i in (0, 1))
-                n = len(h1)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, row[c], np.int64)) for c in ("gram", "f1", "f2", "weight")), pa.array(h1), pa.array(h2), pa.array(np.arange(n))], ["gram", "f1", "f2", "weight", "h1", "h2", "a"])
-
-    return rows
-
-
 def _cut(window: int):
     """What is left of a text without the bytes of its repeated windows."""
 
@@ -323,25 +341,28 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
 
     A null text is empty. Every row is a document of its own, also with a null
     or repeated doc_id or as a repeated row: of equal texts of ``window`` bytes
-    or more nothing is left. Shorter texts keep all. An empty table gives no rows.
+    or more nothing is left. Shorter texts keep all. Other columns are not
+    looked at. An empty table gives no rows.
     """
     rows = seeds.scan(docs, lambda raw: (len(raw), ""), False, window, gram)
     reps = seeds.representatives(rows)
     texts = seeds.repeated(docs, rows, reps, other_text=False)
-    marks = written(texts.select("did", "th", "text", "places").mapInArrow(_fragments(window, gram, False), "gram long, f1 long, f2 long, did long, th long, first long, size long"), "fragments")
-    wide = marks.select("gram", "f1", "f2", "size").distinct().groupBy("gram").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > seed_bytes).select("gram")
-    wide = written(wide, "wide-seeds")
-    bodies = texts.select("did", "th", "text", "places", "copies").mapInArrow(_fragments(window, gram, True), "gram long, f1 long, f2 long, weight long, fragment binary")
-    some = not wide.isEmpty()
-    usual = bodies.join(wide, "gram", "left_anti") if some else bodies
-    shards = usual.repartition("gram").sortWithinPartitions("gram", "f1", "f2")
-    found = shards.mapInArrow(_sorted_shards(window, shard_bytes), "gram long, f1 long, f2 long, a long, b long")
-    if some:
-        once = bodies.join(wide, "gram", "left_semi").groupBy("gram", "f1", "f2").agg(F.sum("weight").alias("weight"), F.min("fragment").alias("fragment"))
-        windows = written(once.mapInArrow(_spread_windows(window), "gram long, f1 long, f2 long, weight long, h1 long, h2 long, a long"), "wide-windows")
-        twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").drop("n")
-        found = found.unionByName(windows.join(twice, ["h1", "h2"], "left_semi").select("gram", "f1", "f2", "a", F.col("a").alias("b")))
-    found = written(found, "repeated-runs")
+    source, marks, bodies = texts, None, None
+    for ranges in (*(x for x in RANGES if x < window - gram + 1), window - gram + 1):
+        here = written(source.select("did", "th", "text", "places").mapInArrow(_fragments(window, gram, ranges, False), "gram long, f1 long, f2 long, did long, th long, at long, first long, size long"), "fragments")
+        wide = here.select("gram", "f1", "f2", "size").distinct().groupBy("gram").agg(F.sum("size").alias("bytes")).where((F.col("bytes") > seed_bytes) & F.lit(ranges <= window - gram)).select("gram")
+        wide = written(wide, "wide-seeds")
+        done = wide.isEmpty()
+        cut = source.select("did", "th", "text", "places", "copies").mapInArrow(_fragments(window, gram, ranges, True), "gram long, f1 long, f2 long, weight long, fragment binary")
+        if not done:
+            again = here.join(wide, "gram", "left_semi").groupBy("did", "th").agg(F.collect_set(F.col("at").cast("int")).alias("places"))
+            here, cut = here.join(wide, "gram", "left_anti"), cut.join(wide, "gram", "left_anti")
+        marks, bodies = (here, cut) if marks is None else (marks.unionByName(here), bodies.unionByName(cut))
+        if done:
+            break
+        source = written(texts.drop("places").join(again, ["did", "th"]), "split-texts")
+    shards = bodies.repartition("gram").sortWithinPartitions("gram", "f1", "f2")
+    found = written(shards.mapInArrow(_sorted_shards(window, shard_bytes), "gram long, f1 long, f2 long, a long, b long"), "repeated-runs")
     gone = marks.join(found, ["gram", "f1", "f2"]).select("did", "th", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     gone = gone.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     cut = texts.where("copies = 1").select("did", "th", "text").join(gone, ["did", "th"]).mapInArrow(_cut(window), "did long, th long, removed long, spans long, left string")

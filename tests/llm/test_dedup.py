@@ -170,7 +170,7 @@ def plain_byte_removal(rows, n=400):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"seed_bytes": 1000}, {"shard_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"seed_bytes": 700}, {"shard_bytes": 2000}])
 def test_byte_removal(docs, odd, none, options):
     for df in (docs.where("length(text) < 8000"), odd):
         want = plain_byte_removal([(i, t.encode()) for i, t in rows_of(df)])

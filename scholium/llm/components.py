@@ -24,9 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(least, "least")  # so that Spark can split the join of a hub
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = written(large.groupBy("u").agg(F.min("v").alias("m")), "least-star")
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         after = _state(pairs)

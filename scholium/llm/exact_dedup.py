@@ -74,7 +74,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = 64)
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"),
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         half = written(half, f"pairs-{level + 1}")
-        pairs = _numbered(half.select("a", "b").distinct(), ["a", "b"])
+        pairs = written(_numbered(half.select("a", "b").distinct(), ["a", "b"]), f"pair-names-{level + 1}")  # so that Spark can split the join of a hot pair
         rows = written(half.join(pairs, ["a", "b"]).select("uid", "pos", "name"), f"named-{level + 1}")
     last = rows.select("uid", "name")
     for x in done:
@@ -98,5 +98,10 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without the copies."""
+    """The rows of ``docs``, all columns whatever their names, without the copies.
+
+    Of equal texts the row with the largest doc_id stays; a null text is empty, a
+    null doc_id stays only if all are null, and of repeated rows one stays. An
+    empty table gives no rows.
+    """
     return only(docs, exact_groups(docs).where("kept"))

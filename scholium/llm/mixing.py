@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scholium.llm.common import key60, small, text_of, word_count, written
+from scholium.llm.common import fresh, key60, small, text_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -101,12 +101,15 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    plain = docs.select("doc_id", "source", "text")
-    rows = written(sized(plain).select("source", "size", "key"), "mix-rows")
-    cuts = thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    cuts = cuts.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
-    keyed = docs.withColumn("_key", row_key())
-    copies = (F.col("_whole") + F.when(F.col("_key") < F.col("_below"), 1).otherwise(0)).cast("int")
-    taken = keyed.join(small(cuts), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
-    return taken.select(*(taken[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """The rows of ``docs``, all columns whatever their names, each as often as the mix takes it.
+
+    A null text has no words; its rows are taken like others. Null sources form
+    one source. Rows that agree in doc_id and text, or are repeated, are taken
+    alike. An empty table gives no rows.
+    """
+    rows = written(sized(docs.select("doc_id", "source", "text")).select("source", "size", "key"), "mix-rows")
+    cut, key, copy = (fresh(docs, x) for x in ("cut", "key", "copy"))
+    cuts = thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))).select(F.struct("source", "whole", "below").alias(cut))
+    copies = (F.col(f"{cut}.whole") + F.when(F.col(key) < F.col(f"{cut}.below"), 1).otherwise(0)).cast("int")
+    taken = docs.withColumn(key, row_key()).join(small(cuts), F.col("source").eqNullSafe(F.col(f"{cut}.source"))).withColumn(copy, copies).where(F.col(copy) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(cut, key, copy)

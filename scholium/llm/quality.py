@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows of the sample that costs and rejections are measured on, at most.
+#: Rows of the sample that costs and rejections are measured on, about.
 SAMPLE_ROWS = 2000
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -124,8 +124,7 @@ def _raw(batch: pa.RecordBatch) -> list[bytes]:
 
 def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[str]:
     """Names of the rules, best rejections per second first."""
-    n = docs.count()
-    sample = docs.select("text").sample(fraction=min(1.0, 1.5 * sample_rows / max(n, 1)), seed=seed).limit(sample_rows)
+    sample = docs.select("text").sample(fraction=min(1.0, sample_rows / max(docs.count(), 1)), seed=seed)
 
     def measure(batches):
         for batch in batches:
@@ -171,7 +170,11 @@ def score(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows of ``docs``, all columns, that no rule rejects."""
+    """The rows of ``docs``, all columns whatever their names, that no rule rejects.
+
+    A null or empty text has too few words and goes; null and repeated doc_ids
+    and repeated rows are judged one by one. An empty table gives no rows.
+    """
     by_name = {r.__name__: r for r in rules}
     ordered = [by_name[x] for x in rule_order(docs, rules)]
 

@@ -89,12 +89,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per row of ``docs``.
 
     A null text is empty. Null and repeated doc_ids and repeated rows keep their
-    own rows and slots. Slots follow a hash of doc_id, so that no shard is
-    sorted in one task. Texts whose 60-bit keys agree stay together. With fewer
+    own rows and slots. A shard's slots are dealt out in parts of about
+    ``SLOT_ROWS`` rows, so that no shard, and no doc_id or text with very many
+    rows, is sorted in one task. Other columns are not looked at. Texts whose 60-bit keys agree stay together. With fewer
     groups than shards some shards are empty; an empty table gives no rows.
     """
     text = text_of()
-    rows = written(docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key60(text).alias("key")), "shard-rows")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key60(text).alias("key")), "shard-rows")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     top = rows.groupBy("key").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "key").limit(shards + 1).collect()
     alone, left = [], total
@@ -109,8 +110,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for i, key in enumerate(alone):
         place = F.when(F.col("key") == key, shards - len(alone) + i).otherwise(place)
     parts = max(1, -(-n // (SLOT_ROWS * shards)))
-    placed = rows.withColumn("shard", place.cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)))
+    placed = rows.withColumn("shard", place.cast("int")).withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("offset"))
-    slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "key")) - 1 + F.col("offset")
+    slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "key", "uid")) - 1 + F.col("offset")
     return placed.join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -249,7 +249,12 @@ def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns: of each component the row with the smallest doc_id."""
+    """The rows of ``docs``, all columns whatever their names: of each component the row with the smallest doc_id.
+
+    A null text is empty; texts without a word are one component, together with
+    fingerprints near zero. A null doc_id stays only if the component has no
+    other; of repeated rows one stays. An empty table gives no rows.
+    """
     rows = written(fingerprints(docs.withColumn("text_sha256", F.sha2(text_of().cast("binary"), 256)), "text_sha256"), "simhash")
     rooted = _with_components(rows)
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_sha256")).alias("best"))

@@ -24,7 +24,6 @@ without expanding what lies before it.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scholium.llm.bpe import default_path, encoder, raw_texts
-from scholium.llm.common import shared_dir, text_of
+from scholium.llm.common import place, text_of
 
 END = 1
 BLOCK_TOKENS = 1_000_000
@@ -286,6 +285,6 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     their own, in the order of their texts' hashes. Other columns are not looked
     at. An empty table gives no rows.
     """
-    path = f"{shared_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
+    path = place(docs.sparkSession, "token-ids")
     write(docs.select(F.col("doc_id").cast("long"), "text"), path, tokenizer)
     return read(docs.sparkSession, path)

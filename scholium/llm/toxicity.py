@@ -1,6 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Grades 0 < 1 < 2 of severity come from the labels: sound, of low quality, toxic. P(grade > k) = sigmoid(x.w - cut_k): all cuts share the weights w. A
+Grades 0 < 1 < 2 of severity come from the labels: sound, of low quality, toxic. The labels
+know no degrees of toxicity; low quality stands between as the grade that such texts are
+most often mistaken for. P(grade > k) = sigmoid(x.w - cut_k): all cuts share the weights w. A
 text's features x count its words and the stems of longer words. The model is fitted on at
 most ``LABEL_ROWS`` labelled rows: Spark counts their words and screens out those
 that lean to no grade, the driver gets the rest as numbers,
@@ -9,6 +11,7 @@ and an L1 penalty (accelerated proximal gradient) thins the rest. Every document
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,8 +32,8 @@ PENALTY = 0.0001
 STEPS = 600
 #: A document is called toxic from this probability of the top grade on.
 TOXIC = 0.5
-#: Bytes of a stem, and how often a feature of one text counts at most.
-STEM, MOST = 6, 4
+#: Bytes of a stem.
+STEM = 6
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
@@ -40,10 +43,10 @@ def counts(raw: bytes) -> tuple[Counter, Counter]:
     return Counter(words), Counter([w[:STEM] for w in words if len(w) > STEM])
 
 
-def features(raw: bytes) -> dict[bytes, int]:
-    """Words, and stems marked by a star, with how often the text has each, ``MOST`` times at most."""
+def features(raw: bytes) -> dict[bytes, float]:
+    """Words, and stems marked by a star, with log2 of one more than how often the text has each."""
     words, stems = counts(raw)
-    return {w: min(n, MOST) for w, n in words.items()} | {w + b"*": min(n, MOST) for w, n in stems.items()}
+    return {w: math.log2(n + 1) for w, n in words.items()} | {w + b"*": math.log2(n + 1) for w, n in stems.items()}
 
 
 @dataclass
@@ -57,8 +60,8 @@ class Model:
     def above(self, raw: bytes) -> list[float]:
         """P(grade > k) for each k."""
         words, stems = counts(raw)
-        score = sum(self.weights[w] * min(words[w], MOST) for w in sorted(words.keys() & self.weights.keys()))
-        score += sum(self.stems[w] * min(stems[w], MOST) for w in sorted(stems.keys() & self.stems.keys()))
+        score = sum(self.weights[w] * math.log2(words[w] + 1) for w in sorted(words.keys() & self.weights.keys()))
+        score += sum(self.stems[w] * math.log2(stems[w] + 1) for w in sorted(stems.keys() & self.stems.keys()))
         return [float(_sigmoid(np.float64(score - c))) for c in self.cuts]
 
 
@@ -66,10 +69,11 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[list[int]], grades: list[int], words: list[bytes], n_grades: int = GRADES) -> Model:
-    """Fits weights of ``words``; a row lists the numbers of its words, repeats counted. Grades that no row has leave their cut out of reach."""
+def fit(rows: list[list[tuple[int, float]]], grades: list[int], words: list[bytes], n_grades: int = GRADES) -> Model:
+    """Fits weights of ``words``; a row lists its words' numbers and values. Grades that no row has leave their cut out of reach."""
     y, top = np.array(grades, np.int64), n_grades - 1
-    column = np.array([k for x in rows for k in x], np.int64)
+    column = np.array([k for x in rows for k, _ in x], np.int64)
+    value = np.array([v for x in rows for _, v in x], np.float64)
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows]).astype(np.int64)
     n = max(len(rows), 1)
     w = np.zeros(len(words))
@@ -77,7 +81,7 @@ def fit(rows: list[list[int]], grades: list[int], words: list[bytes], n_grades:
     cuts = -np.log(rate / (1 - rate))
 
     def gradient(w, cuts):
-        score = np.bincount(owner, w[column], len(rows)) if len(column) else np.zeros(len(rows))
+        score = np.bincount(owner, w[column] * value, len(rows)) if len(column) else np.zeros(len(rows))
         above = np.ones((len(rows), n_grades + 1))
         above[:, -1] = 0
         above[:, 1:-1] = _sigmoid(score[:, None] - cuts[None, :])
@@ -86,11 +90,11 @@ def fit(rows: list[list[int]], grades: list[int], words: list[bytes], n_grades:
         p = np.maximum(above[at, y] - above[at, y + 1], 1e-12)
         by_score = -(slope[at, y] - slope[at, y + 1]) / p / n
         by_cut = np.array([((y == k + 1) * slope[:, k + 1] / p - (y == k) * slope[:, k + 1] / p).sum() / n for k in range(top)])
-        return np.bincount(column, by_score[owner], len(words)), by_cut
+        return np.bincount(column, by_score[owner] * value, len(words)), by_cut
 
     # steps that never overshoot: each weight's curvature is at most half its entries times their rows' totals
-    total = np.bincount(owner, minlength=len(rows)) + 1
-    curve = np.concatenate([np.bincount(column, total[owner], len(words)), np.full(top, total.sum())]) / (2 * n)
+    total = np.bincount(owner, value, len(rows)) + 1
+    curve = np.concatenate([np.bincount(column, total[owner] * value, len(words)), np.full(top, total.sum())]) / (2 * n)
     pace = 1.0 / np.maximum(curve, 1e-9)
     keen = np.concatenate([pace[: len(words)] * PENALTY, np.zeros(top)])
     x = np.concatenate([w, cuts])
@@ -118,13 +122,13 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> M
         for batch in batches:
             found = [features(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), batch.column("grade"), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
-                ["doc_id", "th", "grade", "words", "counts"])
+                [batch.column("doc_id"), batch.column("th"), batch.column("grade"), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))],
+                ["doc_id", "th", "grade", "words", "values"])
 
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "grade", "text")
-    labelled = written(labelled.mapInArrow(featured, "doc_id long, th long, grade int, words array<binary>, counts array<int>"), "labelled-texts").dropDuplicates(["doc_id", "th", "grade"])
+    labelled = written(labelled.mapInArrow(featured, "doc_id long, th long, grade int, words array<binary>, values array<double>"), "labelled-texts").dropDuplicates(["doc_id", "th", "grade"])
     chosen = written(labelled.select("doc_id", "th", "grade").orderBy(F.xxhash64("doc_id"), "th", "grade").limit(label_rows), "labelled-chosen")  # repeated doc_ids do not raise the bound
-    rows = written(labelled.join(F.broadcast(chosen), ["doc_id", "th", "grade"], "left_semi").select("grade", "words", "counts"), "labelled-rows")
+    rows = written(labelled.join(F.broadcast(chosen), ["doc_id", "th", "grade"], "left_semi").select("grade", "words", "values"), "labelled-rows")
 
     top = F.col("grade") == GRADES - 1
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(top.cast("int")), F.lit(0))).first()
@@ -136,12 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> M
 
     def numbered(batches):
         for batch in batches:
-            lists = [sorted(number[w] for w, c in zip(ws, cs, strict=True) if w in number for _ in range(c)) for ws, cs in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["grade", "numbers"])
+            lists = [sorted((number[w], v) for w, v in zip(ws, vs, strict=True) if w in number) for ws, vs in zip(batch.column("words").to_pylist(), batch.column("values").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), *(pa.array([[x[i] for x in y] for y in lists], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.float64())))], ["grade", "numbers", "values"])
 
-    found = rows.mapInArrow(numbered, "grade int, numbers array<int>").toArrow()  # at most label_rows rows, of screened words alone
-    ordered = sorted(zip(found["grade"].to_pylist(), found["numbers"].to_pylist(), strict=True))  # in one order, so that reruns agree
-    return fit([x for _, x in ordered], [g for g, _ in ordered], words)
+    found = rows.mapInArrow(numbered, "grade int, numbers array<int>, values array<double>").toArrow()  # at most label_rows rows, of screened words alone
+    ordered = sorted(zip(*(found[c].to_pylist() for c in ("grade", "numbers", "values")), strict=True))  # in one order, so that reruns agree
+    return fit([list(zip(n, v, strict=True)) for _, n, v in ordered], [g for g, _, _ in ordered], words)
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:

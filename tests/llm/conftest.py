@@ -1,6 +1,6 @@
 import pytest
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, fp long"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, fp long, _id long, _sha string, _sha_of string, _source string, _whole long, _copy long, _key long, _copies long, _below long, own string, name string, cut string, copy long, text_sha256 string"
 
 
 @pytest.fixture(scope="session")
@@ -14,7 +14,8 @@ def odd(spark):
         (5, long, "en", "c", 1, 1, 1, 1), (6, "lead " + passage + " tail one", "en", "a", 1, 1, 1, 1), (7, "other " + passage + " tail two", "de", "c", 1, 1, 1, 1),
         (8, "\t\n \r", "en", "é", 1, 1, 1, 1), (9, "same line\nsame line\nsame line\n" + passage, "en", "a", 1, 1, 1, 1), (10, "ÄÖ ß <|endoftext|> 日本語 don't", "de", "b", 1, 1, 1, 1),
     ]
-    return spark.createDataFrame(rows, ODD)
+    extra = (7, "a", "b", "c", 8, 9, 10, 11, 12, "own", "name", "cut", 13, "sha")
+    return spark.createDataFrame([(*r, *extra) for r in rows], ODD)
 
 
 @pytest.fixture(scope="session")

@@ -140,6 +140,17 @@ def test_cuts_have_the_least_capacity(spark):
     rows = spark.createDataFrame([(int(k), int(s)) for k, s in zip(keys, sizes, strict=True)], "key long, size long").cache()
     cuts = sharding.cut_keys(rows, 24, int(sizes.max()))
     place = np.searchsorted(np.array(cuts), keys, side="right")
+
+    def needed(capacity):  # shards of a plain left-to-right packing
+        used, room = 1, capacity
+        for size in sizes.tolist():
+            if size > room:
+                used, room = used + 1, capacity
+            room -= size
+        return used
+
+    most = int(np.bincount(place, sizes).max())
+    assert needed(most) <= 24 < needed(most - 1)
     assert np.bincount(place, sizes).max() == sharding.least_capacity(sizes, 24)
 
 
@@ -177,6 +188,20 @@ def test_quality(docs, odd, none):
     assert quality.score(none).count() == 0 and quality.keep_good(none).columns == none.columns
 
 
+def plain_verdict(text):
+    """Whether a rule rejects a text, from the rules' statements."""
+    w, (n, chars, symbols, copied, repeated) = text.encode().split(), plain_facts(text)
+    lines = sum(bool(x.encode().strip(b" \t\n\x0b\x0c\r")) for x in text.split("\n"))
+    same = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return (n < 20, 100 * repeated > 30 * n, 100 * symbols > 20 * n, copied >= 3 and 100 * copied > 30 * lines, not 2 * n <= chars <= 20 * n, 100 * same > 30 * n)
+
+
+def test_kept_is_what_no_rule_rejects(docs, odd):
+    for df in (docs, odd):
+        want = Counter((r.doc_id, not any(plain_verdict(r.text or ""))) for r in df.collect())
+        assert Counter((r.doc_id, r.kept) for r in quality.score(df).collect()) == want
+
+
 def test_rules_follow_the_labels(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
@@ -196,6 +221,45 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.severity(odd, model).count() == odd.count() and toxicity.severity(none, model).count() == 0
 
 
+def loss(flat, x, grades, n_words):
+    """Mean negative log likelihood and penalty, from the definition: P(y = k) = P(y > k - 1) - P(y > k)."""
+    w, cuts = flat[:n_words], flat[n_words:]
+    total = 0.0
+    for row, y in zip(x, grades, strict=True):
+        above = [1.0, *(1 / (1 + np.exp(c - row @ w)) for c in cuts), 0.0]
+        total -= np.log(max(above[y] - above[y + 1], 1e-12))
+    return total / len(x) + toxicity.PENALTY * np.abs(w).sum()
+
+
+def test_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (60, 3)) * rng.choice([0.0, 1.0], (60, 3))
+    grades = np.clip((x @ np.array([1.2, -0.8, 0.0]) + rng.normal(0, 1, 60) + 0.8).astype(int), 0, 2).tolist()
+    words = [b"a", b"b", b"c"]
+    model = toxicity.fit([[(k, float(v)) for k, v in enumerate(r) if v] for r in x], grades, words)
+    mine = np.array([*(model.weights.get(w, 0.0) for w in words), *model.cuts])
+    best, at, step = loss(mine, x, grades, 3), mine.copy(), 0.5
+    while step > 1e-5:  # a plain search from there, and from nothing, finds nothing better
+        for start in (at, np.array([0, 0, 0, 0, 1.0]) if step == 0.5 else at):
+            for i in range(5):
+                for sign in (step, -step):
+                    there = start.copy()
+                    there[i] += sign
+                    if there[3] < there[4] and (found := loss(there, x, grades, 3)) < best - 1e-5:
+                        best, at = found, there
+        step /= 2
+    assert loss(mine, x, grades, 3) <= best + 1e-3
+
+
+def test_severity_is_the_expected_grade():
+    model = toxicity.Model({b"bad": 1.5, b"terrib*": 2.0, b"fine": -1.0}, (0.5, 2.0))
+    text = b"Bad bad, TERRIBLY fine terrible bad"
+    score = 1.5 * np.log2(4) + 2.0 * np.log2(3) - 1.0
+    above = [1 / (1 + np.exp(c - score)) for c in (0.5, 2.0)]
+    p = [1 - above[0], above[0] - above[1], above[1]]
+    assert sum(model.above(text)) == pytest.approx(sum(k * x for k, x in enumerate(p)))
+
+
 def test_without_labels_nothing_is_toxic(odd, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert not any(r.toxic for r in toxicity.severity(odd, toxicity.train(odd, labels)).collect())

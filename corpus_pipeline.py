@@ -13,31 +13,34 @@ columns of documents:
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from scholium.llm import bpe, exact_dedup, mixing, quality, simhash
-from scholium.llm.common import load, shared_dir
+from scholium.llm.common import load, place, run_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that no rule rejects. Null and empty texts go; no documents give no rows."""
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; of repeated rows one."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts the row with the smallest doc_id; null doc_ids last."""
     return simhash.drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them; repeated rows alike."""
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of ids for each row; a null text has none."""
     return bpe.encode_documents(docs, with_ids=True)
 
 
@@ -49,15 +52,22 @@ STAGES = [
     ("bpe", token_ids),
 ]
 
-#: Fingerprints and BPE have no SQL; tests compare the stages with a plain version.
+#: Fingerprints and BPE have no SQL; tests/llm/test_pipeline.py compares the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs, folder = load(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over the documents of ``sf_dir``: doc_id, n_tokens, ids_sha256, decoded_sha256, ids.
+
+    Null and empty texts have too few words and go in the first stage. Null and
+    repeated doc_ids, repeated rows and further columns of any name are carried
+    along until the last stage. No documents give no rows. Only the last stage's
+    table stays in the shared folder; the others are dropped when it is written.
+    """
+    docs, result = load(spark, sf_dir, "documents"), place(spark, "pipeline")
+    with run_folder(spark) as folder:
+        for i, (_, stage) in enumerate(STAGES):
+            path = result if i == len(STAGES) - 1 else f"{folder}/{i}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

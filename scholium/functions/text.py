@@ -21,9 +21,10 @@ STOPWORDS = (
     "when's where where's which while who who's whom why why's with won't would wouldn't you you'd you'll you're you've "
     "your yours yourself yourselves"
 ).split()
-# Tokens and the punctuation that they lose at their end.
-TOKEN_PATTERN = r"[a-z0-9][a-z0-9\-_.+]*"
-TRAILING = r"[\-_.]+$"
+#: A token: letters, digits and ``-_.+``, from a letter or digit to the last that is none of ``-_.``.
+TOKEN_PATTERN = r"[a-z0-9](?:[a-z0-9\-_.+]*[a-z0-9+])?"
+#: Characters beyond which a text may change under NFKC: ASCII, Western European letters, dashes, quotes.
+_STEADY = "^[\\x00-\\x7f\\xc0-\\xff\\u0152\\u0153\\u2013\\u2014\\u2018-\\u201e\\u2022\\u20ac]*$"
 SLUG_PATTERN = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 # Phrases by intent; the first family with a phrase in the question wins.
 INTENTS = (
@@ -35,8 +36,17 @@ INTENTS = (
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def may_change(text: Column) -> Column:
+    return ~text.rlike(_STEADY)
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC; only texts that it may change go through Python."""
+    return F.coalesce(_nfkc(F.when(may_change(text), text)), text)
 
 
 @F.pandas_udf(StringType())
@@ -46,14 +56,16 @@ def casefolded(text: pd.Series) -> pd.Series:
 
 def tokenize(text: Column, normalise: bool = True) -> Column:
     """Terms in order: NFKC, lower case, tokens without trailing ``-_.`` (``c++`` keeps its plus)."""
-    found = F.regexp_extract_all(F.lower(nfkc(text) if normalise else text), F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, TRAILING, "")), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(nfkc(text) if normalise else text), F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def is_term(token: Column) -> Column:
+    return ~token.isin(*STOPWORDS)
 
 
 def index_terms(tokens: Column) -> Column:
     """Tokens that are no stop words, repeats kept; queries are analysed the same way."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(tokens, lambda x: ~F.array_contains(stop, x))
+    return F.filter(tokens, is_term)
 
 
 def slugify(name: Column) -> Column:

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scholium.functions.text import folded, is_slug
+from scholium.functions.text import folded, is_slug, slugify
+from scholium.store import written
 
 # Weights of the confidence and the limits of its dispositions.
 BASE, W_MODEL, W_CORROBORATION, W_CUE, W_AGREEMENT, MODEL_CAP = 0.15, 0.25, 0.30, 0.20, 0.10, 0.8
@@ -23,7 +24,8 @@ def cue_score(cue: Column, structural: Column) -> Column:
 
 
 def agreement(opposite: Column, same_verified: Column, path: Column) -> Column:
-    return F.when(opposite, 0.0).when(same_verified, 1.0).when(path, 0.7).otherwise(0.0)
+    """How far the graph bears an edge out; a verified edge the other way counts unless the edge itself is verified too."""
+    return F.when(same_verified, 1.0).when(opposite, 0.0).when(path, 0.7).otherwise(0.0)
 
 
 def confidence(model: Column, corroborated: Column, cue: Column, agree: Column) -> Column:
@@ -43,21 +45,78 @@ def evidence(rows: DataFrame) -> DataFrame:
         F.countDistinct("document_id").alias("n_docs"), F.countDistinct("chunk_id").alias("n_chunks"), F.min(first).alias("provenance"))
 
 
-def scored(edges: DataFrame) -> DataFrame:
-    """Adds cue, confidence and disposition to evidence; without a graph to agree with."""
+def agreeing(edges: DataFrame, known: DataFrame, hops: int = 3) -> DataFrame:
+    """Adds agreement of each edge with ``known`` edges (source_id, target_id, relation, verified): the same or the opposite one verified, or a path of up to ``hops`` edges of its relation."""
+    keys = ["source_id", "target_id", "relation"]
+    verified = known.where("verified").select(*keys).distinct()
+    opposite = verified.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation")
+    steps = known.select(F.col("source_id").alias("here"), F.col("target_id").alias("to"), "relation").distinct()
+    reached = edges.select(*keys, F.col("source_id").alias("here")).distinct()
+    met = None
+    for _ in range(hops):
+        ahead = reached.join(steps, ["here", "relation"]).select(*keys, F.col("to").alias("here")).distinct()
+        here = ahead.where("here = target_id").select(*keys)
+        met = here if met is None else met.unionByName(here)
+        reached = ahead.where("here <> target_id")
+    out = edges
+    for name, rows in (("same", verified), ("opposite", opposite), ("path", met.distinct())):
+        out = out.join(rows.withColumn(name, F.lit(True)), keys, "left")
+    held = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumn("agreement", agreement(held("opposite"), held("same"), held("path"))).drop("same", "opposite", "path")
+
+
+def scored(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Adds cue, confidence and disposition to evidence; ``known``: the graph that edges may agree with."""
+    rows = edges.withColumn("agreement", F.lit(0.0)) if known is None else agreeing(edges, known)
     cue = F.when(F.col("any_explicit") == 1, "explicit").otherwise("inferred")
-    score = confidence(F.col("model_confidence"), corroboration(F.col("n_docs")), cue_score(cue, F.col("n_chunks") > 1), F.lit(0.0))
-    out = edges.withColumn("cue", cue).withColumn("confidence", F.round(score, 6))
+    score = confidence(F.col("model_confidence"), corroboration(F.col("n_docs")), cue_score(cue, F.col("n_chunks") > 1), F.col("agreement"))
+    out = rows.withColumn("cue", cue).withColumn("confidence", F.round(score, 6)).drop("agreement")
     return out.withColumn("disposition", disposition(F.col("confidence"), F.col("cue"), F.col("n_docs")))
 
 
-def gated(rows: DataFrame, relations=("requires", "part_of", "related_to"), least_quote: int = 10) -> DataFrame:
-    """Adds gate, the first reason to refuse a row (chunk_text, quote, source, target, relation, model_confidence), or null."""
-    quote = folded(F.col("quote"))
-    return rows.withColumn("gate", F.when(~F.col("relation").isin(*relations), "relation")
-        .when(~is_slug(F.col("source")) | ~is_slug(F.col("target")), "slug").when(F.col("source") == F.col("target"), "self_loop")
-        .when(F.col("model_confidence").isNull() | ~F.col("model_confidence").between(0, 1), "confidence")
-        .when(F.length(quote) < least_quote, "quote_short").when(~F.contains(folded(F.col("chunk_text")), quote), "quote_absent"))
+# Relations, the least length of a quote, and what marks one as boilerplate.
+RELATIONS = ("requires", "contains", "related_to", "part_of", "assesses", "taught_by")
+LEAST_QUOTE, BOILERPLATE = 10, r"^(?:[#\-*•|>]|\d+[.)]\s)"
+
+
+def concept_gate(name: Column) -> Column:
+    """Why a concept is refused: no name, or one that gives no slug."""
+    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "empty_name").when(~is_slug(slugify(name)), "unresolved_entity")
+
+
+def gated(rows: DataFrame, allow_cross_course: bool = False) -> DataFrame:
+    """Adds gate, the key of the first reason to refuse a row, or null.
+
+    ``rows``: source_name, target_name, relation, cue, model_confidence,
+    document_id, chunk_id, quote, chunk_text and, if known, source_course and
+    target_course. What is left goes through ``screened``.
+    """
+    source, target = F.trim(F.coalesce("source_name", F.lit(""))), F.trim(F.coalesce("target_name", F.lit("")))
+    quote = F.trim(F.coalesce("quote", F.lit("")))
+    gate = F.when(F.col("model_confidence").isNull() | ~F.col("model_confidence").between(0, 1), "schema")
+    gate = gate.when(~F.coalesce(F.col("relation").isin(*RELATIONS), F.lit(False)), "relation_enum")
+    gate = gate.when((F.lower(source) == F.lower(target)) | (slugify(source) == slugify(target)), "self_relation")
+    gate = gate.when((F.col("relation") == "requires") & (F.col("cue") == "inferred"), "inferred_requires")
+    gate = gate.when(F.col("document_id").isNull() | F.col("chunk_id").isNull() | (quote == ""), "missing_provenance")
+    gate = gate.when((F.length(quote) < LEAST_QUOTE) | quote.rlike(BOILERPLATE) | ~quote.rlike("[A-Za-z]{3,}"), "quote_boilerplate")
+    gate = gate.when(~F.contains(folded(F.col("chunk_text")), folded(quote)), "verbatim_provenance")
+    gate = gate.when(concept_gate(source).isNotNull() | concept_gate(target).isNotNull(), "unresolved_entity")
+    if not allow_cross_course and {"source_course", "target_course"} <= set(rows.columns):
+        gate = gate.when(F.col("source_course") != F.col("target_course"), "cross_course")
+    return rows.withColumn("gate", gate)
+
+
+def screened(rows: DataFrame, per_chunk: int = CHUNK_EDGES, per_document: int = DOCUMENT_EDGES, floor: float = DISCARD) -> DataFrame:
+    """Adds gate to rows that passed ``gated`` and were scored: source_id, target_id, relation, document_id, chunk_id, seq (order in the chunk), confidence, verified (the graph has the edge, verified)."""
+    in_chunk = F.row_number().over(Window.partitionBy("chunk_id").orderBy("seq"))
+    first = rows.withColumn("gate", F.when(in_chunk > per_chunk, "chunk_edge_cap"))
+    fresh = first.withColumn("_n", F.row_number().over(Window.partitionBy("source_id", "target_id", "relation", F.col("gate").isNull()).orderBy("document_id", "chunk_id", "seq")))
+    fresh = written(fresh.withColumn("gate", F.when(F.col("gate").isNull() & (F.col("_n") > 1), "duplicate_edge").otherwise(F.col("gate"))).drop("_n"), "screened")
+    circling = contradictory(fresh.where("gate is null and relation = 'requires'")).withColumn("relation", F.lit("requires")).withColumn("_circles", F.lit(True))
+    marked = fresh.join(circling, ["source_id", "target_id", "relation"], "left").withColumn("gate", F.when(F.col("gate").isNull() & F.col("_circles"), "contradictory_cycle").otherwise(F.col("gate"))).drop("_circles")
+    place = F.row_number().over(Window.partitionBy("document_id", F.col("gate").isNull()).orderBy("chunk_id", "seq"))
+    over = marked.withColumn("_n", place).withColumn("gate", F.when(F.col("gate").isNull() & (F.col("_n") > per_document), "document_edge_cap").otherwise(F.col("gate"))).drop("_n")
+    return over.withColumn("gate", F.coalesce("gate", F.when(F.col("verified"), "verified_conflict").when(F.col("confidence") < floor, "confidence_floor")))
 
 
 def capped(rows: DataFrame, per_chunk: int = CHUNK_EDGES, per_document: int = DOCUMENT_EDGES) -> DataFrame:
@@ -91,13 +150,24 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
         pick("corroboration_count", count), pick("cue", cue), pick("sources", F.concat(F.coalesce("a.sources", empty), F.coalesce("b.sources", empty))), F.coalesce("a.verified", F.lit(False)).alias("verified"))
 
 
-def contradictory(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """requires edges that stand on a cycle of the batch: what is left after leaves are pruned away ``rounds`` times."""
-    left = edges.select("source_id", "target_id").distinct()
-    for _ in range(rounds):
-        into, out_of = left.select(F.col("target_id").alias("source_id")).distinct(), left.select(F.col("source_id").alias("target_id")).distinct()
-        left = left.join(into, "source_id", "left_semi").join(out_of, "target_id", "left_semi").select("source_id", "target_id")
-    return left
+def contradictory(edges: DataFrame) -> DataFrame:
+    """source_id, target_id of the requires edges of a batch that cannot be put in order.
+
+    Concepts without an open prerequisite are taken away, round by round, until
+    nothing changes; all edges among the rest go, also those that lead into a
+    cycle. Each round is written.
+    """
+    every = written(edges.select("source_id", "target_id").distinct(), "requires")
+    open_, before = every.where("source_id <> target_id"), -1
+    while True:
+        waiting = open_.select(F.col("source_id").alias("target_id")).distinct()
+        open_ = written(open_.join(waiting, "target_id", "left_semi").select("source_id", "target_id"), "open-requires")
+        after = open_.count()
+        if after in (0, before):
+            break
+        before = after
+    stuck = open_.select("source_id").distinct()
+    return every.join(stuck, "source_id", "left_semi").join(stuck.withColumnRenamed("source_id", "target_id"), "target_id", "left_semi").select("source_id", "target_id")
 
 
 def run_summary(rows: DataFrame) -> DataFrame:

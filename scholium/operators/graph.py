@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scholium.operators.lexical import top_k
+from scholium.store import written
 
 MIN_CONFIDENCE, MAX_DEPTH, MAX_PATH = 0.6, 3, 20
 TRANSITIVE = ("requires", "part_of")
@@ -86,44 +87,53 @@ def knowledge_gap(goals: DataFrame, mastery: DataFrame, edges: DataFrame, concep
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def _on_cycles(steps: DataFrame, rounds: int = 2 * MAX_PATH) -> DataFrame:
-    """``steps`` without those from a source or to a sink, round by round; what is left over costs time only."""
-    kept = (lambda df: df.checkpoint()) if steps.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df.localCheckpoint())
-    steps = kept(steps)
+def _on_cycles(steps: DataFrame) -> DataFrame:
+    """``steps`` without those from a source or to a sink, round by round until none is left of these."""
+    steps = written(steps, "steps")
     before = steps.count()
-    for _ in range(rounds):
+    while before:
         inner = steps.join(steps.select(F.col("to").alias("at")).distinct(), "at", "left_semi")
-        steps = kept(inner.join(inner.select(F.col("at").alias("to")).distinct(), "to", "left_semi"))
+        steps = written(inner.join(inner.select(F.col("at").alias("to")).distinct(), "to", "left_semi"), "steps")
         after = steps.count()
-        if after in (0, before):
+        if after == before:
             break
         before = after
     return steps.select("at", "to")
 
 
 def cycles(edges: DataFrame, seeds: DataFrame | None = None, max_path: int = MAX_PATH) -> DataFrame:
-    """path of every cycle of up to ``max_path`` concepts over requires and part_of, at any confidence."""
+    """path of every cycle of up to ``max_path`` concepts over requires and part_of, at any confidence.
+
+    Each round's open paths are written; rounds end when there are none.
+    """
     steps = _on_cycles(_steps(edges, TRANSITIVE, None).select("at", "to").distinct())
     starts = (seeds if seeds is not None else steps.select(F.col("at").alias("seed"))).distinct()
-    level = starts.select(F.array("seed").alias("path"), F.col("seed").alias("last"), F.lit(False).alias("closed"))
+    open_, found = starts.select(F.array("seed").alias("path"), F.col("seed").alias("last")), None
     back = F.col("to") == F.col("path")[0]
-    for _ in range(max_path):  # closed paths pass through, so that each round reads the one before once
-        ahead = level.join(steps, (F.col("last") == F.col("at")) & ~F.col("closed"), "left").where(F.col("closed") | back | ~F.array_contains("path", F.col("to")))
-        level = ahead.select(F.when(F.col("closed"), F.col("path")).otherwise(F.concat("path", F.array("to"))).alias("path"), F.coalesce("to", "last").alias("last"), (F.col("closed") | back).alias("closed"))
-    return level.where("closed").select("path").distinct()
+    for _ in range(max_path):
+        ahead = open_.join(steps, F.col("last") == F.col("at")).where(back | ~F.array_contains("path", F.col("to")))
+        level = written(ahead.select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("last"), back.alias("closed")), "paths")
+        here = level.where("closed").select("path")
+        found = here if found is None else found.unionByName(here)
+        open_ = level.where("not closed").select("path", "last")
+        if open_.isEmpty():
+            break
+    return found.distinct()
 
 
 def would_cycle(proposed: DataFrame, edges: DataFrame, relation: str = "requires", max_depth: int = MAX_PATH) -> DataFrame:
-    """proposed (source_id, target_id) and whether target already leads to source. Frontiers are sets, so each round is linear."""
-    steps = _steps(edges, relation, None).select("at", "to").distinct()
-    pairs = proposed.select("source_id", "target_id").distinct()
-    reached = pairs.select("source_id", "target_id", F.col("target_id").alias("here"))
-    arrived = F.col("here") == F.col("source_id")
-    for _ in range(max_depth):  # what has arrived passes through, so that each round reads the one before once
-        ahead = reached.join(steps, (F.col("here") == F.col("at")) & ~arrived, "left").where(arrived | F.col("to").isNotNull())
-        reached = ahead.select("source_id", "target_id", F.when(arrived, F.col("here")).otherwise(F.col("to")).alias("here")).distinct()
-    hit = reached.where(arrived).select("source_id", "target_id").distinct().withColumn("hit", F.lit(True))
-    return proposed.join(hit, ["source_id", "target_id"], "left").withColumn("would_cycle", F.coalesce("hit", F.lit(False))).drop("hit")
+    """proposed (source_id, target_id) and whether target already leads to source. Frontiers are sets, so each round is linear; they are written, and rounds end when nothing is new."""
+    steps = written(_steps(edges, relation, None).select("at", "to").distinct(), "steps")
+    pairs = ["source_id", "target_id"]
+    seen = frontier = written(proposed.select(*pairs, F.col("target_id").alias("here")).distinct(), "frontier")
+    for _ in range(max_depth):
+        ahead = frontier.where("here <> source_id").join(steps, F.col("here") == F.col("at")).select(*pairs, F.col("to").alias("here")).distinct()
+        frontier = written(ahead.join(seen, [*pairs, "here"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    hit = seen.where("here = source_id").select(*pairs).distinct().withColumn("hit", F.lit(True))
+    return proposed.join(hit, pairs, "left").withColumn("would_cycle", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def closure_edges(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scholium.functions.text import index_terms, tokenize
+from scholium.functions.text import index_terms, is_term, may_change, tokenize
+from scholium.store import written
 
 K1, B = 1.2, 0.75
 
 
 def analysed(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Adds tokens (stop words kept) and token_count."""
-    return chunks.withColumn("tokens", tokenize(F.col(text))).withColumn("token_count", F.size("tokens").cast("long"))
+    """Adds tokens (stop words kept) and token_count. Only texts that NFKC may change go through Python."""
+    changes = F.coalesce(may_change(F.col(text)), F.lit(False))
+    parts = [chunks.where(changes == x).withColumn("tokens", tokenize(F.col(text), normalise=x)) for x in (False, True)]
+    return parts[0].unionByName(parts[1]).withColumn("token_count", F.size("tokens").cast("long"))
+
+
+def indexed(chunks: DataFrame, *keep: str) -> DataFrame:
+    """Analysed chunks (tenant_id, chunk_id, tokens, token_count and ``keep``), written once: texts are tokenised in one pass, whatever follows reads tokens."""
+    return written(chunks.select("tenant_id", "chunk_id", "tokens", "token_count", *keep), "analysed")
 
 
 def chunk_terms(chunks: DataFrame, keys=("tenant_id", "chunk_id")) -> DataFrame:
     """keys, term, tf of analysed chunks, stop words left out."""
-    terms = chunks.select(*keys, F.explode(index_terms(F.col("tokens"))).alias("term"))
+    terms = chunks.select(*keys, F.explode("tokens").alias("term")).where(is_term(F.col("term")))
     return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -317,18 +317,36 @@ def edge_upsert_merge(spark, d):
     return X.merged(old, new).drop("sources")
 
 
-GATE_SQL = """WITH g AS (SELECT source % 7 AS run_id, CASE WHEN relation NOT IN ('requires', 'part_of', 'related_to') THEN 'relation' WHEN NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'slug' WHEN source = target THEN 'self_loop' WHEN conf > 1 THEN 'confidence' WHEN length(quote) < 10 THEN 'quote_short' WHEN NOT contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g')))) THEN 'quote_absent' END AS gate
-  FROM (SELECT doc_id AS source, doc_id // 2 * 2 AS target, CASE WHEN doc_id % 11 = 0 THEN 'likes' ELSE 'requires' END AS relation, CASE WHEN doc_id % 13 = 0 THEN 'Bad Slug' ELSE 's-' || doc_id END AS slug, CASE WHEN doc_id % 17 = 0 THEN 2.0 ELSE 0.5 END AS conf,
-    CASE WHEN doc_id % 5 = 1 THEN 'short' WHEN doc_id % 5 = 3 THEN 'nowhere in this text' ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 12) || 'x' END AS quote, text FROM documents))""".replace("\\\\", "\\")
+GATE_SQL = r"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '???' ELSE 'Concept ' || doc_id END AS source_name, 'Concept ' || (doc_id // 2 * 2) AS target_name, CASE WHEN doc_id % 11 = 0 THEN 'likes' WHEN doc_id % 3 = 0 THEN 'part_of' ELSE 'requires' END AS relation,
+    CASE WHEN doc_id % 7 = 0 THEN 'inferred' ELSE 'explicit' END AS cue, CASE WHEN doc_id % 17 = 0 THEN 2.0 ELSE 0.5 END AS conf, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE doc_id END AS document_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents),
+  q AS (SELECT *, trim(CASE doc_id % 5 WHEN 1 THEN 'short' WHEN 3 THEN 'nowhere in this text' WHEN 4 THEN '' ELSE substr(flat, 1, 30) END) AS quote FROM r),
+  g AS (SELECT doc_id, doc_id % 7 AS run_id, CASE WHEN conf > 1 THEN 'schema' WHEN relation = 'likes' THEN 'relation_enum' WHEN lower(source_name) = lower(target_name) THEN 'self_relation' WHEN relation = 'requires' AND cue = 'inferred' THEN 'inferred_requires'
+    WHEN document_id IS NULL OR quote = '' THEN 'missing_provenance' WHEN length(quote) < 10 OR regexp_matches(quote, '^(?:[#\-*•|>]|\d+[.)]\s)') OR NOT regexp_matches(quote, '[A-Za-z]{3,}') THEN 'quote_boilerplate' WHEN NOT contains(lower(flat), lower(quote)) THEN 'verbatim_provenance' WHEN source_name = '???' THEN 'unresolved_entity' END AS gate FROM q)""".replace("\\\\", "\\")
 
 
-@query("gate_counts", f"{GATE_SQL} SELECT run_id, count(*) AS n_rows, sum((gate IS NULL)::INT)::BIGINT AS n_accepted, CASE WHEN count(*) = sum((gate IS NULL)::INT) THEN 'succeeded' WHEN sum((gate IS NULL)::INT) > 0 THEN 'partial' ELSE 'failed' END AS status FROM g GROUP BY run_id")
-def gate_counts(spark, d):
+def _gated(spark, d):
     k = F.col("doc_id")
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    rows = table(spark, d, "documents").select((k % 7).alias("run_id"), F.when(k % 13 == 0, "Bad Slug").otherwise(F.concat(F.lit("s-"), k)).alias("source"), F.concat(F.lit("s-"), F.floor(k / 2) * 2).alias("target"), F.when(k % 11 == 0, "likes").otherwise("requires").alias("relation"),
-        F.when(k % 17 == 0, 2.0).otherwise(0.5).alias("model_confidence"), F.when(k % 5 == 1, "short").when(k % 5 == 3, "nowhere in this text").otherwise(F.concat(F.substring(flat, 1, 12), F.lit("x"))).alias("quote"), F.col("text").alias("chunk_text"))
-    return X.run_summary(X.gated(rows)).select("run_id", "n_rows", "n_accepted", "status")
+    rows = table(spark, d, "documents").select("doc_id", (k % 7).alias("run_id"), F.when(k % 13 == 0, "???").otherwise(F.concat(F.lit("Concept "), k)).alias("source_name"), F.concat(F.lit("Concept "), F.floor(k / 2) * 2).alias("target_name"),
+        F.when(k % 11 == 0, "likes").when(k % 3 == 0, "part_of").otherwise("requires").alias("relation"), F.when(k % 7 == 0, "inferred").otherwise("explicit").alias("cue"), F.when(k % 17 == 0, 2.0).otherwise(0.5).alias("model_confidence"),
+        F.when(k % 19 != 0, k).alias("document_id"), k.alias("chunk_id"), F.when(k % 5 == 1, "short").when(k % 5 == 3, "nowhere in this text").when(k % 5 == 4, "").otherwise(F.substring(flat, 1, 30)).alias("quote"), F.col("text").alias("chunk_text"))
+    return X.gated(rows)
+
+
+@query("gate_rows", f"{GATE_SQL} SELECT doc_id, gate FROM g")
+def gate_rows(spark, d):
+    return _gated(spark, d).select("doc_id", "gate")
+
+
+@query("gate_counts", f"{GATE_SQL} SELECT run_id, count(*) AS n_rows, sum((gate IS NULL)::INT)::BIGINT AS n_accepted, CASE WHEN count(*) = sum((gate IS NULL)::INT) THEN 'succeeded' WHEN sum((gate IS NULL)::INT) > 0 THEN 'partial' ELSE 'failed' END AS status FROM g GROUP BY run_id")
+def gate_counts(spark, d):
+    return X.run_summary(_gated(spark, d)).select("run_id", "n_rows", "n_accepted", "status")
+
+
+@query("contradictory_requires")
+def contradictory_requires(spark, d):
+    """Proposed requires edges that no order of study meets; a fold in rounds, without SQL."""
+    return X.contradictory(_extracted(spark, d).where("relation = 'requires'"))
 
 
 @query("chunk_edge_caps", "SELECT l_orderkey AS document_id, count(*) AS n FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) WHERE r <= 3 GROUP BY l_orderkey")
@@ -450,7 +468,7 @@ def chunk_documents(spark, d):
 def assemble_context(spark, d):
     from scholium.queries.tables import questions
 
-    rows = chunks(spark, d)
+    rows = L.indexed(chunks(spark, d), "text")
     ranked = L.bm25(questions(spark, d), rows, 8).join(rows.select("chunk_id", "text"), "chunk_id")
     passages = ranked.select("query_id", F.col("rank").alias("final_rank"), "chunk_id", F.col("chunk_id").alias("document_id"), F.concat(F.lit("doc "), "chunk_id").alias("title"), F.lit(1).alias("page"), F.lit(0).alias("chunk_index"), F.lit(False).alias("starts_mid_sentence"), F.col("text").alias("content"))
     return C.assemble(passages).select("query_id", "citation_id", "chunk_id", "token_count", "truncated")

@@ -54,14 +54,14 @@ def catalogue_search(spark, d):
     return rows.select("page_id", "url").orderBy("url", "page_id").limit(25).join(F.broadcast(total))
 
 
-@query("corpus_hash", "SELECT sha256(string_agg(h, '' ORDER BY filename)) AS corpus_hash FROM (SELECT doc_id::VARCHAR AS filename, sha256(doc_id::VARCHAR || chr(0) || text || chr(0)) AS h FROM documents WHERE doc_id < 0 OR source = 'src1')")
+@query("corpus_hash", "SELECT sha256(string_agg(doc_id::VARCHAR || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY doc_id::VARCHAR)) AS corpus_hash FROM documents")
 def corpus_hash(spark, d):
-    return files.corpus_hash(table(spark, d, "documents").where("source = 'src1'").select(F.col("doc_id").cast("string").alias("filename"), "text"))
+    return files.corpus_hash(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text"))
 
 
 @query("corpus_hash_all")
 def corpus_hash_all(spark, d):
-    """Over every document; the SQL of corpus_hash knows one source and gathers its hashes."""
+    """Over every document, by ranges of names, so that no task sees all of them."""
     return files.ranged_corpus_hash(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text"))
 
 
@@ -78,7 +78,7 @@ def doc_freq(spark, d):
 @query("doc_freq_incremental", f"WITH {CHUNKS_SQL}, {TERMS_SQL} SELECT tenant_id, term, count(*) AS doc_freq FROM terms WHERE chunk_id % 10 <> 0 GROUP BY ALL")
 def doc_freq_incremental(spark, d):
     """The statistics after every tenth chunk was deleted, from those before and the terms affected."""
-    terms = L.chunk_terms(chunks(spark, d))
+    terms = L.chunk_terms(L.indexed(chunks(spark, d)))
     return L.updated_doc_freq(L.doc_freq(terms), terms.where("chunk_id % 10 <> 0"), terms.where("chunk_id % 10 = 0"))
 
 
@@ -89,13 +89,13 @@ def corpus_stats(spark, d):
 
 @query("idf_table", f"WITH {CHUNKS_SQL}, {TERMS_SQL}, {STATS_SQL} SELECT tenant_id, term, round(ln(1 + (doc_count - doc_freq + 0.5) / (doc_freq + 0.5)), 6) AS idf FROM df JOIN corpus USING (tenant_id)")
 def idf_table(spark, d):
-    rows = chunks(spark, d)
+    rows = L.indexed(chunks(spark, d))
     return L.doc_freq(L.chunk_terms(rows)).join(L.corpus_stats(rows), "tenant_id").select("tenant_id", "term", F.round(L.idf(F.col("doc_count"), F.col("doc_freq")), 6).alias("idf"))
 
 
 @query("bm25_topk", f"{RETRIEVAL_SQL} SELECT query_id, tenant_id, chunk_id, score, rank FROM lexical")
 def bm25_topk(spark, d):
-    return L.bm25(questions(spark, d), chunks(spark, d))
+    return L.bm25(questions(spark, d), L.indexed(chunks(spark, d)))
 
 
 @query("empty_query_degraded", "SELECT query_id, CASE WHEN query_id = 1 THEN ['empty_query_terms'] WHEN query_id = 2 THEN ['no_corpus_stats'] WHEN query_id = 3 THEN ['empty_query_terms', 'no_corpus_stats'] ELSE []::VARCHAR[] END AS degraded FROM (VALUES (0), (1), (2), (3)) v(query_id)")
@@ -145,7 +145,7 @@ def hash_embed(spark, d):
 
 def _lists(spark, d):
     """Two rank lists of the same questions: BM25, and document length as a stand-in for a semantic list."""
-    rows = chunks(spark, d)
+    rows = L.indexed(chunks(spark, d))
     asked = questions(spark, d)
     lexical = L.bm25(asked, rows)
     longest = L.top_k(rows, ["tenant_id"], [F.desc("token_count"), F.asc("chunk_id")], 20).select("tenant_id", "chunk_id", "rank")
@@ -197,7 +197,7 @@ def hybrid_topk(spark, d):
 
 @query("multi_query_merge", f"{LISTS_SQL} SELECT turn_id, chunk_id, query_no, rank, row_number() OVER (PARTITION BY turn_id ORDER BY query_no, rank) AS position FROM (SELECT query_id % 5 AS turn_id, chunk_id, query_id // 5 AS query_no, rank, row_number() OVER (PARTITION BY query_id % 5, chunk_id ORDER BY query_id // 5, rank) AS n FROM lexical) WHERE n = 1")
 def multi_query_merge(spark, d):
-    rows = L.bm25(questions(spark, d), chunks(spark, d))
+    rows = L.bm25(questions(spark, d), L.indexed(chunks(spark, d)))
     return R.multi_query(rows.select((F.col("query_id") % 5).alias("turn_id"), "chunk_id", F.floor(F.col("query_id") / 5).alias("query_no"), "rank"))
 
 

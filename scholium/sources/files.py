@@ -51,9 +51,22 @@ def markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_hash(docs: DataFrame) -> DataFrame:
-    """One row: a hash over names and contents in order of name, made of one hash a document."""
-    each = docs.select(F.sha2(F.concat("filename", F.lit("\x00"), "text", F.lit("\x00")), 256).alias("h"), "filename")
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filename", "h"))), lambda x: x["h"]), ""), 256).alias("corpus_hash"))
+    """One row: SHA-256 of the stream of name, zero byte, content, zero byte, in order of name.
+
+    One stream has one hash state, so a single task sees all rows, one batch at a
+    time and in constant memory: meant for evaluation corpora. ``ranged_corpus_hash``
+    spreads the work.
+    """
+
+    def fold(frames):
+        state = hashlib.sha256()
+        for pdf in frames:
+            for name, text in zip(pdf["filename"], pdf["text"], strict=True):
+                state.update(f"{name}\0{text or ''}\0".encode())
+        yield pd.DataFrame({"corpus_hash": [state.hexdigest()]})
+
+    ordered = docs.select("filename", "text").repartition(1).sortWithinPartitions("filename")
+    return ordered.mapInPandas(fold, "corpus_hash string")
 
 
 def ranged_corpus_hash(docs: DataFrame, ranges: int = 256) -> DataFrame:

@@ -38,8 +38,9 @@ LEAF, JOIN = 16, 4
 SPREAD, BRANCH = 1 << 16, 1 << 13
 #: Bytes of text that are cut into pieces at a time; a longer text makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 700_000
+#: Pieces that a worker remembers before it starts anew: by itself, and where a worker
+#: goes on with other stages, which its memory must leave room for.
+REMEMBERED, REMEMBERED_BESIDE = 700_000, 100_000
 #: Pieces that need no normalising but lower case.
 _USUAL = re.compile("[!-~À-ÖØ-öø-ÿŒœ]+")
 # The pattern that a file must cut words by, and its endings of words.
@@ -263,14 +264,14 @@ class Encoder:
         return memoryview(data), np.frombuffer(offsets, np.int64)[: len(ids) + 1]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """This worker's encoder; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered=remembered)
+    return _encoders[path, remembered]
 
 
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -292,9 +293,9 @@ def _record(own: Encoder, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
 
-def _usual(path: str, with_ids: bool):
+def _usual(path: str, with_ids: bool, remembered: int):
     def rows(batches):
-        own = encoder(path)
+        own = encoder(path, remembered)
         for batch in batches:
             at = 0
             for ids, counts in own.texts(raw_texts(batch)):
@@ -354,7 +355,7 @@ def _joined(path: str, with_ids: bool):
     return rows
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, spread: int = SPREAD, branch: int = BRANCH) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, spread: int = SPREAD, branch: int = BRANCH, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
     One row per row of ``docs``. A null text is empty and has no ids; null or
@@ -369,7 +370,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     unsplit = F.when(F.octet_length("text") >= spread, F.col("text").rlike(r"[^\x20\x09-\x0D]{%d}" % max(spread // 4, 1))).otherwise(False)
     long = plain.where(unsplit).withColumn("uid", F.monotonically_increasing_id())
     pieces = written(long.mapInArrow(_branches(path, branch), f"uid long, doc_id {kind}, place long, symbols string, special int, begins boolean, ends boolean"), "bpe-branches")
-    usual = plain.where(~unsplit).mapInArrow(_usual(path, with_ids), schema)
+    usual = plain.where(~unsplit).mapInArrow(_usual(path, with_ids, remembered), schema)
     if pieces.isEmpty():
         return usual
     ids = pieces.repartition("uid", "place").mapInArrow(_encoded(path), f"uid long, doc_id {kind}, place long, begins boolean, ends boolean, ids array<int>")

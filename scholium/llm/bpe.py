@@ -37,7 +37,9 @@ LEAF, JOIN = 16, 4
 #: Bytes without white space from which a text's pieces are dealt out in branches, and symbols of a branch.
 SPREAD, BRANCH = 1 << 16, 1 << 13
 #: Bytes of text that are cut into pieces at a time; a longer text makes a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Leaves that go to the library at a time.
+LEAVES = 2048
 #: Pieces that a worker remembers before it starts anew: by itself, and where a worker
 #: goes on with other stages, which its memory must leave room for.
 REMEMBERED, REMEMBERED_BESIDE = 700_000, 100_000
@@ -206,8 +208,9 @@ class Encoder:
                 found.append([])
             else:
                 found.append([x for p in parts for x in ([p] if isinstance(p, int) else tree_encode(p, self.text, self.encode, self.leaf))])
-        for k, x in zip(at, self.alone.encode_batch_fast(leaves, add_special_tokens=False), strict=True):
-            found[k] = x.ids
+        for i in range(0, len(leaves), LEAVES):  # the library's records of a piece take far more room than its ids
+            for k, x in zip(at[i : i + LEAVES], self.alone.encode_batch_fast(leaves[i : i + LEAVES], add_special_tokens=False), strict=True):
+                found[k] = x.ids
         sizes = np.array(list(map(len, found)), np.int64)
         n, ids = len(self.known), np.array([x for y in found for x in y], np.uint32)
         start = int(self.first[n])

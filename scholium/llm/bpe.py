@@ -20,6 +20,7 @@ by their trees, and the branches of a text are joined in one more step.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
@@ -170,9 +171,9 @@ class Encoder:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else re.compile("(?!)")
         self.leaf, self.remembered = leaf, remembered
         self.symbols = byte_symbols()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """known: each piece's number; flat[first[k] : first[k + 1]]: ids of piece k."""
         self.known: dict[bytes, int] = {}
         self.flat, self.first = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
@@ -227,7 +228,7 @@ class Encoder:
         missing = [p for p, k in zip(pieces, found, strict=True) if k is None]
         if missing:
             if len(self.known) + len(missing) > self.remembered:
-                self._forget()
+                self.forget()
                 missing = pieces
             self._learn(missing)
             found = list(map(self.known.__getitem__, pieces))
@@ -296,6 +297,14 @@ def _record(own: Encoder, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can, for the stages that the worker goes on with."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _usual(path: str, with_ids: bool, remembered: int):
     def rows(batches):
         own = encoder(path, remembered)
@@ -304,6 +313,9 @@ def _usual(path: str, with_ids: bool, remembered: int):
             for ids, counts in own.texts(raw_texts(batch)):
                 yield _record(own, batch.column("doc_id").slice(at, len(counts)), ids, counts, with_ids)
                 at += len(counts)
+        if remembered <= REMEMBERED_BESIDE:
+            own.forget()
+            give_back()
 
     return rows
 

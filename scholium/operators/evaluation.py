@@ -30,6 +30,31 @@ def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, k: int = 5) -> DataFr
         r(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), "mrr"), r(F.col("dcg") / ideal, "ndcg"), r(F.when(F.col("found") > 0, F.col("precisions") / F.col("found")).otherwise(0.0), "context_precision"))
 
 
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, chunk_id of the texts (chunk_id, text) that hold an item (query_id, item).
+
+    The words of an item but the first and the last are whole words of a text that
+    holds it. So three of them, the longest that follow one another, find the
+    candidates by an equi-join, and ``contains`` decides. Items of fewer than five
+    words are compared with every text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    both = lambda x, y: F.concat_ws(" ", x, y)
+    rest = lambda w, i: F.slice(w, F.lit(i), F.greatest(F.size(w), F.lit(1)))
+    grams = lambda w: F.zip_with(F.zip_with(w, rest(w, 2), both), rest(w, 3), both)
+    n = F.size(words(F.col("item")))
+    inner = F.slice(words(F.col("item")), F.lit(2), F.greatest(n - 2, F.lit(0)))
+    longest = F.array_max(F.transform(F.slice(grams(inner), F.lit(1), F.greatest(n - 4, F.lit(0))), lambda g: F.struct(F.length(g).alias("size"), g.alias("gram"))))
+    keys = items.where(n >= 5).select("query_id", longest["gram"].alias("gram"))
+    said = docs.select("chunk_id", F.explode(F.array_distinct(grams(words(F.col("text"))))).alias("gram"))
+    likely = said.join(keys, "gram").select("query_id", "chunk_id").distinct().join(items, "query_id").join(docs, "chunk_id")
+    found = likely.where(F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id")
+    short = items.where(n < 5)
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(short, F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id"))
+
+
 def macro(metrics: DataFrame) -> DataFrame:
     names = [c for c in metrics.columns if c != "query_id"]
     return metrics.agg(F.count(F.lit(1)).alias("n_questions"), *(F.round(F.avg(c), 6).alias(c) for c in names))

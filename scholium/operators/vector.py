@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scholium.operators.lexical import top_k
 
-BROADCAST_QUESTIONS = 10_000
+#: Questions, and bytes of their vectors, up to which they are sent to the executors whole.
+BROADCAST_QUESTIONS, BROADCAST_BYTES = 10_000, 64 << 20
 
 
 def hash_embedding(dim: int = 384):
@@ -48,42 +49,56 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(questions: DataFrame, vectors: DataFrame, k: int = 20, by_tenant: bool = False, block: int = 256) -> DataFrame:
+def _nearest(asked: tuple[list, np.ndarray], vectors: pd.DataFrame, k: int):
+    """The k best of some vectors for each question, by one matrix product."""
+    (ids, q), v, own = asked, np.stack(vectors["embedding"].to_numpy()).astype(np.float64), vectors["vec_id"].to_numpy()
+    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+    cos = np.round(np.divide(q @ v.T, norms, out=np.full(norms.shape, np.nan), where=norms > 0), 6)
+    for x, row in zip(ids, cos, strict=True):
+        order = np.lexsort((own, -row))[:k]
+        order = order[~np.isnan(row[order])]
+        yield pd.DataFrame({"query_id": x, "vec_id": own[order], "score": row[order]})
+
+
+def _matrix(questions: pd.DataFrame) -> tuple[list, np.ndarray]:
+    return questions["query_id"].tolist(), np.stack(questions["embedding"].to_numpy()).astype(np.float64)
+
+
+def cosine_top_k(questions: DataFrame, vectors: DataFrame, k: int = 20, by_tenant: bool = False, block: int = 256, slice_rows: int = 16_384) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine, ties by id; zero vectors match nothing.
 
-    ``questions`` (query_id, embedding[, tenant_id]) go against all vectors in
-    blocks: a block is one row that holds up to ``block`` questions, and a
-    partition of vectors meets it as one matrix product. Each batch gives only
-    the k best a question.
+    ``questions`` (query_id, embedding[, tenant_id]) go against all vectors (those
+    of their tenant) as matrix products, each of which gives only the k best a
+    question. Questions within ``BROADCAST_QUESTIONS`` and ``BROADCAST_BYTES`` are
+    sent to each executor once. Beyond, blocks of questions meet slices of vectors
+    in groups, of about ``block`` and at most about ``slice_rows`` rows.
     """
     keys = ["tenant_id"] if by_tenant else []
-    n = questions.count()
-    blocks = max(1, -(-n // block))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    packed = questions.withColumn("part", part).groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("asked"))
-    if keys:
-        pairs = vectors.join(packed, keys)
-    elif n <= BROADCAST_QUESTIONS:
-        pairs = vectors.join(F.broadcast(packed.coalesce(1)))
-    else:  # each vector goes once to each block; a block's vectors are dealt over slices, so that no task gets all
-        slices = 64
-        sliced = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        dealt = vectors.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = dealt.join(sliced, ["part", "slice"])
-
-    def score(batches):
-        for pdf in batches:
-            for _, group in pdf.groupby([*keys, "part"], sort=False):
-                asked = group["asked"].iloc[0]
-                q = np.array([x["embedding"] for x in asked], np.float64)
-                v = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-                norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                cos = np.round(np.divide(q @ v.T, norms, out=np.full(norms.shape, np.nan), where=norms > 0), 6)
-                ids = group["vec_id"].to_numpy()
-                for x, row in zip(asked, cos, strict=True):
-                    order = np.lexsort((ids, -row))[:k]
-                    order = order[~np.isnan(row[order])]
-                    yield pd.DataFrame({"query_id": x["query_id"], "vec_id": ids[order], "score": row[order]})
-
-    best = pairs.select(*keys, "part", "asked", "vec_id", "embedding").mapInPandas(score, "query_id long, vec_id long, score double")
+    asked = questions.select(*keys, "query_id", "embedding").where("embedding is not null")
+    vectors = vectors.select(*keys, "vec_id", "embedding").where("embedding is not null")
+    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if n <= BROADCAST_QUESTIONS and 8 * n * width <= BROADCAST_BYTES:
+        rows = asked.toPandas()
+        parts = rows.groupby("tenant_id", sort=False) if by_tenant else [(None, rows)] if n else []
+        sent = questions.sparkSession.sparkContext.broadcast({key: _matrix(part) for key, part in parts})
+
+        def score(batches):
+            for pdf in batches:
+                for key, group in pdf.groupby("tenant_id", sort=False) if by_tenant else [(None, pdf)]:
+                    if len(group) and key in sent.value:
+                        yield from _nearest(sent.value[key], group, k)
+
+        best = vectors.mapInPandas(score, "query_id long, vec_id long, score double")
+    else:
+        blocks, slices = -(-n // block), max(1, -(-vectors.count() // slice_rows))
+        on = [*keys, "part", "slice"]
+        own, every = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)), lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
+        left = asked.withColumn("part", own("query_id", blocks)).withColumn("slice", every(slices))
+        right = vectors.withColumn("slice", own("vec_id", slices)).withColumn("part", every(blocks))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = list(_nearest(_matrix(a), b, k)) if len(a) and len(b) else []
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+        best = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(meet, "query_id long, vec_id long, score double")
     return top_k(best, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)

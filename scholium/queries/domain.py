@@ -1,16 +1,14 @@
 """Graph, learners, recommendations, assessment, extraction, usage and safety."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from scholium.functions import safety as S
 from scholium.operators import evaluation as E, extraction as X, graph as G, learning as P, lexical as L, passages as C
 from scholium.queries.tables import CONCEPTS_SQL, EVENTS_SQL, PRICES_SQL, USAGE_SQL, attempts, chunks, concepts, edges, prices, progress_events, table, usage
-from scholium.registry import ORACLE, query
+from scholium.registry import query
 from scholium.streaming import learners
 
-SEEDS_SQL = "seeds AS (SELECT concept_id AS seed FROM concepts WHERE concept_id % 50 = 13)"
+SEEDS_SQL = "seeds AS (SELECT concept_id AS seed FROM concepts)"
 GRAPH = f"WITH RECURSIVE {CONCEPTS_SQL}, {SEEDS_SQL}"
 
 
@@ -22,28 +20,29 @@ def _walk(at: str, to: str, floor: str = "AND confidence >= 0.6") -> str:
 CLOSURE_SQL = "SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, difficulty, weight DESC, slug) AS rank FROM (SELECT seed, concept_id, depth, weight, difficulty, slug, row_number() OVER (PARTITION BY seed, concept_id ORDER BY depth, weight DESC, path) AS n FROM walk JOIN concepts USING (concept_id) WHERE depth > 0) WHERE n = 1"
 
 
-def _seeds(rows, every=False):
-    return rows.where(F.lit(every) | F.expr("concept_id % 50 = 13")).select(F.col("concept_id").cast("long").alias("seed"))
+def _seeds(rows):
+    """Every concept is asked for."""
+    return rows.select(F.col("concept_id").cast("long").alias("seed"))
 
 
-def _graph(spark, d, every=False):
+def _graph(spark, d):
     rows = concepts(spark, d).withColumn("concept_id", F.col("concept_id").cast("long"))
-    return _seeds(rows, every), edges(spark, d), rows
+    return _seeds(rows), edges(spark, d), rows
 
 
 @query("prereq_closure", f"{GRAPH}, {_walk('source_id', 'target_id')} SELECT seed, concept_id, depth, round(weight, 6) AS weight, difficulty, slug, rank FROM ({CLOSURE_SQL})")
-def prereq_closure(spark, d, every=False):
-    return G.closure(*_graph(spark, d, every)).select("seed", "concept_id", "depth", F.round("weight", 6).alias("weight"), "difficulty", "slug", "rank")
+def prereq_closure(spark, d):
+    return G.closure(*_graph(spark, d)).select("seed", "concept_id", "depth", F.round("weight", 6).alias("weight"), "difficulty", "slug", "rank")
 
 
 @query("dependent_closure", f"{GRAPH}, {_walk('target_id', 'source_id')} SELECT seed, concept_id, depth, round(weight, 6) AS weight, difficulty, slug, rank FROM ({CLOSURE_SQL})")
-def dependent_closure(spark, d, every=False):
-    return G.closure(*_graph(spark, d, every), reverse=True).select("seed", "concept_id", "depth", F.round("weight", 6).alias("weight"), "difficulty", "slug", "rank")
+def dependent_closure(spark, d):
+    return G.closure(*_graph(spark, d), reverse=True).select("seed", "concept_id", "depth", F.round("weight", 6).alias("weight"), "difficulty", "slug", "rank")
 
 
 @query("direct_prereqs", f"{GRAPH} SELECT source_id, target_id, rank FROM (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY e.verified DESC, weight DESC, difficulty, slug) AS rank FROM edges e JOIN seeds ON source_id = seed JOIN concepts c ON c.concept_id = target_id WHERE relation = 'requires') WHERE rank <= 50")
-def direct_prereqs(spark, d, every=False):
-    return G.direct(*_graph(spark, d, every)).select("source_id", "target_id", "rank")
+def direct_prereqs(spark, d):
+    return G.direct(*_graph(spark, d)).select("source_id", "target_id", "rank")
 
 
 @query("related_siblings", f"""{GRAPH}, near AS (SELECT DISTINCT seed, concept_id, 'related' AS kind FROM (SELECT source_id AS seed, target_id AS concept_id FROM edges WHERE relation = 'related_to' UNION ALL SELECT target_id, source_id FROM edges WHERE relation = 'related_to') WHERE seed IN (SELECT seed FROM seeds)),
@@ -51,21 +50,21 @@ def direct_prereqs(spark, d, every=False):
   cut AS (SELECT * FROM (SELECT u.*, difficulty, slug, row_number() OVER (PARTITION BY seed, kind ORDER BY difficulty, slug) AS n FROM (SELECT * FROM near UNION ALL SELECT * FROM sib) u JOIN concepts USING (concept_id) WHERE concept_id <> seed) WHERE n <= 12),
   once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, concept_id ORDER BY kind) AS m FROM cut) WHERE m = 1)
   SELECT seed, concept_id, kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY difficulty, slug) AS rank FROM once) WHERE rank <= 12""")
-def related_siblings(spark, d, every=False):
-    return G.related(*_graph(spark, d, every)).select("seed", "concept_id", "kind", "rank")
+def related_siblings(spark, d):
+    return G.related(*_graph(spark, d)).select("seed", "concept_id", "kind", "rank")
 
 
 @query("knowledge_gap", f"""{GRAPH}, {_walk('source_id', 'target_id')}, mastered AS (SELECT concept_id, (concept_id * 37 % 100) / 100.0::DOUBLE AS m FROM concepts WHERE concept_id % 3 <> 0)
   SELECT seed, concept_id, depth, mastery, never_assessed, row_number() OVER (PARTITION BY seed ORDER BY depth DESC, difficulty, never_assessed DESC, slug) AS rank
   FROM (SELECT seed, concept_id, min(depth) AS depth, coalesce(any_value(m), 0) AS mastery, any_value(m) IS NULL AS never_assessed, any_value(difficulty) AS difficulty, any_value(slug) AS slug
     FROM walk JOIN concepts USING (concept_id) LEFT JOIN mastered USING (concept_id) WHERE depth > 0 GROUP BY seed, concept_id) WHERE mastery < 0.6""")
-def knowledge_gap(spark, d, every=False):
-    seeds, e, c = _graph(spark, d, every)
+def knowledge_gap(spark, d):
+    seeds, e, c = _graph(spark, d)
     mastered = c.where("concept_id % 3 <> 0").select("concept_id", ((F.col("concept_id") * 37 % 100) / 100.0).alias("mastery"))
     return G.knowledge_gap(seeds, mastered, e, c).select("seed", "concept_id", "depth", "mastery", "never_assessed", "rank")
 
 
-CYCLE_EDGES = "ce AS (SELECT DISTINCT source_id, target_id FROM (SELECT source_id, target_id FROM edges WHERE relation IN ('requires', 'part_of') AND source_id <= 60 UNION ALL SELECT 1, 5))"
+CYCLE_EDGES = "ce AS (SELECT DISTINCT source_id, target_id FROM (SELECT source_id, target_id FROM edges WHERE relation IN ('requires', 'part_of') UNION ALL SELECT 1, 5))"
 
 
 @query("cycle_detect", f"""WITH RECURSIVE {CONCEPTS_SQL}, {CYCLE_EDGES},
@@ -78,26 +77,26 @@ def cycle_detect(spark, d):
     return G.cycles(rows.unionByName(back)).select("path")
 
 
-@query("would_cycle", f"""WITH RECURSIVE {CONCEPTS_SQL}, asked AS (SELECT concept_id // 4 AS source_id, concept_id AS target_id FROM concepts WHERE concept_id % 40 = 0 UNION ALL SELECT concept_id, concept_id // 3 + 1 FROM concepts WHERE concept_id % 40 = 1),
+@query("would_cycle", f"""WITH RECURSIVE {CONCEPTS_SQL}, asked AS (SELECT concept_id // 4 AS source_id, concept_id AS target_id FROM concepts UNION ALL SELECT concept_id, concept_id // 3 + 1 FROM concepts),
   reach AS (SELECT source_id, target_id, target_id AS here, 0 AS depth FROM asked UNION SELECT r.source_id, r.target_id, e.target_id, depth + 1 FROM reach r JOIN edges e ON e.source_id = r.here AND relation = 'requires' WHERE depth < 20)
   SELECT source_id, target_id, bool_or(here = source_id) AS would_cycle FROM reach GROUP BY ALL""")
-def would_cycle(spark, d, every=False):
-    _, e, c = _graph(spark, d, every)
-    up = c.where(F.lit(every) | F.expr("concept_id % 40 = 0")).select(F.floor(F.col("concept_id") / 4).alias("source_id"), F.col("concept_id").alias("target_id"))
-    down = c.where(F.lit(every) | F.expr("concept_id % 40 = 1")).select(F.col("concept_id").alias("source_id"), (F.floor(F.col("concept_id") / 3) + 1).alias("target_id"))
+def would_cycle(spark, d):
+    _, e, c = _graph(spark, d)
+    up = c.select(F.floor(F.col("concept_id") / 4).alias("source_id"), F.col("concept_id").alias("target_id"))
+    down = c.select(F.col("concept_id").alias("source_id"), (F.floor(F.col("concept_id") / 3) + 1).alias("target_id"))
     return G.would_cycle(up.unionByName(down).distinct(), e)
 
 
 @query("closure_edges", f"{GRAPH}, {_walk('source_id', 'target_id')} SELECT DISTINCT seed, source_id, target_id FROM (SELECT DISTINCT seed, concept_id FROM walk) w JOIN edges e ON e.source_id = w.concept_id AND relation = 'requires' AND confidence >= 0.6")
-def closure_edges(spark, d, every=False):
-    seeds, e, _ = _graph(spark, d, every)
+def closure_edges(spark, d):
+    seeds, e, _ = _graph(spark, d)
     return G.closure_edges(seeds, e)
 
 
-@query("edges_between", f"WITH {CONCEPTS_SQL}, p AS (SELECT concept_id AS a, concept_id * 2 AS b FROM concepts WHERE concept_id % 7 = 0) SELECT a, b, source_id, target_id, relation FROM p JOIN edges ON (source_id = a AND target_id = b) OR (source_id = b AND target_id = a)")
-def edges_between(spark, d, every=False):
-    _, e, c = _graph(spark, d, every)
-    return G.edges_between(c.where(F.lit(every) | F.expr("concept_id % 7 = 0")).select(F.col("concept_id").alias("a"), (F.col("concept_id") * 2).alias("b")), e).select("a", "b", "source_id", "target_id", "relation")
+@query("edges_between", f"WITH {CONCEPTS_SQL}, p AS (SELECT concept_id AS a, concept_id * 2 AS b FROM concepts) SELECT a, b, source_id, target_id, relation FROM p JOIN edges ON (source_id = a AND target_id = b) OR (source_id = b AND target_id = a)")
+def edges_between(spark, d):
+    _, e, c = _graph(spark, d)
+    return G.edges_between(c.select(F.col("concept_id").alias("a"), (F.col("concept_id") * 2).alias("b")), e).select("a", "b", "source_id", "target_id", "relation")
 
 
 @query("resolve_concept", f"""WITH {CONCEPTS_SQL}, m AS (SELECT DISTINCT mention FROM (SELECT CASE concept_id % 4 WHEN 0 THEN concept_id::VARCHAR WHEN 1 THEN slug WHEN 2 THEN upper(name) ELSE 'alias ' || concept_id END AS mention FROM concepts UNION ALL SELECT 'nothing'))
@@ -113,24 +112,8 @@ def resolve_concept(spark, d):
 
 
 @query("search_entities", f"{GRAPH}, {_walk('source_id', 'target_id')}, back AS (SELECT seed, seed AS concept_id, 0 AS depth, NULL::DOUBLE AS weight, [seed] AS path FROM seeds UNION ALL SELECT seed, source_id, depth + 1, e.weight, list_append(path, source_id) FROM back JOIN edges e ON e.target_id = back.concept_id AND relation = 'requires' AND confidence >= 0.6 WHERE depth < 3 AND NOT list_contains(path, source_id)) SELECT seed, concept_id, depth, direction, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, slug, direction) AS rank FROM (SELECT seed, concept_id, min(depth) AS depth, 'prerequisites' AS direction FROM walk WHERE depth > 0 GROUP BY ALL UNION ALL SELECT seed, concept_id, min(depth), 'dependents' FROM back WHERE depth > 0 GROUP BY ALL) JOIN concepts USING (concept_id)) WHERE rank <= 20")
-def search_entities(spark, d, every=False):
-    return G.search(*_graph(spark, d, every)).select("seed", "concept_id", "depth", "direction", "rank")
-
-
-def over_all(name, f, cuts=(" WHERE concept_id % 50 = 13",)):
-    """Registers ``name``_all: the same for every concept, beside the query whose SQL asks for some of them."""
-    sql = ORACLE[name]
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{name}: no {cut}")
-        sql = sql.replace(cut, "")
-    query(f"{name}_all", sql)(partial(f, every=True))
-
-
-for _f in (prereq_closure, dependent_closure, direct_prereqs, related_siblings, knowledge_gap, closure_edges, search_entities):
-    over_all(_f.__name__, _f)
-over_all("would_cycle", would_cycle, (" WHERE concept_id % 40 = 0", " WHERE concept_id % 40 = 1"))
-over_all("edges_between", edges_between, (" WHERE concept_id % 7 = 0",))
+def search_entities(spark, d):
+    return G.search(*_graph(spark, d)).select("seed", "concept_id", "depth", "direction", "rank")
 
 
 # ---- learners ----------------------------------------------------------------
@@ -196,7 +179,7 @@ def estimate_hours(spark, d):
 
 
 def _plan_inputs(spark, d):
-    seeds, e, c = _graph(spark, d, every=True)
+    seeds, e, c = _graph(spark, d)
     found = G.closure(seeds, e, c).select(F.col("seed").alias("plan_id"), "concept_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     goals = seeds.select(F.col("seed").alias("plan_id"), F.col("seed").alias("concept_id"), F.lit(0.0).alias("weight"))
     nodes = found.unionByName(goals).join(c.select("concept_id", "difficulty", "verified", "slug"), "concept_id")

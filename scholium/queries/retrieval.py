@@ -106,35 +106,20 @@ def empty_query_degraded(spark, d):
 
 DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 NORM = "sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
-COSINE = f"SELECT q.vec_id AS query_id, b.vec_id, round({DOT.replace('a.', 'q.')} / ({NORM.replace('a.', 'q.')}), 6) AS score FROM embeddings q JOIN embeddings b ON %s WHERE q.vec_id < 10"
+COSINE = f"SELECT q.vec_id AS query_id, b.vec_id, round({DOT.replace('a.', 'q.')} / ({NORM.replace('a.', 'q.')}), 6) AS score FROM embeddings q JOIN embeddings b ON %s WHERE q.vec_id %% 100 = 0"
 SEMANTIC = "SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (%s)) WHERE rank <= 20"
 
 
 @query("cosine_topk", SEMANTIC % (COSINE % "true"))
 def cosine_topk(spark, d):
-    vectors = V.checked(table(spark, d, "embeddings"), 64)
-    return V.cosine_top_k(vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), vectors)
-
-
-ALL_COSINE = COSINE.replace("q.vec_id < 10", "q.vec_id %% 100 = 0")
-
-
-@query("cosine_topk_hundredth", SEMANTIC % (ALL_COSINE % "true"))
-def cosine_topk_hundredth(spark, d):
     vectors = V.checked(table(spark, d, "embeddings"), 64)
     return V.cosine_top_k(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors)
 
 
-@query("cosine_topk_tenant_hundredth", SEMANTIC % (ALL_COSINE % "q.label = b.label"))
-def cosine_topk_tenant_hundredth(spark, d):
-    vectors = table(spark, d, "embeddings").withColumnRenamed("label", "tenant_id")
-    return V.cosine_top_k(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "tenant_id"), vectors, by_tenant=True)
-
-
 @query("cosine_topk_tenant", SEMANTIC % (COSINE % "q.label = b.label"))
 def cosine_topk_tenant(spark, d):
     vectors = table(spark, d, "embeddings").withColumnRenamed("label", "tenant_id")
-    return V.cosine_top_k(vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding", "tenant_id"), vectors, by_tenant=True)
+    return V.cosine_top_k(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "tenant_id"), vectors, by_tenant=True)
 
 
 @query("hash_embed")
@@ -195,6 +180,18 @@ def hybrid_topk(spark, d):
     return R.rank_pipeline(asked, semantic, lexical, rows).select("query_id", "chunk_id", "place", "semantic_rank", "lexical_rank")
 
 
+@query("hybrid_documents")
+def hybrid_documents(spark, d):
+    """Both retrievers on every question: cosine over hashed tokens within the tenant, and BM25; fused, reranked and cut."""
+    rows = L.indexed(chunks(spark, d))
+    asked = questions(spark, d)
+    embed = V.hash_embedding()
+    vectors = rows.select("tenant_id", F.col("chunk_id").alias("vec_id"), embed(F.col("tokens")).alias("embedding"))
+    semantic = V.cosine_top_k(asked.select("query_id", "tenant_id", embed(T.tokenize(F.col("text"))).alias("embedding")), vectors, by_tenant=True)
+    found = R.rank_pipeline(asked, semantic.withColumnRenamed("vec_id", "chunk_id"), L.bm25(asked, rows), rows)
+    return found.select("query_id", "chunk_id", "place", "semantic_rank", "lexical_rank")
+
+
 @query("multi_query_merge", f"{LISTS_SQL} SELECT turn_id, chunk_id, query_no, rank, row_number() OVER (PARTITION BY turn_id ORDER BY query_no, rank) AS position FROM (SELECT query_id % 5 AS turn_id, chunk_id, query_id // 5 AS query_no, rank, row_number() OVER (PARTITION BY query_id % 5, chunk_id ORDER BY query_id // 5, rank) AS n FROM lexical) WHERE n = 1")
 def multi_query_merge(spark, d):
     rows = L.bm25(questions(spark, d), L.indexed(chunks(spark, d)))
@@ -210,21 +207,10 @@ def retrieval_mode(spark, d):
     return R.retrieval_mode(sizes).select("query_id", "mode")
 
 
-QRELS_SQL = "qrels AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(hash_key - 500), chunk_id) AS rank FROM (SELECT b.item_id AS query_id, d.doc_id AS chunk_id, CASE WHEN contains(d.text, b.text) THEN 490 + d.doc_id % 40 ELSE (d.doc_id * 7919 + b.item_id * 104729) % 1000 END AS hash_key FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 OR contains(d.text, b.text)))"
-
-
-def _qrels(spark, d):
-    """Documents that hold an item's text, from one pass against the bounded set of items."""
-    items = F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    holds = F.contains(F.col("text"), F.col("item"))
-    pairs = docs.join(items, (F.col("chunk_id") % 40 == F.col("query_id") % 40) | holds).withColumn("rel", holds)
-    key = F.when(F.col("rel"), 490 + F.col("chunk_id") % 40).otherwise((F.col("chunk_id") * 7919 + F.col("query_id") * 104729) % 1000)
-    ranked = L.top_k(pairs.withColumn("key", F.abs(key - 500)), ["query_id"], [F.asc("key"), F.asc("chunk_id")], 100)
-    return pairs.where("rel").select("query_id", "chunk_id"), ranked.select("query_id", "chunk_id", "rank")
-
-
-METRICS_SQL = f"""WITH {QRELS_SQL}, need AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY ALL),
+# Every document competes, ranked by BM25 as one tenant.
+ALL_SQL = RETRIEVAL_SQL.replace("source AS tenant_id", "'all' AS tenant_id").replace("'src' || (item_id % 20) AS tenant_id", "'all' AS tenant_id")
+QRELS_SQL = "qrels AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ranked AS (SELECT query_id, chunk_id, rank FROM lexical)"
+METRICS_SQL = f"""{ALL_SQL}, {QRELS_SQL}, need AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY ALL),
   marked AS (SELECT r.query_id, r.rank, (q.chunk_id IS NOT NULL)::INT AS rel FROM ranked r LEFT JOIN qrels q USING (query_id, chunk_id) WHERE rank <= 5),
   run AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM marked),
   m AS (SELECT query_id, round(sum(rel) / any_value(n_rel), 6) AS recall, round(sum(rel) / count(*), 6) AS precision, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 THEN rank END), 0), 6) AS mrr,
@@ -233,40 +219,22 @@ METRICS_SQL = f"""WITH {QRELS_SQL}, need AS (SELECT query_id, count(*) AS n_rel
     FROM need JOIN run USING (query_id) GROUP BY query_id)"""
 
 
-@query("retrieval_metrics", f"{METRICS_SQL} SELECT * FROM m")
-def retrieval_metrics(spark, d):
-    qrels, ranked = _qrels(spark, d)
-    return E.retrieval_metrics(ranked, qrels)
-
-
-@query("macro_metrics", f"{METRICS_SQL} SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(context_precision), 6) AS context_precision FROM m")
-def macro_metrics(spark, d):
-    qrels, ranked = _qrels(spark, d)
-    return E.macro(E.retrieval_metrics(ranked, qrels))
-
-
-# Every document competes, ranked by BM25 as one tenant.
-ALL_SQL = RETRIEVAL_SQL.replace("source AS tenant_id", "'all' AS tenant_id").replace("'src' || (item_id % 20) AS tenant_id", "'all' AS tenant_id")
-BM25_METRICS_SQL = METRICS_SQL.replace(f"WITH {QRELS_SQL}", f"{ALL_SQL}, {QRELS_SQL[:QRELS_SQL.index(', ranked AS')]}, ranked AS (SELECT query_id, chunk_id, rank FROM lexical)")
-
-
-def _bm25_metrics(spark, d):
+def _metrics(spark, d):
     one = F.lit("all")
     asked = questions(spark, d).withColumn("tenant_id", one)
-    items = F.broadcast(asked.select("query_id", F.col("text").alias("item")))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    qrels = docs.join(items, F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id")
-    return E.retrieval_metrics(L.bm25(asked, chunks(spark, d).withColumn("tenant_id", one)), qrels)
+    ranked = L.bm25(asked, L.indexed(chunks(spark, d).withColumn("tenant_id", one)))
+    return E.retrieval_metrics(ranked, E.holding(docs, asked.select("query_id", F.col("text").alias("item"))))
 
 
-@query("bm25_metrics", f"{BM25_METRICS_SQL} SELECT * FROM m")
-def bm25_metrics(spark, d):
-    return _bm25_metrics(spark, d)
+@query("retrieval_metrics", f"{METRICS_SQL} SELECT * FROM m")
+def retrieval_metrics(spark, d):
+    return _metrics(spark, d)
 
 
-@query("bm25_macro_metrics", f"{BM25_METRICS_SQL} SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(context_precision), 6) AS context_precision FROM m")
-def bm25_macro_metrics(spark, d):
-    return E.macro(_bm25_metrics(spark, d))
+@query("macro_metrics", f"{METRICS_SQL} SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(context_precision), 6) AS context_precision FROM m")
+def macro_metrics(spark, d):
+    return E.macro(_metrics(spark, d))
 
 
 @query("latency_percentiles_disc", "SELECT event_type AS stage, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, count(value) AS n FROM events GROUP BY event_type")

@@ -133,3 +133,55 @@ def test_corpus_hash_knows_every_document(spark, tmp_path):
     rows = [(i, f"text {i}", f"src{i % 3}") for i in range(40)]
     first = of("a", *rows)
     assert first == of("b", *reversed(rows), parts=5) and len({first, of("c", *rows[:-1]), of("d", *rows[:2], (2, "other", "src2"), *rows[3:])}) == 3
+
+
+def test_by_tenant_sent_or_by_block(spark, monkeypatch):
+    from scholium.operators import vector
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("label", "tenant_id")
+    asked = rows.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "tenant_id")
+    want = {tuple(r) for r in vector.cosine_top_k(asked, rows, 5, by_tenant=True).collect()}
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", 20)
+    assert want and {tuple(r) for r in vector.cosine_top_k(asked, rows, 5, by_tenant=True, block=16, slice_rows=50).collect()} == want
+    nothing = asked.where("false")
+    assert vector.cosine_top_k(nothing, rows, 5, by_tenant=True).isEmpty() and vector.cosine_top_k(nothing, rows.drop("tenant_id"), 5).isEmpty()
+
+
+def test_texts_that_hold_items(spark):
+    from scholium.operators.evaluation import holding
+
+    docs = [(1, "xone two  three four five six seveny"), (2, "one two three four five six seven"), (3, None), (4, ""), (5, "short one"), (6, "two three four five"), (6, "two three four five"), (7, "one\ntwo three four five six\tseven")]
+    items = [(1, "one two three four five six seven"), (2, "one two  three four five"), (3, "t one"), (4, "two three four five six sev"), (5, "one\ntwo three four five six\tseven"), (6, None), (7, "wo three four five")]
+    found = holding(spark.createDataFrame(docs, "chunk_id long, text string"), spark.createDataFrame(items, "query_id long, item string"))
+    assert {tuple(r) for r in found.collect()} == {(q, c) for q, i in items for c, t in docs if i is not None and t is not None and i in t}
+
+
+def test_hybrid_documents_against_plain(spark):
+    import hashlib
+
+    import numpy as np
+    from scholium.functions.text import tokenize
+    from scholium.queries.tables import chunks, questions
+
+    def vector(tokens):
+        out = np.zeros(384)
+        for t in tokens:
+            d = hashlib.blake2b(t.encode(), digest_size=8).digest()
+            out[int.from_bytes(d[:4], "big") % 384] += 1 if d[4] & 1 else -1
+        return out
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r.tenant_id, r.chunk_id, vector(r.tokens)) for r in chunks(spark, d).collect()]
+    got = {}
+    for r in QUERIES["hybrid_documents"](spark, d).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert got and all(sorted(r.place for r in x) == list(range(1, len(x) + 1)) and len(x) <= 5 for x in got.values())
+    ranks = 0
+    for q in questions(spark, d).withColumn("tokens", tokenize(F.col("text"))).collect():
+        v = vector(q.tokens)
+        scores = {c: round(float(v @ w) / float(np.linalg.norm(v) * np.linalg.norm(w)), 6) for t, c, w in rows if t == q.tenant_id and w.any() and v.any()}
+        place = {c: i for i, c in enumerate(sorted(scores, key=lambda c: (-scores[c], c))[:20], 1)}
+        for r in got.get(q.query_id, []):
+            assert r.semantic_rank == place.get(r.chunk_id)
+            ranks += r.semantic_rank is not None
+    assert ranks

@@ -23,6 +23,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -273,6 +274,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """This worker's encoder; it outlives a task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already; the library's threads would only wait on each other
     if (path, remembered) not in _encoders:
         _encoders[path, remembered] = Encoder(path, remembered=remembered)
     return _encoders[path, remembered]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files, toxicity
+from scholium.llm import bpe, exact_dedup, merkle, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files, toxicity
 from scholium.llm.common import load
 
 
@@ -47,12 +47,69 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode_documents(load(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.tamper_trial(load(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+#: The table of CRC-32 as a list, one entry per byte.
+CRC_TABLE = """
+    crc AS (SELECT list(v ORDER BY i) AS tab FROM (
+        SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) AS v FROM range(256) AS r(i)))"""
+
+
+def crc32_sql(codes: str) -> str:
+    """Unsigned CRC-32 of a list of byte values, where ``crc`` is joined."""
+    return f"xor(4294967295, list_reduce({codes}, lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), 4294967295))"
+
+
+def merkle_sql(depth: int = 9, fanout: int = 16) -> str:
+    """The manifest's rows, for trees of up to fanout ** depth leaves."""
+
+    def levels(name: str) -> str:
+        made = []
+        for k in range(depth):
+            window = f"(PARTITION BY grp, idx // {fanout} ORDER BY idx ROWS BETWEEN"
+            made.append(f"""
+        {name}s{k} AS (SELECT grp, idx, n, coalesce(string_agg(d, '') OVER {window} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                              coalesce(string_agg(d, '') OVER {window} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k}),
+        {name}{k + 1} AS (SELECT grp, idx // {fanout} AS idx, (any_value(n) + {fanout - 1}) // {fanout} AS n,
+                                 CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE any_value(d) END AS d
+                          FROM {name}{k} GROUP BY grp, idx // {fanout})""")
+        return ",".join(made)
+
+    def climbed(start: str, name: str, frm: str, group: str, place: str) -> str:
+        made, last = [], start
+        for k in range(depth):
+            made.append(f"""
+        {frm}{name}{k} AS (SELECT p.* EXCLUDE (proof, fold), p.proof || s.b || s.a AS proof, CASE WHEN s.n > 1 THEN sha256(s.b || p.fold || s.a) ELSE p.fold END AS fold
+                      FROM {last} p JOIN {name}s{k} s ON s.grp = p.{group} AND s.idx = p.{place} // {fanout**k})""")
+            last = f"{frm}{name}{k}"
+        return ",".join(made)
+
+    fields = "".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" + " || " for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ids = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return f"""
+        WITH {CRC_TABLE.strip()},
+        r AS (SELECT doc_id, coalesce('=' || source, '-') AS grp, sha256({fields}coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+                     CASE WHEN {crc32_sql(ids)} % 5 = 0 THEN sha256({fields}coalesce(strlen({lower})::VARCHAR || ':' || {lower}, '-')) END AS shown
+              FROM documents, crc),
+        d AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM r),
+        l0 AS (SELECT grp, idx, count(*) OVER (PARTITION BY grp) AS n, leaf AS d FROM d),{levels("l")},
+        g AS (SELECT grp, d AS subroot, row_number() OVER (ORDER BY grp) - 1 AS gidx FROM l{depth}),
+        t0 AS (SELECT 1 AS grp, gidx AS idx, count(*) OVER () AS n, subroot AS d FROM g),{levels("t")},
+        p AS (SELECT d.doc_id, d.leaf, g.subroot, d.grp, d.idx, g.gidx, 1 AS one, '' AS proof, coalesce(shown, leaf) AS fold FROM d JOIN g USING (grp)),{climbed("p", "l", "p", "grp", "idx")},{climbed(f"pl{depth - 1}", "t", "p", "one", "gidx")}
+        SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified
+        FROM pt{depth - 1}, t{depth}
+    """
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_simhash": op1_simhash,
@@ -65,9 +122,11 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
+    "op12_merkle_manifest": merkle_sql(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

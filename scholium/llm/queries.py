@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, exact_dedup, merkle, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files, toxicity
+from scholium.llm import bpe, exact_dedup, license_rules, licenses, merkle, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files, toxicity
 from scholium.llm.common import load
 
 
@@ -51,6 +51,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.tamper_trial(load(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark, sf_dir):
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -110,6 +114,32 @@ def merkle_sql(depth: int = 9, fanout: int = 16) -> str:
     """
 
 
+def license_sql() -> str:
+    """The scan's rows. Words have two spaces between them here: a match takes one on each side, as RE2 looks neither back nor ahead."""
+    kinds = list(license_rules.KINDS)
+    values = ",".join(f"({i}, {kinds.index(r.kind)}, {license_rules.KINDS[r.kind]}::DOUBLE, '{r.keyword}', '{r.label}', ' (?:{r.regex.replace(' ', '  ')}) ')" for i, r in enumerate(license_rules.rules()))
+    phrases = ",".join(f"('{label}', {phrase.split()})" for phrase, label in licenses.BASE.items())
+    count = "len(list_filter(string_split({}, ' '), lambda w: w <> ''))"
+    return rf"""
+        WITH rules(rule, kind, sure, keyword, label, regex) AS (VALUES {values}), phrases(label, phrase) AS (VALUES {phrases}),
+        d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        t AS (SELECT *, '  ' || array_to_string(words, '  ') || '  ' AS spaced FROM d),
+        places AS (SELECT uid, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)) AS at FROM d, phrases),
+        base AS (SELECT uid, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY uid),
+        c AS (SELECT uid, rule, kind, sure, label, string_split_regex(spaced, regex) AS pieces, regexp_extract_all(spaced, regex) AS hits FROM t JOIN rules ON list_contains(words, keyword)),
+        m AS (SELECT uid, rule, kind, sure, label, unnest(range(len(hits))) AS pos, unnest(list_transform(pieces[1 : len(hits)], lambda x: {count.format("x")})) AS gap,
+                     unnest(list_transform(hits, lambda x: {count.format("x")})) AS length FROM c WHERE len(hits) > 0),
+        s AS (SELECT *, sum(gap + length) OVER (PARTITION BY uid, rule ORDER BY pos) AS stop FROM m),
+        kept AS (SELECT uid, list(DISTINCT label) AS labels, max(sure) AS score FROM s WHERE NOT EXISTS (
+                     SELECT 1 FROM s o WHERE o.uid = s.uid AND o.kind <= s.kind AND o.stop - o.length <= s.stop - s.length AND o.stop >= s.stop
+                     AND (o.length > s.length OR o.rule < s.rule)) GROUP BY uid)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, kept.labels))), ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+        FROM d LEFT JOIN base USING (uid) LEFT JOIN kept USING (uid)
+    """
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_simhash": op1_simhash,
@@ -123,9 +153,11 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL = {
+    "op13_license_scan": license_sql(),
     "op12_merkle_manifest": merkle_sql(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

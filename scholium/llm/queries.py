@@ -124,8 +124,8 @@ def license_sql() -> str:
         WITH rules(rule, kind, sure, keyword, label, regex) AS (VALUES {values}), phrases(label, phrase) AS (VALUES {phrases}),
         d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
         t AS (SELECT *, '  ' || array_to_string(words, '  ') || '  ' AS spaced FROM d),
-        places AS (SELECT uid, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)) AS at FROM d, phrases),
-        base AS (SELECT uid, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY uid),
+        places AS (SELECT uid, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)) AS place FROM d, phrases),
+        base AS (SELECT uid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY uid),
         c AS (SELECT uid, rule, kind, sure, label, string_split_regex(spaced, regex) AS pieces, regexp_extract_all(spaced, regex) AS hits FROM t JOIN rules ON list_contains(words, keyword)),
         m AS (SELECT uid, rule, kind, sure, label, unnest(range(len(hits))) AS pos, unnest(list_transform(pieces[1 : len(hits)], lambda x: {count.format("x")})) AS gap,
                      unnest(list_transform(hits, lambda x: {count.format("x")})) AS length FROM c WHERE len(hits) > 0),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, exact_dedup, license_rules, licenses, merkle, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, token_files, toxicity
+from scholium.llm import bpe, exact_dedup, license_rules, licenses, merkle, mixing, quality, sharding, simhash, spelling, substring_dedup, suffix_dedup, token_files, toxicity
 from scholium.llm.common import load
 
 
@@ -47,6 +47,10 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode_documents(load(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(load(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.tamper_trial(load(spark, sf_dir, "documents"))
 
@@ -140,6 +144,31 @@ def license_sql() -> str:
     """
 
 
+def spelling_sql() -> str:
+    octets = "list_transform(range(len(hex(encode(key))) // 2), lambda i: ('0x' || substr(hex(encode(key)), 2 * i + 1, 2))::BIGINT)"
+    return f"""
+        WITH RECURSIVE {CRC_TABLE.strip()},
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        r AS (SELECT doc_id, run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key, count(*) AS times FROM runs WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY ALL),
+        h AS (SELECT run, times, {crc32_sql(octets)} AS h FROM r, crc),
+        slips AS (SELECT times, CASE WHEN h % {spelling.SLIP_EVERY} = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM h),
+        words AS (SELECT word, sum(times)::BIGINT AS n FROM slips WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.LEAST_COUNT}),
+        places AS (SELECT word, unnest(range(length(word))) AS pos FROM words),
+        cut AS (SELECT word, pos, word[: pos] || word[pos + 2 :] AS rest FROM places),
+        near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+                 UNION SELECT cut.word, words.word FROM cut JOIN words ON cut.rest = words.word
+                 UNION SELECT words.word, cut.word FROM cut JOIN words ON cut.rest = words.word),
+        best AS (SELECT near.word, other, words.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY words.n DESC, other) AS place
+                 FROM near JOIN words ON words.word = near.other),
+        forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.TIMES} * words.n THEN other END AS form,
+                         CASE WHEN form_n >= {spelling.TIMES} * words.n THEN form_n END AS form_n
+                  FROM words LEFT JOIN best ON best.word = words.word AND place = 1),
+        climb AS (SELECT word, word AS root FROM forms UNION ALL SELECT climb.word, forms.form FROM climb JOIN forms ON forms.word = climb.root WHERE forms.form IS NOT NULL),
+        ends AS (SELECT climb.word, climb.root FROM climb JOIN forms ON forms.word = climb.root WHERE forms.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+    """
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_simhash": op1_simhash,
@@ -152,11 +181,13 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL = {
+    "op11_spelling_variants": spelling_sql(),
     "op13_license_scan": license_sql(),
     "op12_merkle_manifest": merkle_sql(),
     "op2_exact_dedup": """

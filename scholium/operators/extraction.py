@@ -89,11 +89,15 @@ def gated(rows: DataFrame, allow_cross_course: bool = False) -> DataFrame:
 
     ``rows``: source_name, target_name, relation, cue, model_confidence,
     document_id, chunk_id, quote, chunk_text and, if known, source_course and
-    target_course. What is left goes through ``screened``.
+    target_course, or tenant_id with the chunk's own chunk_tenant_id and
+    chunk_document_id. What is left goes through ``gates.admitted``.
     """
     source, target = F.trim(F.coalesce("source_name", F.lit(""))), F.trim(F.coalesce("target_name", F.lit("")))
     quote = F.trim(F.coalesce("quote", F.lit("")))
-    gate = F.when(F.col("model_confidence").isNull() | ~F.col("model_confidence").between(0, 1), "schema")
+    foreign = F.lit(False)
+    if {"tenant_id", "chunk_tenant_id", "chunk_document_id"} <= set(rows.columns):
+        foreign = (F.col("chunk_tenant_id") != F.col("tenant_id")) | (F.col("chunk_document_id") != F.col("document_id"))
+    gate = F.when(F.coalesce(foreign, F.lit(False)), "document_scope").when(F.col("model_confidence").isNull() | ~F.col("model_confidence").between(0, 1), "schema")
     gate = gate.when(~F.coalesce(F.col("relation").isin(*RELATIONS), F.lit(False)), "relation_enum")
     gate = gate.when((F.lower(source) == F.lower(target)) | (slugify(source) == slugify(target)), "self_relation")
     gate = gate.when((F.col("relation") == "requires") & (F.col("cue") == "inferred"), "inferred_requires")
@@ -106,19 +110,6 @@ def gated(rows: DataFrame, allow_cross_course: bool = False) -> DataFrame:
     return rows.withColumn("gate", gate)
 
 
-def screened(rows: DataFrame, per_chunk: int = CHUNK_EDGES, per_document: int = DOCUMENT_EDGES, floor: float = DISCARD) -> DataFrame:
-    """Adds gate to rows that passed ``gated`` and were scored: source_id, target_id, relation, document_id, chunk_id, seq (order in the chunk), confidence, verified (the graph has the edge, verified)."""
-    in_chunk = F.row_number().over(Window.partitionBy("chunk_id").orderBy("seq"))
-    first = rows.withColumn("gate", F.when(in_chunk > per_chunk, "chunk_edge_cap"))
-    fresh = first.withColumn("_n", F.row_number().over(Window.partitionBy("source_id", "target_id", "relation", F.col("gate").isNull()).orderBy("document_id", "chunk_id", "seq")))
-    fresh = written(fresh.withColumn("gate", F.when(F.col("gate").isNull() & (F.col("_n") > 1), "duplicate_edge").otherwise(F.col("gate"))).drop("_n"), "screened")
-    circling = contradictory(fresh.where("gate is null and relation = 'requires'")).withColumn("relation", F.lit("requires")).withColumn("_circles", F.lit(True))
-    marked = fresh.join(circling, ["source_id", "target_id", "relation"], "left").withColumn("gate", F.when(F.col("gate").isNull() & F.col("_circles"), "contradictory_cycle").otherwise(F.col("gate"))).drop("_circles")
-    place = F.row_number().over(Window.partitionBy("document_id", F.col("gate").isNull()).orderBy("chunk_id", "seq"))
-    over = marked.withColumn("_n", place).withColumn("gate", F.when(F.col("gate").isNull() & (F.col("_n") > per_document), "document_edge_cap").otherwise(F.col("gate"))).drop("_n")
-    return over.withColumn("gate", F.coalesce("gate", F.when(F.col("verified"), "verified_conflict").when(F.col("confidence") < floor, "confidence_floor")))
-
-
 def capped(rows: DataFrame, per_chunk: int = CHUNK_EDGES, per_document: int = DOCUMENT_EDGES) -> DataFrame:
     """Accepted rows within the caps, by their place (seq) in the chunk, then in the document."""
     kept = rows.withColumn("_c", F.row_number().over(Window.partitionBy("chunk_id").orderBy("seq"))).where(F.col("_c") <= per_chunk)

@@ -62,9 +62,12 @@ def related(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, k: int = 12
     rel = edges.where("relation = 'related_to'")
     ways = rel.select(F.col("source_id").alias("seed"), F.col("target_id").alias("concept_id")).unionByName(rel.select(F.col("target_id").alias("seed"), F.col("source_id").alias("concept_id")))
     near = ways.join(seeds, "seed", "left_semi").distinct().withColumn("kind", F.lit("related"))
-    part = edges.where("relation = 'part_of'")
+    part = edges.where("relation = 'part_of'").select("source_id", "target_id").distinct()
     mine = part.join(seeds, part["source_id"] == seeds["seed"]).select("seed", "target_id")
-    sisters = mine.join(part.select(F.col("source_id").alias("concept_id"), "target_id"), "target_id").where("concept_id <> seed").select("seed", "concept_id").distinct().withColumn("kind", F.lit("sibling"))
+    # a parent's k + 1 first children are enough for each of them to have its k first siblings
+    children = part.join(concepts.select(F.col("concept_id").alias("source_id"), "difficulty", "slug"), "source_id")
+    children = written(top_k(children, ["target_id"], [F.asc("difficulty"), F.asc("slug"), F.asc("source_id")], k + 1, "_n"), "children")
+    sisters = mine.join(children.select(F.col("source_id").alias("concept_id"), "target_id"), "target_id").where("concept_id <> seed").select("seed", "concept_id").distinct().withColumn("kind", F.lit("sibling"))
     named = near.unionByName(sisters).where("concept_id <> seed").join(concepts.select("concept_id", "difficulty", "slug"), "concept_id")
     cut = top_k(named, ["seed", "kind"], [F.asc("difficulty"), F.asc("slug")], k, "_n").drop("_n")
     first = Window.partitionBy("seed", "concept_id").orderBy("kind")
@@ -87,7 +90,7 @@ def knowledge_gap(goals: DataFrame, mastery: DataFrame, edges: DataFrame, concep
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def _on_cycles(steps: DataFrame) -> DataFrame:
+def on_cycles(steps: DataFrame) -> DataFrame:
     """``steps`` without those from a source or to a sink, round by round until none is left of these."""
     steps = written(steps, "steps")
     before = steps.count()
@@ -106,7 +109,7 @@ def cycles(edges: DataFrame, seeds: DataFrame | None = None, max_path: int = MAX
 
     Each round's open paths are written; rounds end when there are none.
     """
-    steps = _on_cycles(_steps(edges, TRANSITIVE, None).select("at", "to").distinct())
+    steps = on_cycles(_steps(edges, TRANSITIVE, None).select("at", "to").distinct())
     starts = (seeds if seeds is not None else steps.select(F.col("at").alias("seed"))).distinct()
     open_, found = starts.select(F.array("seed").alias("path"), F.col("seed").alias("last")), None
     back = F.col("to") == F.col("path")[0]

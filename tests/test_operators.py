@@ -210,13 +210,6 @@ def test_agreement_with_the_graph(spark):
     assert got == {(1, 2, "requires"): 1.0, (2, 3, "requires"): 0.0, (1, 4, "requires"): 0.7, (5, 6, "requires"): 0.0, (1, 3, "part_of"): 0.0}
 
 
-def test_screened_edges_have_the_first_reason(spark):
-    rows = [(1, 2, 1, 1, 1, 0.9, False), (1, 2, 1, 2, 1, 0.9, False), (3, 4, 1, 1, 2, 0.9, True), (5, 6, 1, 1, 3, 0.1, False), (7, 8, 1, 1, 4, 0.9, False), (9, 9, 1, 2, 2, 0.9, False), (10, 11, 2, 3, 1, 0.9, False), (11, 10, 2, 3, 2, 0.9, False)]
-    df = spark.createDataFrame([(a, b, "requires", *x) for a, b, *x in rows], "source_id long, target_id long, relation string, document_id long, chunk_id long, seq long, confidence double, verified boolean")
-    got = {(r.source_id, r.target_id, r.chunk_id): r.gate for r in extraction.screened(df, per_chunk=3, per_document=4).collect()}
-    assert got == {(1, 2, 1): None, (1, 2, 2): "duplicate_edge", (3, 4, 1): "verified_conflict", (5, 6, 1): "confidence_floor", (7, 8, 1): "chunk_edge_cap", (9, 9, 2): None, (10, 11, 3): "contradictory_cycle", (11, 10, 3): "contradictory_cycle"}
-
-
 def test_unpadded_base64_and_noise(spark):
     import base64
 

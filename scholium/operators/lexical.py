@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scholium.functions.text import index_terms, is_term, may_change, tokenize
-from scholium.store import written
+from scholium.store import small, written
 
 K1, B = 1.2, 0.75
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as there are cores, where they come in fewer: one row group would be tokenised by one core. Larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def analysed(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Adds tokens (stop words kept) and token_count. Only texts that NFKC may change go through Python."""
+    chunks = spread(chunks)
     changes = F.coalesce(may_change(F.col(text)), F.lit(False))
     parts = [chunks.where(changes == x).withColumn("tokens", tokenize(F.col(text), normalise=x)) for x in (False, True)]
     return parts[0].unionByName(parts[1]).withColumn("token_count", F.size("tokens").cast("long"))
@@ -57,21 +64,33 @@ def question_terms(questions: DataFrame, text: str = "text") -> DataFrame:
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = 20, k1: float = K1, b: float = B, terms: DataFrame | None = None) -> DataFrame:
     """query_id, tenant_id, chunk_id, score, rank: the k best chunks of the question's tenant.
 
-    Ordered by score (six digits), then chunk id. Postings join questions on
-    (tenant, term) before any scoring, so only matching postings move.
+    Ordered by score (six digits), then chunk id. Tokens meet the questions' terms
+    before they are counted, so only matching ones move; document frequencies are
+    written, so that Spark can split the join of a hot term.
     """
-    terms = chunk_terms(chunks) if terms is None else terms
-    asked = question_terms(questions)
-    hits = terms.join(asked, ["tenant_id", "term"])
-    stats = doc_freq(terms.join(asked.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi"))
+    key = ["tenant_id", "term"]
+    asked = written(question_terms(questions), "question-terms")
+    wanted = asked.select(*key).distinct()
+    if terms is None:
+        said = chunks.select("tenant_id", "chunk_id", F.explode("tokens").alias("term")).join(small(wanted), key, "left_semi")
+        terms = written(said.groupBy("tenant_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), "asked-terms")
+    else:
+        terms = terms.join(small(wanted), key, "left_semi")
+    stats = small(written(doc_freq(terms), "asked-frequencies"))
     lengths = chunks.select("tenant_id", "chunk_id", "token_count")
-    scored = hits.join(stats, ["tenant_id", "term"]).join(corpus_stats(chunks), "tenant_id").join(lengths, ["tenant_id", "chunk_id"])
-    norm = F.when(F.col("avg_doc_len") > 0, F.col("token_count") / F.col("avg_doc_len")).otherwise(0.0)
-    part = idf(F.col("doc_count"), F.col("doc_freq")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))
-    total = scored.groupBy("query_id", "tenant_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    found = terms.join(stats, key).join(small(written(corpus_stats(chunks), "corpus-stats")), "tenant_id").join(lengths, ["tenant_id", "chunk_id"])
+    parts = found.select("tenant_id", "chunk_id", "term", part(k1, b).alias("part")).join(small(asked), key)
+    total = parts.groupBy("query_id", "tenant_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(total, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
+def part(k1: float = K1, b: float = B, tf: str | Column = "tf", length: str | Column = "token_count") -> Column:
+    """What a term adds to a chunk's score; rows have doc_count, doc_freq and avg_doc_len. It grows with tf and falls with the length."""
+    tf, length = (F.col(x) if isinstance(x, str) else x for x in (tf, length))
+    norm = F.when(F.col("avg_doc_len") > 0, length / F.col("avg_doc_len")).otherwise(0.0)
+    return idf(F.col("doc_count"), F.col("doc_freq")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
+
+
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The k first rows of each group, ranked from 1; Spark keeps k rows a group before the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)

@@ -1,13 +1,16 @@
 """Scans, text analysis, BM25, vectors, fusion and their evaluation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
-from scholium.operators import evaluation as E, lexical as L, ranking as R, vector as V
+from scholium.operators import evaluation as E, index as I, lexical as L, ranking as R, vector as V
 from scholium.queries.tables import BM25_SQL, CHUNKS_SQL, QUESTIONS_SQL, RETRIEVAL_SQL, STATS_SQL, TERMS_SQL, chunks, questions, table, tokens_sql
 from scholium.registry import query
 from scholium.scope import TenantScope
 from scholium.sources import files
+from scholium.store import shared_folder
 
 
 @query("tenant_scan", "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src3'")
@@ -98,6 +101,27 @@ def bm25_topk(spark, d):
     return L.bm25(questions(spark, d), L.indexed(chunks(spark, d)))
 
 
+def _index(spark, d):
+    index = I.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.put(chunks(spark, d).withColumn("document_id", F.col("chunk_id")))
+    return index
+
+
+@query("bm25_index", f"{RETRIEVAL_SQL} SELECT query_id, tenant_id, chunk_id, score, rank FROM lexical")
+def bm25_index(spark, d):
+    """The ranking of ``bm25_topk`` out of a stored index."""
+    return _index(spark, d).bm25(questions(spark, d))
+
+
+@query("bm25_reingest", RETRIEVAL_SQL.replace("FROM documents", "FROM (SELECT doc_id, source, lang, CASE doc_id % 10 WHEN 0 THEN reverse(lower(text)) || ' reingested' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5)") + " SELECT query_id, tenant_id, chunk_id, score, rank FROM lexical")
+def bm25_reingest(spark, d):
+    """The ranking after a tenth of the documents came again with other texts and another tenth went."""
+    index = _index(spark, d)
+    rows = table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.concat(F.reverse(F.lower("text")), F.lit(" reingested")).alias("text"))
+    index.put(L.analysed(rows.where("document_id % 10 = 0")), rows.where("document_id % 10 in (0, 5)"))
+    return index.bm25(questions(spark, d))
+
+
 @query("empty_query_degraded", "SELECT query_id, CASE WHEN query_id = 1 THEN ['empty_query_terms'] WHEN query_id = 2 THEN ['no_corpus_stats'] WHEN query_id = 3 THEN ['empty_query_terms', 'no_corpus_stats'] ELSE []::VARCHAR[] END AS degraded FROM (VALUES (0), (1), (2), (3)) v(query_id)")
 def empty_query_degraded(spark, d):
     asked = spark.createDataFrame([(0, "src1", "gradient descent"), (1, "src1", "the and of"), (2, "nobody", "gradient"), (3, "nobody", "the")], "query_id int, tenant_id string, text string")

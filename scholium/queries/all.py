@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from scholium.queries import domain, gates, retrieval, services  # noqa: F401
+from scholium.queries import domain, gates, retrieval, revisions, services  # noqa: F401

@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from scholium.llm import seeds
 from scholium.llm.common import written
@@ -38,6 +38,8 @@ WINDOW, GRAM = 400, 40
 SHARD_BYTES, SEED_BYTES = 1 << 20, 2 << 20
 #: Ranges of offsets of a seed in its windows, by level of splitting; a last level has as many as there are offsets.
 RANGES = (1, 8, 64)
+#: Fragments cut at a time, and bytes of unlike fragments that are held before they are sent.
+LOT, HELD_BYTES = 1 << 16, 8 << 20
 
 
 # ---- suffix array of bytes ---------------------------------------------------
@@ -224,54 +226,73 @@ def runs(places) -> list[tuple[int, int]]:
 # ---- the job -----------------------------------------------------------------
 
 
-def _pieces(raw: bytes, places: np.ndarray, window: int, gram: int, ranges: int) -> list[tuple[int, int, int, int]]:
-    """(key, place of the seed, start, end) of the fragments of a text: the windows that name a seed, by ranges of its offset in them.
+def _pieces(raw: bytes, places: np.ndarray, window: int, gram: int, ranges: int):
+    """Arrays (key, place of the seed, start, end) of the fragments of a text, in lots: the windows that name a seed, by ranges of its offset in them.
 
     The key is a hash of bytes that all windows of a range of that seed have.
     """
     symbols = seeds.symbols_of([raw], False)[0][:-1]
     grams = seeds.rolling(symbols, gram)
+    del symbols
     named = np.concatenate([x for _, x in seeds.named_grams(grams, window - gram + 1)])
-    first, last = np.searchsorted(named, places), np.searchsorted(named, places, side="right") - 1
-    if ranges == 1:
-        return list(zip(grams[places].view(np.int64).tolist(), places.tolist(), first.tolist(), (last + window).tolist(), strict=True))
-    out, edges = [], np.linspace(0, window - gram + 1, ranges + 1).astype(int).tolist()
-    for at, i, j in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
-        for low, high in zip(edges[:-1], edges[1:], strict=True):  # offsets [low, high): windows from at - high + 1 to at - low
-            start, end = max(i, at - high + 1), min(j, at - low) + window
-            if start + window <= end:
-                core = raw[at - low : at - high + 1 + window]
-                out.append((int.from_bytes(hashlib.sha256(b"%d " % low + core).digest()[:8], "little", signed=True), at, start, end))
-    return out
+    edges = np.linspace(0, window - gram + 1, ranges + 1).astype(int).tolist()
+    for lot in np.array_split(places, max(1, len(places) * ranges // LOT)):
+        first, last = np.searchsorted(named, lot), np.searchsorted(named, lot, side="right") - 1
+        if ranges == 1:
+            yield grams[lot].view(np.int64), lot, first, last + window
+            continue
+        out = []
+        for at, i, j in zip(lot.tolist(), first.tolist(), last.tolist(), strict=True):
+            for low, high in zip(edges[:-1], edges[1:], strict=True):  # offsets [low, high): windows from at - high + 1 to at - low
+                start, end = max(i, at - high + 1), min(j, at - low) + window
+                if start + window <= end:
+                    core = raw[at - low : at - high + 1 + window]
+                    out.append((int.from_bytes(hashlib.sha256(b"%d " % low + core).digest()[:8], "little", signed=True), at, start, end))
+        yield tuple(np.array(out, np.int64).reshape(-1, 4).T)
 
 
 def _fragments(window: int, gram: int, ranges: int, with_bytes: bool):
-    """The fragments of repeated seeds: key, first 128 bits of the SHA-256, and where they are or the bytes."""
+    """The fragments of repeated seeds: key, first 128 bits of the SHA-256, and where they are or the bytes.
+
+    Fragments are cut and hashed one at a time. What a lot has more than once is
+    held and sent once, so a long run of few bytes, where every place is a seed, takes
+    no more memory than other text.
+    """
 
     def rows(batches):
+        held: dict[tuple[int, bytes], list] = {}
+        size = 0
+
+        def flush():
+            sha = np.frombuffer(b"".join(k for _, k in held), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([g for g, _ in held], pa.int64()), pa.array(sha[:, 0].copy()), pa.array(sha[:, 1].copy()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.binary())],
+                ["gram", "f1", "f2", "weight", "fragment"])
+
         for batch in batches:
-            keys, found, owner, cut = [], [], [], []
-            for k, (raw, places) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places"), strict=True)):
-                part = _pieces(raw, np.sort(np.array(places.values, np.int64)), window, gram, ranges)
-                found += part
-                bodies = [raw[i:j] for _, _, i, j in part]
-                keys += [hashlib.sha256(x).digest()[:16] for x in bodies]
-                owner += [k] * len(part)
-                if with_bytes:
-                    cut += bodies
-            if not found:
-                continue
-            sha = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            seed, at, first, end = np.array(found, np.int64).T
-            owner = np.array(owner)
-            if with_bytes:  # what a batch has more than once is sent once
-                copies = batch.column("copies").to_numpy()[owner]
-                _, once, inverse = np.unique(np.column_stack([seed, sha]), axis=0, return_index=True, return_inverse=True)
-                weight = np.bincount(inverse.ravel(), copies).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed[once], sha[once, 0].copy(), sha[once, 1].copy(), weight)] + [pa.array([cut[i] for i in once.tolist()], pa.binary())], ["gram", "f1", "f2", "weight", "fragment"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (seed, sha[:, 0], sha[:, 1])] + [batch.column(c).take(pa.array(owner)) for c in ("did", "th")] + [pa.array(np.ascontiguousarray(x)) for x in (at, first, end - first)],
-                                                 ["gram", "f1", "f2", "did", "th", "at", "first", "size"])
+            copies = batch.column("copies").to_pylist() if with_bytes else None
+            for k in range(batch.num_rows):
+                raw = batch.column("text")[k].as_py().encode()
+                places = np.sort(np.asarray(batch.column("places")[k].values, np.int64))
+                for seed, at, first, end in _pieces(raw, places, window, gram, ranges):
+                    digests = (hashlib.sha256(raw[i:j]).digest()[:16] for i, j in zip(first.tolist(), end.tolist(), strict=True))
+                    if not with_bytes:
+                        sha = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                        here = pa.array(np.full(len(at), k))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (seed, sha[:, 0], sha[:, 1])] + [batch.column(c).take(here) for c in ("did", "th")] + [pa.array(np.ascontiguousarray(x)) for x in (at, first, end - first)],
+                                                         ["gram", "f1", "f2", "did", "th", "at", "first", "size"])
+                        continue
+                    for g, digest, i, j in zip(seed.tolist(), digests, first.tolist(), end.tolist(), strict=True):
+                        if (g, digest) in held:
+                            held[g, digest][0] += copies[k]
+                        else:
+                            held[g, digest] = [copies[k], raw[i:j]]
+                            size += j - i
+                    if size > HELD_BYTES:
+                        yield flush()
+                        held, size = {}, 0
+        if held:
+            yield flush()
 
     return rows
 
@@ -336,6 +357,14 @@ def _cut(window: int):
     return rows
 
 
+def _islands(spans: DataFrame, window: int) -> DataFrame:
+    """did, th, a, b: spans whose windows touch or overlap, as one; so a text has fewer than one for each ``window`` bytes."""
+    order = Window.partitionBy("did", "th").orderBy("a")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("new", F.coalesce((F.col("a") > before + window).cast("int"), F.lit(1)))
+    return rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("did", "th", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+
+
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``.
 
@@ -364,7 +393,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     shards = bodies.repartition("gram").sortWithinPartitions("gram", "f1", "f2")
     found = written(shards.mapInArrow(_sorted_shards(window, shard_bytes), "gram long, f1 long, f2 long, a long, b long"), "repeated-runs")
     gone = marks.join(found, ["gram", "f1", "f2"]).select("did", "th", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    gone = gone.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    gone = _islands(gone, window).groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     cut = texts.where("copies = 1").select("did", "th", "text").join(gone, ["did", "th"]).mapInArrow(_cut(window), "did long, th long, removed long, spans long, left string")
     cut = written(cut, "cut-texts")
     every = rows.select("did", "th", "sha", "n").join(reps.select("sha", "copies"), "sha").join(cut, ["did", "th"], "left")

@@ -1,7 +1,11 @@
 """Exact, near, substring and suffix deduplication against plain versions."""
 
 import hashlib
+import os
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -196,3 +200,36 @@ def test_only_asked_nodes_are_gathered(spark):
     rows = spark.range(5000).select(F.lit(0).alias("t"), F.col("id").alias("value")).union(spark.createDataFrame([(0, (7 << 40) + i) for i in range(3)], "t int, value long"))
     items = spark.createDataFrame([(0, 7, 7)], "t int, a long, b long")
     assert [(r.node, len(r["values"])) for r in simhash._gathered(items, rows, 24).collect()] == [(7, 3)]
+
+
+def fragment_peak(size, pattern, with_bytes, path):
+    """Memory that cutting the fragments of a long run takes beyond the text's own pass, in MB, and the rows made; in a process of its own."""
+    code = f"""
+import resource, sys
+import numpy as np, pyarrow as pa
+from scholium.llm import seeds, suffix_dedup as S
+raw = ({pattern!r} * {size})[:{size}]
+[(grams, places)] = seeds.seeds([raw.encode()], False, S.WINDOW, S.GRAM)
+del grams
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([raw]), pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), pa.array(places.astype(np.int32))), pa.array([1])], ["did", "th", "text", "places", "copies"])
+list(S._pieces(raw.encode(), places.astype(np.int64)[:1], S.WINDOW, S.GRAM, 1))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in S._fragments(S.WINDOW, S.GRAM, 1, {with_bytes})(iter([batch])))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    return map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": path}).stdout.split())
+
+
+def test_long_runs_take_little_memory():
+    path = str(Path(suffix_dedup.__file__).parents[2])
+    for pattern in ("=", "abc"):
+        n, mb = fragment_peak(2 << 20, pattern, True, path)
+        assert n < 20 and mb < 150
+    n, mb = fragment_peak(2 << 20, "=", False, path)
+    assert n > 2_000_000 and mb < 150
+
+
+def test_long_runs(spark):
+    texts = ["=" * 30_000, "abc" * 9_000 + " tail", "x" * 450, "no run " + "=" * 399, "-" * 401]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(map(tuple, suffix_dedup.remove_repeated_bytes(df).collect())) == plain_byte_removal([(i, t.encode()) for i, t in enumerate(texts)])

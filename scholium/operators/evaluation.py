@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scholium.store import small
+
+# What marks an answer as a refusal.
 REFUSALS = ("i don't have enough information", "not enough information", "not enough evidence", "insufficient evidence", "cannot answer", "can't answer", "cannot be answered", "do not have enough context")
 
 
@@ -141,7 +144,7 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     Distinct models meet the bounded price list, not every usage row.
     """
     models = usage.select("model").distinct()
-    hits = models.join(F.broadcast(prices), F.contains(F.lower("model"), F.col("part")))
+    hits = models.join(small(prices), F.contains(F.lower("model"), F.col("part")))
     best = hits.groupBy("model").agg(F.min(F.struct("ord", "prompt_price", "completion_price")).alias("p"))
     out = usage.join(best, "model", "left")
     cost = F.col("prompt_tokens") / 1e6 * F.col("p.prompt_price") + F.col("completion_tokens") / 1e6 * F.col("p.completion_price")

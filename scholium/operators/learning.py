@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scholium.operators.lexical import top_k
+from scholium.store import written
 
 # Half-life and windows in days, weights of mastery, thresholds.
 HALF_LIFE, VELOCITY_DAYS, STALE_DAYS = 30.0, 28, 30
@@ -45,7 +46,7 @@ def mastery(rows: DataFrame) -> DataFrame:
     Age counts back from the learner's own latest observation. Of observations
     of one moment the first collected is the latest (larger value among equals).
     """
-    reference = rows.groupBy("user_id").agg(F.max(seconds(F.col("at"))).alias("_now"))
+    reference = written(rows.groupBy("user_id").agg(F.max(seconds(F.col("at"))).alias("_now")), "latest-observations")  # so that Spark can split the join of a hot learner
     aged = rows.join(reference, "user_id").withColumn("_d", F.pow(F.lit(0.5), (F.col("_now") - seconds(F.col("at"))) / 86400.0 / HALF_LIFE))
     decayed = F.col("value") * F.col("_d")
     latest = F.max_by(decayed, F.struct(F.col("at"), -F.col("seq"), F.col("value")))

@@ -74,9 +74,11 @@ def ranged_corpus_hash(docs: DataFrame, ranges: int = 256) -> DataFrame:
 
     A name's range is the start of its own hash, so that it does not depend on the
     cluster; tasks hash sorted rows as they pass, and only ``ranges`` hashes are gathered.
+    A null name or text is not the same as an empty one.
     """
-    each = docs.select("filename", F.sha2(F.concat("filename", F.lit("\x00"), "text", F.lit("\x00")), 256).alias("h"))
-    each = each.withColumn("range", F.pmod(F.conv(F.substring(F.sha2("filename", 256), 1, 8), 16, 10).cast("long"), F.lit(ranges)).cast("int"))
+    field = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    each = docs.select("filename", F.sha2(F.concat(field("filename"), F.lit("\x00"), field("text"), F.lit("\x00")), 256).alias("h"))
+    each = each.withColumn("range", F.pmod(F.conv(F.substring(F.sha2(F.coalesce("filename", F.lit("")), 256), 1, 8), 16, 10).cast("long"), F.lit(ranges)).cast("int"))
 
     def fold(frames):
         at, state = None, None
@@ -86,7 +88,7 @@ def ranged_corpus_hash(docs: DataFrame, ranges: int = 256) -> DataFrame:
                     if state is not None:
                         yield pd.DataFrame({"range": [at], "h": [state.hexdigest()]})
                     at, state = r, hashlib.sha256()
-                state.update((h or "").encode())
+                state.update(h.encode())
         if state is not None:
             yield pd.DataFrame({"range": [at], "h": [state.hexdigest()]})
 

@@ -343,14 +343,14 @@ def chunk_edge_caps(spark, d):
 COST_SQL = f"WITH {USAGE_SQL}, {PRICES_SQL}, cost AS (SELECT u.*, coalesce(prompt_tokens / 1e6 * p.prompt_price + completion_tokens / 1e6 * p.completion_price, 0) AS cost_usd, p.model IS NOT NULL AS priced FROM usage u LEFT JOIN (SELECT model, arg_min(prompt_price, ord) AS prompt_price, arg_min(completion_price, ord) AS completion_price FROM (SELECT DISTINCT model FROM usage) JOIN prices ON contains(lower(model), part) GROUP BY model) p USING (model))"
 
 
-@query("usage_cost", f"{COST_SQL} SELECT model, count(*) AS calls, round(sum(cost_usd), 4) AS cost_usd, bool_and(priced) AS priced FROM cost GROUP BY model")
+@query("usage_cost", f"{COST_SQL} SELECT model, count(*) AS calls, round(sum(cost_usd), 6) AS cost_usd, bool_and(priced) AS priced FROM cost GROUP BY model")
 def usage_cost(spark, d):
-    return E.priced(usage(spark, d), prices(spark)).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.bool_and("priced").alias("priced"))
+    return E.priced(usage(spark, d), prices(spark)).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.bool_and("priced").alias("priced"))
 
 
-@query("token_summary", f"{COST_SQL} SELECT count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(cost_usd), 4) AS cost_usd, round(avg(priced::INT), 6) AS priced_fraction, round(avg(fallback_used::INT), 6) AS fallback_rate, bool_or(NOT priced) AS partial FROM cost")
+@query("token_summary", f"{COST_SQL} SELECT count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(cost_usd), 6) AS cost_usd, round(avg(priced::INT), 6) AS priced_fraction, round(avg(fallback_used::INT), 6) AS fallback_rate, bool_or(NOT priced) AS partial FROM cost")
 def token_summary(spark, d):
-    return E.token_summary(E.priced(usage(spark, d), prices(spark))).withColumn("cost_usd", F.round("cost_usd", 4))
+    return E.token_summary(E.priced(usage(spark, d), prices(spark))).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 @query("fallback_rate", f"WITH {USAGE_SQL} SELECT round(avg(fallback_used::INT), 6) AS fallback_rate, round(avg((prompt_tokens > 4000)::INT), 6) AS error_rate FROM usage")

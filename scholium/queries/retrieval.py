@@ -5,8 +5,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
-from scholium.operators import evaluation as E, index as I, lexical as L, ranking as R, vector as V
-from scholium.queries.tables import BM25_SQL, CHUNKS_SQL, QUESTIONS_SQL, RETRIEVAL_SQL, STATS_SQL, TERMS_SQL, chunks, questions, table, tokens_sql
+from scholium.operators import evaluation as E, hybrid as H, index as I, lexical as L, ranking as R, vector as V
+from scholium.queries.tables import BM25_SQL, CHUNKS_SQL, QUESTIONS_SQL, RETRIEVAL_SQL, STATS_SQL, STOP_SQL, TERMS_SQL, chunks, questions, table, tokens_sql
 from scholium.registry import query
 from scholium.scope import TenantScope
 from scholium.sources import files
@@ -216,6 +216,39 @@ def hybrid_documents(spark, d):
     return found.select("query_id", "chunk_id", "place", "semantic_rank", "lexical_rank")
 
 
+HALF_SQL = f"""WITH {CHUNKS_SQL}, {TERMS_SQL}, {STATS_SQL}, asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 6 = 1 THEN 'nobody' ELSE 'src' || (item_id % 20) END AS tenant_id, CASE WHEN item_id % 11 = 4 THEN 'the and of' ELSE text END AS text,
+    CASE WHEN item_id % 5 = 0 THEN 'other' ELSE 'hashing' END AS model, item_id % 7 <> 3 AS embedded FROM benchmark),
+  terms_asked AS (SELECT query_id, tenant_id, term FROM (SELECT query_id, tenant_id, unnest({tokens_sql('text')}) AS term FROM asked) WHERE term NOT IN ({STOP_SQL})),
+  lexical AS (SELECT query_id, least(count(DISTINCT chunk_id), 20) AS n_lexical FROM terms_asked JOIN terms USING (tenant_id, term) GROUP BY query_id),
+  reasons AS (SELECT query_id, (tenant_id = 'nobody' OR model = 'other' OR NOT embedded) AS no_semantic, CASE WHEN query_id NOT IN (SELECT query_id FROM terms_asked) THEN 'empty_query_terms' WHEN tenant_id = 'nobody' THEN 'no_corpus_stats' END AS no_lexical, tenant_id FROM asked)"""
+
+
+def half_answered(spark, d):
+    """Questions of which some have no vector, one of another model, no terms, or a tenant without a corpus."""
+    i = F.col("item_id")
+    rows = L.indexed(chunks(spark, d).withColumn("document_id", F.col("chunk_id")), "document_id")
+    embed = V.hash_embedding(64)
+    asked = table(spark, d, "benchmark").select(
+        i.alias("query_id"), F.when(i % 6 == 1, "nobody").otherwise(F.concat(F.lit("src"), (i % 20).cast("string"))).alias("tenant_id"), F.when(i % 11 == 4, "the and of").otherwise(F.col("text")).alias("text"),
+        F.when(i % 5 == 0, "other").otherwise("hashing").alias("model"), F.when(i % 7 != 3, embed(T.tokenize(F.col("text")))).alias("embedding"))
+    index = I.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.put(rows)
+    vectors = rows.select("tenant_id", "chunk_id", F.lit("hashing").alias("model"), embed(F.col("tokens")).alias("embedding"))
+    return H.hybrid(asked, H.semantic_side(asked, vectors), H.lexical_side(asked, index), rows)
+
+
+@query("hybrid_states", f"{HALF_SQL} SELECT query_id, list_sort(list_filter([CASE WHEN no_semantic THEN 'semantic_unavailable' END, no_lexical], lambda x: x IS NOT NULL)) AS degraded, coalesce(n_lexical, 0) AS n_lexical FROM reasons LEFT JOIN lexical USING (query_id)")
+def hybrid_states(spark, d):
+    """Why a side of a question has no list, as it comes out of the search."""
+    return half_answered(spark, d).states.select("query_id", "degraded", "n_lexical")
+
+
+@query("hybrid_half")
+def hybrid_half(spark, d):
+    """What is found where a side may be absent; hashed vectors have no SQL."""
+    return half_answered(spark, d).ranked.select("query_id", "chunk_id", "place", "semantic_rank", "lexical_rank")
+
+
 @query("multi_query_merge", f"{LISTS_SQL} SELECT turn_id, chunk_id, query_no, rank, row_number() OVER (PARTITION BY turn_id ORDER BY query_no, rank) AS position FROM (SELECT query_id % 5 AS turn_id, chunk_id, query_id // 5 AS query_no, rank, row_number() OVER (PARTITION BY query_id % 5, chunk_id ORDER BY query_id // 5, rank) AS n FROM lexical) WHERE n = 1")
 def multi_query_merge(spark, d):
     rows = L.bm25(questions(spark, d), L.indexed(chunks(spark, d)))

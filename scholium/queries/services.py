@@ -7,6 +7,7 @@ from scholium.queries.domain import CLOSURE_SQL, GRAPH, _extracted, _graph, _wal
 from scholium.queries.tables import EVENTS_SQL, chunks, progress_events, table, tokens_sql, usage
 from scholium.registry import query
 from scholium.scope import TenantScope
+from scholium.streaming import usage as U
 
 
 @query("retrieval_filters", "SELECT doc_id AS chunk_id FROM documents WHERE source = 'src1' AND lang = 'fr'")
@@ -145,3 +146,30 @@ def scripted_judge(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return rows.join(following, ["conv_id", "turn"]).select("conv_id", "turn", A.overlap_graded(F.col("text"), F.col("answer")).alias("grade"))
+
+
+# ---- usage by attempt ----------------------------------------------------------
+
+ATTEMPTS_SQL = """WITH a AS (SELECT l_shipdate AS moment, CASE WHEN l_suppkey % 19 <> 0 THEN 'tenant-' || (l_orderkey % 7) END AS tenant_id, l_orderkey AS request_id, l_linenumber AS attempt, CASE WHEN l_linenumber > 4 THEN 'model-b' ELSE 'model-a' END AS model, l_linenumber > 4 AS used_fallback,
+    (l_quantity * 10)::BIGINT AS prompt_tokens, (l_linenumber * 5)::BIGINT AS completion_tokens, CASE WHEN l_partkey % 4 = 0 THEN 'timeout' END AS error_type, l_extendedprice AS latency_ms FROM lineitem),
+  d AS (SELECT *, prompt_tokens + completion_tokens AS total_tokens, row_number() OVER (PARTITION BY tenant_id, request_id, attempt, model ORDER BY moment, used_fallback, prompt_tokens, completion_tokens, error_type NULLS FIRST, greatest(round_even(latency_ms, 0), 0)) AS n FROM a WHERE tenant_id IS NOT NULL),
+  f AS (SELECT * FROM d WHERE n = 1)"""
+
+
+def usage_attempts(spark, d):
+    """An attempt for each line of an order; lines of one number are the same attempt delivered again."""
+    n = F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(
+        F.col("l_shipdate").alias("at"), F.when(F.col("l_suppkey") % 19 != 0, F.concat(F.lit("tenant-"), (F.col("l_orderkey") % 7).cast("string"))).alias("tenant_id"), F.col("l_orderkey").alias("request_id"), n.alias("attempt"), F.when(n > 4, "model-b").otherwise("model-a").alias("model"), F.lit("provider").alias("provider"), (n > 4).alias("used_fallback"),
+        (F.col("l_quantity") * 10).cast("long").alias("prompt_tokens"), (n * 5).cast("long").alias("completion_tokens"), F.when(F.col("l_partkey") % 4 == 0, "timeout").alias("error_type"), F.col("l_extendedprice").alias("latency_ms"))
+
+
+@query("usage_facts", f"{ATTEMPTS_SQL} SELECT tenant_id, request_id, attempt, model, prompt_tokens, total_tokens, error_type FROM f")
+def usage_facts(spark, d):
+    return U.facts(usage_attempts(spark, d)).select("tenant_id", "request_id", "attempt", "model", "prompt_tokens", "total_tokens", "error_type")
+
+
+@query("usage_by_request", f"""{ATTEMPTS_SQL} SELECT tenant_id, request_id, count(*) AS attempts, count(*) - count(DISTINCT model) AS retries, sum((error_type IS NOT NULL)::INT)::BIGINT AS failures, sum(total_tokens)::BIGINT AS total_tokens,
+    list_extract(list(model ORDER BY moment DESC, attempt DESC, model DESC) FILTER (WHERE error_type IS NULL), 1) AS answered_by, coalesce(list_extract(list(used_fallback ORDER BY moment DESC, attempt DESC, model DESC) FILTER (WHERE error_type IS NULL), 1), false) AS fell_back FROM f GROUP BY tenant_id, request_id""")
+def usage_by_request(spark, d):
+    return U.by_request(U.facts(usage_attempts(spark, d))).drop("last_error")

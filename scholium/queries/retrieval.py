@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
-from scholium.operators import evaluation as E, hybrid as H, index as I, lexical as L, ranking as R, vector as V
+from scholium.operators import ann as N, evaluation as E, hybrid as H, index as I, lexical as L, ranking as R, vector as V
 from scholium.queries.tables import BM25_SQL, CHUNKS_SQL, QUESTIONS_SQL, RETRIEVAL_SQL, STATS_SQL, STOP_SQL, TERMS_SQL, chunks, questions, table, tokens_sql
 from scholium.registry import query
 from scholium.scope import TenantScope
@@ -146,6 +146,20 @@ def cosine_topk_tenant(spark, d):
     return V.cosine_top_k(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "tenant_id"), vectors, by_tenant=True)
 
 
+@query("ann_topk")
+def ann_topk(spark, d):
+    """The approximate search for the questions of ``cosine_topk``; held against it by recall."""
+    vectors = V.checked(table(spark, d, "embeddings"), 64)
+    return N.fitted(vectors).search(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+@query("ann_topk_tenant")
+def ann_topk_tenant(spark, d):
+    """The same within the question's tenant."""
+    vectors = table(spark, d, "embeddings").withColumnRenamed("label", "tenant_id")
+    return N.fitted(vectors, by_tenant=True).search(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "tenant_id"))
+
+
 @query("hash_embed")
 def hash_embed(spark, d):
     rows = chunks(spark, d).select("chunk_id", V.hash_embedding(64)(F.col("tokens")).alias("embedding"))

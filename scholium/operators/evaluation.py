@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scholium.operators.lexical import spread
 from scholium.store import small
 
 # What marks an answer as a refusal.
@@ -49,8 +50,8 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     inner = F.slice(words(F.col("item")), F.lit(2), F.greatest(n - 2, F.lit(0)))
     longest = F.array_max(F.transform(F.slice(grams(inner), F.lit(1), F.greatest(n - 4, F.lit(0))), lambda g: F.struct(F.length(g).alias("size"), g.alias("gram"))))
     keys = items.where(n >= 5).select("query_id", longest["gram"].alias("gram"))
-    said = docs.select("chunk_id", F.explode(F.array_distinct(grams(words(F.col("text"))))).alias("gram"))
-    likely = said.join(keys, "gram").select("query_id", "chunk_id").distinct().join(items, "query_id").join(docs, "chunk_id")
+    said = spread(docs).select("chunk_id", F.explode(F.array_distinct(grams(words(F.col("text"))))).alias("gram"))
+    likely = said.join(small(keys), "gram").select("query_id", "chunk_id").distinct().join(items, "query_id").join(docs, "chunk_id")
     found = likely.where(F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id")
     short = items.where(n < 5)
     if short.isEmpty():

@@ -11,9 +11,14 @@ K1, B = 1.2, 0.75
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over as many tasks as there are cores, where they come in fewer: one row group would be tokenised by one core. Larger tables stay as they are."""
+    """``rows`` over as many tasks as there are cores, where they come in few files.
+
+    A file of one row group is read by one task, however many splits it is cut into.
+    Tables of many splits or files stay as they are.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    few = rows.rdd.getNumPartitions() < 4 * cores and len(rows.inputFiles()) < cores
+    return rows.repartition(cores) if few else rows
 
 
 def analysed(chunks: DataFrame, text: str = "text") -> DataFrame:

@@ -44,6 +44,8 @@ def lexical_rerank(questions: DataFrame, candidates: DataFrame, chunks: DataFram
     asked = questions.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("asked"))
     given = candidates.select("query_id", "chunk_id").distinct()
     joined = given.join(chunks.select("chunk_id", "tokens"), "chunk_id").join(asked, "query_id")
+    # few bytes but much to compare: without a number of its own the shuffle would end in one task
+    joined = joined.repartition(questions.sparkSession.sparkContext.defaultParallelism, "query_id", "chunk_id")
     hits = F.size(F.filter("tokens", lambda t: F.array_contains("asked", t)))
     score = F.when(F.size("tokens") > 0, hits / F.sqrt(F.size("tokens"))).otherwise(0.0)
     scored = joined.select("query_id", "chunk_id", F.round(score, 6).alias("rerank_score"))

@@ -36,28 +36,33 @@ def shortest(number: Column) -> Column:
     Where that takes seventeen digits they are the JVM's, whose last may be off by
     one from the nearest; it reads back as the same double all the same.
     """
+    own = number.cast("string")
+    few = F.length(F.regexp_replace(own, "E.*|[^0-9]", "")) <= 15  # then no other decimal is as short
+    usual = F.abs(number).between(1e-3, 1e7 - 1) | (number == 0)
     forms = [F.format_string(f"%.{n}e", number) for n in range(17)]
-    first = lambda of: F.get(F.filter(F.array(*of), lambda s: s.cast("double") == number), F.lit(0))
-    exact = F.regexp_replace(first(forms), r"^(-?\d)e", "$1.0e")
+    same = lambda t: t.cast("double") == number
+    first = lambda of: F.get(F.filter(F.array(*of), same), F.lit(0))
+    normal = F.coalesce(*(F.when(same(f), f) for f in forms[14:16]), forms[16])
     # of whole numbers the JVM gives digits that are rounded already; a decimal knows all of them
-    whole = F.when(F.abs(number).between(2.0**53, 2.0**63 - 1024), number).cast("long").cast("decimal(20,0)")
-    places = first([F.round(whole, -m).cast("string") for m in range(18, -1, -1)])
-    size = F.length(F.regexp_replace(places, "-", ""))
-    exact = F.coalesce(F.concat(F.regexp_replace(places, r"^(-?\d)", "$1."), F.lit("e+"), (size - 1).cast("string")), exact)
+    places = first([F.round(number.cast("long").cast("decimal(20,0)"), -m).cast("string") for m in range(18, -1, -1)])
+    whole = _let(places, lambda t: F.concat(F.regexp_replace(t, r"^(-?\d)", "$1."), F.lit("e+"), (F.length(F.regexp_replace(t, "-", "")) - 1).cast("string")))
+    tiny = F.regexp_replace(first(forms), r"^(-?\d)e", "$1.0e")
+    exact = F.when(F.abs(number) < 1e-300, tiny).when(few & ~usual, F.regexp_replace(F.regexp_replace(own, "E([0-9])", "e+$1"), "E", "e")).when(F.abs(number).between(2.0**53, 2.0**63 - 1024), whole).otherwise(normal)
 
-    def plain(s: Column) -> Column:
-        sign = F.regexp_extract(s, "^(-?)", 1)
+    def parts(s: Column) -> Column:
         digits = F.regexp_replace(F.concat(F.regexp_extract(s, r"(\d)\.", 1), F.regexp_extract(s, r"\.(\d+)e", 1)), "0+$", "")
-        e = F.regexp_extract(s, "e([+-][0-9]+)$", 1).cast("int")
-        tail = F.substring(digits, 2, 17)
-        fraction = F.substr(digits, e + 2)
-        whole = F.concat(F.substr(F.rpad(digits, 17, "0"), F.lit(1), e + 1), F.lit("."), F.when(F.length(fraction) > 0, fraction).otherwise("0"))
+        return F.struct(F.regexp_extract(s, "^(-?)", 1).alias("sign"), digits.alias("digits"), F.regexp_extract(s, "e([+-][0-9]+)$", 1).cast("int").alias("e"))
+
+    def plain(p: Column) -> Column:
+        digits, e = p["digits"], p["e"]
+        tail, fraction, power = F.substring(digits, 2, 17), F.substr(digits, e + 2), F.abs(e).cast("string")
+        above = F.concat(F.substr(F.rpad(digits, 17, "0"), F.lit(1), e + 1), F.lit("."), F.when(F.length(fraction) > 0, fraction).otherwise("0"))
         below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-        power = F.concat(F.substring(digits, 1, 1), F.when(F.length(tail) > 0, F.concat(F.lit("."), tail)).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
-        return F.concat(sign, F.when(digits == "", "0.0").when((e >= 0) & (e < 16), whole).when((e < 0) & (e >= -4), below).otherwise(power))
+        short = F.concat(F.substring(digits, 1, 1), F.when(F.length(tail) > 0, F.concat(F.lit("."), tail)).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")))
+        return F.concat(p["sign"], F.when(digits == "", "0.0").when((e >= 0) & (e < 16), above).when((e < 0) & (e >= -4), below).otherwise(short))
 
     named = F.when(F.isnan(number), "NaN").when(number == float("inf"), "Infinity").when(number == float("-inf"), "-Infinity")
-    return named.otherwise(_let(exact, plain))
+    return named.when(few & usual, own).otherwise(_let(_let(exact, parts), plain))
 
 
 def canonical(value: Column, kind: T.DataType) -> Column:

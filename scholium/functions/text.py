@@ -133,6 +133,19 @@ def intent(question: Column) -> Column:
     return out
 
 
+def rendered(template: Column, values: Column) -> Column:
+    """A template with ``{name}`` replaced by a map's values; ``{{`` and ``}}`` are braces. A name that the map lacks is an error.
+
+    Values are put in once and never read as templates themselves.
+    """
+    token = r"\{\{|\}\}|\{(\w+)\}"
+    between = F.split(template, token, -1)
+    name = lambda t: F.substr(t, F.lit(2), F.length(t) - 2)
+    value = lambda t: F.coalesce(F.element_at(values, name(t)), F.raise_error(F.concat(F.lit("no value for "), t)))
+    said = F.transform(F.regexp_extract_all(template, F.lit(token), F.lit(0)), lambda t: F.when(t == "{{", "{").when(t == "}}", "}").otherwise(value(t)))
+    return F.array_join(F.zip_with(between, said, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def fingerprint(*parts: Column) -> Column:
     """Twelve hex digits of a payload."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12)

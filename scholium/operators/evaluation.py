@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scholium.operators.lexical import spread
-from scholium.store import small
+from scholium.store import small, written
 
 # What marks an answer as a refusal.
 REFUSALS = ("i don't have enough information", "not enough information", "not enough evidence", "insufficient evidence", "cannot answer", "can't answer", "cannot be answered", "do not have enough context")
@@ -59,6 +59,25 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.unionByName(docs.join(short, F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id"))
 
 
+def question_metrics(semantic: DataFrame, lexical: DataFrame, fused: DataFrame, final: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
+    """The ten metrics of each answerable question (one that ``qrels`` has rows of), from the four rank lists (query_id, chunk_id, rank).
+
+    A list without rows of a question scores 0 for it.
+    """
+    wanted = written(qrels.select("query_id", "chunk_id").distinct(), "qrels")
+    lists = {"semantic": semantic, "lexical": lexical, "fused": fused}
+    rows = reduce(DataFrame.unionByName, (df.select("query_id", "chunk_id", "rank", F.lit(name).alias("list")) for name, df in lists.items()))
+    hit = rows.join(wanted, ["query_id", "chunk_id"])
+    upto = lambda name, n: F.count(F.when((F.col("list") == name) & (F.col("rank") <= n), 1))
+    by = hit.groupBy("query_id").agg(upto("semantic", 20).alias("s"), upto("lexical", 20).alias("l"), upto("fused", 10).alias("f"), F.min(F.when(F.col("list") == "fused", F.col("rank"))).alias("first"))
+    need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    last = retrieval_metrics(final, wanted, k).select(
+        "query_id", F.col("precision").alias(f"precision_at_{k}"), F.col("recall").alias(f"recall_at_{k}"), F.col("mrr").alias(f"mrr_at_{k}"), F.col("ndcg").alias(f"ndcg_at_{k}"), "context_precision", F.col("recall").alias("context_recall"))
+    share = lambda c, name: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("n"), 6).alias(name)
+    early = need.join(by, "query_id", "left").select("query_id", share("s", "semantic_recall_at_20"), share("l", "lexical_recall_at_20"), share("f", "fused_recall_at_10"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("fused_mrr"))
+    return early.join(last, "query_id")
+
+
 def macro(metrics: DataFrame) -> DataFrame:
     names = [c for c in metrics.columns if c != "query_id"]
     return metrics.agg(F.count(F.lit(1)).alias("n_questions"), *(F.round(F.avg(c), 6).alias(c) for c in names))
@@ -152,6 +171,30 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).withColumn("priced", F.col("p").isNotNull()).drop("p")
 
 
+def cost_sources(usage: DataFrame, prices: DataFrame, provided: DataFrame) -> DataFrame:
+    """Adds cost_usd, priced and source (provider, static, unknown).
+
+    A provider's own price of the very model (``provided``: model, prompt_price,
+    completion_price a million tokens) goes first where it gives a cost that is
+    positive and finite; else the first listed part of the name; else 0. Negative
+    or unknown token counts are 0.
+    """
+    tokens = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
+    clean = usage.withColumn("prompt_tokens", tokens("prompt_tokens")).withColumn("completion_tokens", tokens("completion_tokens"))
+    own = provided.dropDuplicates(["model"]).select("model", F.struct("prompt_price", "completion_price").alias("_own"))
+    out = priced(clean, prices).join(small(own), "model", "left")
+    cost = F.col("prompt_tokens") / 1e6 * F.col("_own.prompt_price") + F.col("completion_tokens") / 1e6 * F.col("_own.completion_price")
+    good = F.coalesce((cost > 0) & (cost < float("inf")), F.lit(False))
+    source = F.when(good, "provider").when(F.col("priced"), "static").otherwise("unknown")
+    return out.withColumn("source", source).withColumn("cost_usd", F.when(good, cost).otherwise(F.col("cost_usd"))).withColumn("priced", good | F.col("priced")).drop("_own")
+
+
+def turn_usage(calls: DataFrame) -> DataFrame:
+    """turn_id, tokens, cost and number of a turn's calls; a negative amount adds nothing."""
+    up = lambda c: F.sum(F.greatest(F.col(c), F.lit(0))).alias(c)
+    return calls.groupBy("turn_id").agg(up("prompt_tokens"), up("completion_tokens"), up("total_tokens"), F.round(F.sum(F.greatest("cost_usd", F.lit(0.0))), 6).alias("cost_usd"), F.count(F.lit(1)).alias("calls"))
+
+
 def token_summary(usage: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return usage.agg(n.alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"),

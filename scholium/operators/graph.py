@@ -47,18 +47,27 @@ def closure(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, max_depth:
     return named.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "difficulty", F.desc("weight"), "slug")))
 
 
-def direct(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, relation: str = "requires", k: int = 50) -> DataFrame:
-    """One-hop neighbours with their evidence: verified first, heavier, easier, then slug."""
+def direct(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, relation: str = "requires", k: int = 50, min_confidence: float | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """One-hop neighbours with their evidence: verified first, heavier, easier, then slug.
+
+    With ``documents`` (document_id, title) the rows that are left get the title of
+    the document that their edge names, null where it names none or an unknown one.
+    """
     rows = edges.where(F.col("relation") == relation).join(seeds.withColumnRenamed("seed", "source_id"), "source_id")
+    if min_confidence is not None:
+        rows = rows.where(F.col("confidence").cast("double") >= min_confidence)
     named = rows.join(concepts.select(F.col("concept_id").alias("target_id"), "difficulty", "slug"), "target_id")
-    return top_k(named, ["source_id"], [F.desc("verified"), F.desc("weight"), F.asc("difficulty"), F.asc("slug")], k)
+    best = top_k(named, ["source_id"], [F.desc("verified"), F.desc("weight"), F.asc("difficulty"), F.asc("slug")], k)
+    return best if documents is None else best.join(documents.select("document_id", "title"), "document_id", "left")
 
 
-def related(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, k: int = 12) -> DataFrame:
+def related(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, k: int = 12, min_confidence: float | None = None) -> DataFrame:
     """seed, concept_id, kind, difficulty, slug, rank: related concepts and siblings under one parent.
 
     Each kind is cut to k by (difficulty, slug) before they are merged; a concept of both kinds is related.
     """
+    if min_confidence is not None:
+        edges = edges.where(F.col("confidence").cast("double") >= min_confidence)
     rel = edges.where("relation = 'related_to'")
     ways = rel.select(F.col("source_id").alias("seed"), F.col("target_id").alias("concept_id")).unionByName(rel.select(F.col("target_id").alias("seed"), F.col("source_id").alias("concept_id")))
     near = ways.join(seeds, "seed", "left_semi").distinct().withColumn("kind", F.lit("related"))
@@ -168,8 +177,20 @@ def resolve(mentions: DataFrame, concepts: DataFrame, aliases: DataFrame) -> Dat
     return mentions.distinct().join(best, "mention", "left").select("mention", "best.concept_id", "best.way")
 
 
-def search(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, direction: str = "both", k: int = 20, **limits) -> DataFrame:
-    """Prerequisites, dependents or both with their direction, by (depth, slug)."""
+def search(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, direction: str = "both", k: int = 20, relation: str = "requires", **limits) -> DataFrame:
+    """Prerequisites, dependents or both with their direction, by (depth, slug).
+
+    A relation that is not transitive has no closure: its rows are one hop away,
+    ``direction`` is the relation itself, and they keep the order of the lookup.
+    """
+    if relation not in TRANSITIVE:
+        floor = limits.get("min_confidence", MIN_CONFIDENCE)
+        if relation == "related_to":
+            rows = related(seeds, edges, concepts, k, floor).select("seed", "concept_id", "slug", "rank")
+        else:
+            rows = direct(seeds, edges, concepts, relation, k, floor).select(F.col("source_id").alias("seed"), F.col("target_id").alias("concept_id"), "slug", "rank")
+        return rows.withColumn("depth", F.lit(1)).withColumn("direction", F.lit(relation))
+    limits["relation"] = relation
     sides = {"prerequisites": False, "dependents": True}
     parts = [closure(seeds, edges, concepts, reverse=r, **limits).drop("rank").withColumn("direction", F.lit(n)) for n, r in sides.items() if direction in (n, "both")]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

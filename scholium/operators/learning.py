@@ -201,6 +201,19 @@ def recommend(resources: DataFrame, covers: DataFrame, gaps: DataFrame, target:
     return top_k(scored, ["user_id"], [F.desc("score"), F.asc("url")], k).drop("url")
 
 
+def unpersonalised(resources: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
+    """user_id, resource_id, personalised, rank for learners without gaps: by trust, then title, then url.
+
+    The order is the same for all of them, so it is cut to k rows once and only these meet the learners.
+    """
+    trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.col("trust")), F.lit(TRUST["unknown"]))
+    best = resources.select("resource_id", trust.alias("trust"), "title", "url").orderBy(F.desc("trust"), "title", "url").limit(k)
+    place = F.struct((-F.col("trust")).alias("t"), "title", "url", "resource_id")
+    listed = best.agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["resource_id"]).alias("listed")).withColumn("_all", F.lit(0))
+    every = users.select("user_id").distinct().withColumn("_all", F.lit(0)).join(F.broadcast(listed), "_all")  # one row of k ids
+    return every.select("user_id", F.posexplode("listed").alias("p", "resource_id")).select("user_id", "resource_id", F.lit(False).alias("personalised"), (F.col("p") + 1).alias("rank"))
+
+
 def uncovered(gaps: DataFrame, covers: DataFrame) -> DataFrame:
     """Gaps that no resource at all covers."""
     return gaps.select("user_id", "slug").distinct().join(covers.select("slug").distinct(), "slug", "left_anti")

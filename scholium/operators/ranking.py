@@ -60,6 +60,18 @@ def floored(ranked: DataFrame, floor: float = FLOOR, score: str = "rerank_score"
     return kept.withColumn("degraded", F.when(F.col("_best") < floor, F.lit("rerank_floor_removed_all"))).drop("_best")
 
 
+def reordered(candidates: DataFrame, reranked: DataFrame) -> DataFrame:
+    """query_id, chunk_id, rerank_score, place: what a reranker returned (query_id, seq, chunk_id, rerank_score), in its order.
+
+    Ids that it was not given are left out, and of an id returned twice the first
+    counts, so that no reranker adds or doubles a passage.
+    """
+    key = ["query_id", "chunk_id"]
+    known = reranked.join(candidates.select(*key).distinct(), key, "left_semi")
+    first = known.groupBy(*key).agg(F.min("seq").alias("seq"), F.min_by("rerank_score", "seq").alias("rerank_score"))
+    return first.select(*key, "rerank_score", F.row_number().over(Window.partitionBy("query_id").orderBy("seq")).alias("place"))
+
+
 def rank_pipeline(questions: DataFrame, semantic: DataFrame, lexical: DataFrame, chunks: DataFrame, top_n: int = 20, k: int = 5, floor: float = FLOOR, reranker=lexical_rerank) -> DataFrame:
     """Fuse, rerank, floor, cut. A question that the reranker gives nothing keeps its fused order and says so."""
     fused = fuse(semantic, lexical, top_n=top_n)

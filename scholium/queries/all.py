@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from scholium.queries import catalogue, domain, gates, retrieval, revisions, services  # noqa: F401
+from scholium.queries import catalogue, domain, gates, retrieval, revisions, rows, services  # noqa: F401

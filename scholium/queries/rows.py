@@ -181,11 +181,11 @@ def question_metrics(spark, d):
 
 @query("cost_sources", f"""WITH {USAGE_SQL}, {PRICES_SQL}, own AS (SELECT * FROM (VALUES ('local-model', 0.5::DOUBLE, 1.0::DOUBLE), ('gpt-4.1', 0.0, 0.0), ('openai/gpt-4o', 2.0, 9.0)) v(model, a, b)), m AS (SELECT model, (SELECT arg_min(struct_pack(a := prompt_price, b := completion_price), ord) FROM prices WHERE contains(lower(model), part)) AS p FROM (SELECT DISTINCT model FROM usage)),
   c AS (SELECT model, prompt_tokens / 1e6 * a + completion_tokens / 1e6 * b AS own_cost, prompt_tokens / 1e6 * p.a + completion_tokens / 1e6 * p.b AS list_cost FROM (SELECT model, CASE WHEN task % 4 = 3 THEN 0 ELSE prompt_tokens END AS prompt_tokens, completion_tokens FROM usage) LEFT JOIN own USING (model) LEFT JOIN m USING (model))
-  SELECT model, CASE WHEN coalesce(own_cost, 0) > 0 THEN 'provider' WHEN list_cost IS NOT NULL THEN 'static' ELSE 'unknown' END AS source, count(*) AS calls, round(sum(CASE WHEN coalesce(own_cost, 0) > 0 THEN own_cost ELSE coalesce(list_cost, 0) END), 4) AS cost_usd FROM c GROUP BY ALL""")
+  SELECT model, CASE WHEN coalesce(own_cost, 0) > 0 THEN 'provider' WHEN list_cost IS NOT NULL THEN 'static' ELSE 'unknown' END AS source, count(*) AS calls, round(sum(CASE WHEN coalesce(own_cost, 0) > 0 THEN own_cost ELSE coalesce(list_cost, 0) END), 8) AS cost_usd FROM c GROUP BY ALL""")
 def cost_sources(spark, d):
     own = spark.createDataFrame([("local-model", 0.5, 1.0), ("gpt-4.1", 0.0, 0.0), ("openai/gpt-4o", 2.0, 9.0)], "model string, prompt_price double, completion_price double")
     calls = usage(spark, d).withColumn("prompt_tokens", F.when(F.col("task") % 4 == 3, -F.col("prompt_tokens")).otherwise(F.col("prompt_tokens")))
-    return E.cost_sources(calls, prices(spark), own).groupBy("model", "source").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    return E.cost_sources(calls, prices(spark), own).groupBy("model", "source").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 8).alias("cost_usd"))
 
 
 @query("turn_usage", "SELECT l_orderkey AS turn_id, sum((l_quantity * 100)::BIGINT)::BIGINT AS prompt_tokens, sum(greatest(l_linenumber * 50 - 100, 0))::BIGINT AS completion_tokens, sum((l_quantity * 100)::BIGINT + l_linenumber * 50)::BIGINT AS total_tokens, round(sum(greatest(l_discount - 0.05, 0)), 6) AS cost_usd, count(*) AS calls FROM lineitem GROUP BY l_orderkey")

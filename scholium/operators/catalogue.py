@@ -103,10 +103,16 @@ def covering(gaps: DataFrame, covers: DataFrame, resources: DataFrame, row_limit
     """user_id, resource_id, url, slugs: what covers a learner's gaps (user_id, slug), by url.
 
     Of the rows (resource, concept) that match, the first ``row_limit`` by url and
-    slug are looked at; ``slugs`` are the concepts among them.
+    slug are looked at; ``slugs`` are the concepts among them. No learner sees more
+    than the first ``row_limit`` rows of a concept, so each concept is cut to these
+    before it meets the learners; they carry numbers in place of the rows.
     """
     asked = gaps.where(F.coalesce("slug", F.lit("")) != "").select("user_id", "slug").distinct()
-    rows = asked.join(covers.select("resource_id", "slug").distinct(), "slug").join(resources.select("resource_id", "url"), "resource_id")
-    seen = top_k(rows, ["user_id"], [F.asc("url"), F.asc("slug"), F.asc("resource_id")], row_limit, "_n")
-    return seen.groupBy("user_id", "resource_id", "url").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
-
+    every = covers.select("resource_id", "slug").distinct().join(resources.select("resource_id", "url"), "resource_id")
+    order = ["url", "slug", "resource_id"]
+    first = written(top_k(every, ["slug"], [F.asc(c) for c in order], row_limit, "_n").drop("_n"), "first-covers")
+    placed = written(first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed-covers")
+    listed = placed.groupBy("slug").agg(F.collect_list("_at").alias("_places"))
+    seen = asked.repartition("user_id").join(small(listed), "slug").groupBy("user_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_places"))), 1, row_limit).alias("_places"))
+    rows = seen.select("user_id", F.explode("_places").alias("_at")).join(small(placed), "_at")
+    return rows.groupBy("user_id", "resource_id", "url").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))

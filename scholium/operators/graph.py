@@ -162,19 +162,22 @@ def edges_between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolve(mentions: DataFrame, concepts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """mention and its concept: by id, else slug, else name without case, else alias; least id among equals."""
-    name = F.lower(F.trim("mention"))
-    ways = [
-        mentions.join(concepts.select("concept_id"), F.col("mention") == F.col("concept_id").cast("string")).select("mention", "concept_id", F.lit(1).alias("way")),
-        mentions.join(concepts.select("concept_id", "slug"), F.col("mention") == F.col("slug")).select("mention", "concept_id", F.lit(2).alias("way")),
-        mentions.join(concepts.select("concept_id", F.lower("name").alias("n")), name == F.col("n")).select("mention", "concept_id", F.lit(3).alias("way")),
-        mentions.join(aliases.select("concept_id", "alias_norm"), name == F.col("alias_norm")).select("mention", "concept_id", F.lit(4).alias("way")),
-    ]
-    found = ways[0]
-    for w in ways[1:]:
-        found = found.unionByName(w)
+    """mention and its concept: by id, else slug, else name without case, else alias; least id among equals.
+
+    A mention is looked up once, and a key that many concepts share names the least
+    of them before it meets the mentions, so that each way gives a mention one row.
+    """
+    asked = mentions.select("mention").distinct()
+    asked = asked.select("mention", F.lower(F.trim("mention")).alias("_name"))
+    names = [("mention", concepts.select("concept_id", F.col("concept_id").cast("string").alias("_key"))), ("mention", concepts.select("concept_id", F.col("slug").alias("_key"))),
+        ("_name", concepts.select("concept_id", F.lower("name").alias("_key"))), ("_name", aliases.select("concept_id", F.col("alias_norm").alias("_key")))]
+    found = None
+    for way, (said, keyed) in enumerate(names, 1):
+        least = keyed.groupBy("_key").agg(F.min(F.struct("concept_id"))["concept_id"].alias("concept_id"))
+        rows = asked.join(least, F.col(said) == F.col("_key")).select("mention", "concept_id", F.lit(way).alias("way"))
+        found = rows if found is None else found.unionByName(rows)
     best = found.groupBy("mention").agg(F.min(F.struct("way", "concept_id")).alias("best"))
-    return mentions.distinct().join(best, "mention", "left").select("mention", "best.concept_id", "best.way")
+    return asked.select("mention").join(best, "mention", "left").select("mention", "best.concept_id", "best.way")
 
 
 def search(seeds: DataFrame, edges: DataFrame, concepts: DataFrame, direction: str = "both", k: int = 20, relation: str = "requires", **limits) -> DataFrame:

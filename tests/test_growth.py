@@ -33,3 +33,11 @@ def test_a_concept_is_cut_before_it_meets_the_learners(spark):
     first = sorted((f"u{i * 7919 % 200}", i) for i in range(200))[:2]
     assert sorted((r.user_id, r.url, r.resource_id, tuple(r.slugs)) for r in found.collect()) == sorted((u, *first[n], (("a", "b"), ("a",))[n]) for u in range(50) for n in range(2))
     assert most_rows(found) <= 200
+
+
+def test_a_name_that_many_share_is_looked_up_once(spark):
+    concepts = spark.range(200).select(F.col("id").alias("concept_id"), F.concat(F.lit("c-"), "id").alias("slug"), F.lit("Heap").alias("name"))
+    mentions = spark.range(200).select(F.lit("HEAP ").alias("mention"))
+    found = graph.resolve(mentions, concepts, concepts.select("concept_id", F.lit("heap").alias("alias_norm")))
+    assert [tuple(r) for r in found.collect()] == [("HEAP ", 0, 3)]
+    assert most_rows(found) <= 400

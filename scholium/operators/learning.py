@@ -139,11 +139,17 @@ def step_status(position: Column, blocked_by: Column) -> Column:
 
 
 def unblocked(steps: DataFrame, done: DataFrame) -> DataFrame:
-    """Steps after completions (plan_id, concept_id): their blockers shrink; with none left they are available."""
-    finished = done.groupBy("plan_id").agg(F.collect_set("concept_id").alias("done"))
-    out = steps.join(finished, "plan_id", "left").withColumn("blocked_by", F.array_except("blocked_by", F.coalesce("done", F.array().cast(steps.schema["blocked_by"].dataType))))
-    status = F.when(F.array_contains("done", F.col("concept_id")), "completed").when((F.col("status") == "blocked") & (F.size("blocked_by") == 0), "available").otherwise(F.col("status"))
-    return out.withColumn("status", status).drop("done")
+    """Steps after completions (plan_id, concept_id): their blockers shrink; with none left they are available.
+
+    Blockers meet the completions one by one, so that no step carries all that is done in its plan.
+    """
+    finished = done.select("plan_id", "concept_id").distinct()
+    lists = steps.select("plan_id", "blocked_by").distinct()
+    met = lists.select("plan_id", "blocked_by", F.explode("blocked_by").alias("concept_id")).join(finished, ["plan_id", "concept_id"], "left_semi").groupBy("plan_id", "blocked_by").agg(F.collect_set("concept_id").alias("met"))
+    out = steps.join(met, ["plan_id", "blocked_by"], "left").join(finished.withColumn("done", F.lit(True)), ["plan_id", "concept_id"], "left")
+    out = out.withColumn("blocked_by", F.array_except("blocked_by", F.coalesce("met", F.array().cast(steps.schema["blocked_by"].dataType))))
+    status = F.when(F.col("done"), "completed").when((F.col("status") == "blocked") & (F.size("blocked_by") == 0), "available").otherwise(F.col("status"))
+    return out.withColumn("status", status).select(steps.columns)
 
 
 def adapted(steps: DataFrame, nodes: DataFrame, needs: DataFrame, mastered: DataFrame) -> DataFrame:

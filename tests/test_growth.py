@@ -41,3 +41,18 @@ def test_a_name_that_many_share_is_looked_up_once(spark):
     found = graph.resolve(mentions, concepts, concepts.select("concept_id", F.lit("heap").alias("alias_norm")))
     assert [tuple(r) for r in found.collect()] == [("HEAP ", 0, 3)]
     assert most_rows(found) <= 400
+
+
+def test_steps_do_not_carry_all_that_is_done(spark):
+    rows = [(1, i, None if i == 7 else [i - 1, i - 1, i - 2], "blocked") for i in range(40)] + [(None, 1, [0], "blocked")]
+    steps = spark.createDataFrame(rows, "plan_id long, concept_id long, blocked_by array<long>, status string")
+    out = learning.unblocked(steps, spark.createDataFrame([(1, i) for i in range(0, 40, 2)], "plan_id long, concept_id long"))
+    got = {(r.plan_id, r.concept_id): (r.blocked_by, r.status) for r in out.collect()}
+    done = set(range(0, 40, 2))
+
+    def plain(plan, c, waits, status):
+        left = None if waits is None else [x for x in dict.fromkeys(waits) if plan is None or x not in done]
+        return left, "completed" if plan and c in done else "available" if left == [] else status
+
+    assert got == {(r[0], r[1]): plain(*r) for r in rows}
+    assert not re.search(r"Aggregate \[plan_id#\d+L?\],", out._jdf.queryExecution().optimizedPlan().toString())

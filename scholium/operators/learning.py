@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scholium.operators.lexical import top_k
-from scholium.store import written
+from scholium.store import small, written
 
 # Half-life and windows in days, weights of mastery, thresholds.
 HALF_LIFE, VELOCITY_DAYS, STALE_DAYS = 30.0, 28, 30
@@ -16,6 +16,7 @@ MASTERED = 0.6
 HOURS, PER_PREREQUISITE, LEAST_HOURS, MOST_HOURS = (0.5, 1.0, 2.0, 3.5, 5.0), 0.5, 0.25, 40.0
 # Parts of a recommendation's score, and trust by class.
 W_COVERAGE, W_FIT, W_RECENCY, W_TRUST = 0.55, 0.20, 0.10, 0.15
+SCORE_DIGITS = 6
 TRUST = {"official": 1.0, "academic": 0.8, "community": 0.5, "unknown": 0.25}
 
 
@@ -192,19 +193,39 @@ def recommend(resources: DataFrame, covers: DataFrame, gaps: DataFrame, target:
     """user_id, resource_id, coverage, score, rank: resources that cover a gap, best first, then by url.
 
     ``gaps`` (user_id, slug, mastery); coverage is the weight of a learner's gaps
-    that a resource covers, of all of them.
+    ``gaps`` (user_id, slug, mastery); coverage is the weight of a learner's gaps
+    that a resource covers, of all of them. Resources of the same concepts cover the
+    same of every learner's gaps, so each such set is cut to those that can be among
+    its k best before it meets the learners, and a learner's sets to the k with the
+    best first resource.
     """
-    weighted = gaps.select("user_id", "slug", gap_weight(F.col("mastery")).alias("w"))
-    total = weighted.groupBy("user_id").agg(F.sum("w").alias("all_w"))
-    covered = weighted.join(covers.distinct(), "slug").groupBy("user_id", "resource_id").agg(F.sum("w").alias("w"))
-    rows = covered.join(total, "user_id").join(resources, "resource_id").withColumn("coverage", F.col("w") / F.col("all_w"))
+    sets = covers.where("slug is not null").distinct().groupBy("resource_id").agg(F.sort_array(F.collect_set("slug")).alias("_slugs"))
     fit = 1 - F.abs(F.col("difficulty") - target) / 4.0
     age = F.when(F.col("year").isNull(), 0.5).otherwise(clip(1 - (now_year - F.col("year")) / 30.0))
     quality = 0.5 * age + 0.5 * F.coalesce(F.col("rating").cast("double") / 5.0, F.lit(0.5))
     trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.col("trust")), F.lit(TRUST["unknown"]))
-    score = W_COVERAGE * F.col("coverage") + W_FIT * fit + W_TRUST * trust + W_RECENCY * quality
-    scored = rows.select("user_id", "resource_id", "url", F.round("coverage", 6).alias("coverage"), F.round(score, 6).alias("score"))
-    return top_k(scored, ["user_id"], [F.desc("score"), F.asc("url")], k).drop("url")
+    own = ["_fit", "_trust", "_quality"]
+    rows = resources.select("resource_id", "url", fit.alias("_fit"), trust.alias("_trust"), quality.alias("_quality")).join(sets, "resource_id")
+    rows = rows.withColumn("_own", W_FIT * F.col("_fit") + W_TRUST * F.col("_trust") + W_RECENCY * F.col("_quality"))
+    # k resources that are better by more than the scores' last digit leave no place; of those alike in all but the url the k first will do
+    kth = top_k(rows.select("_slugs", "_own"), ["_slugs"], [F.desc_nulls_last("_own")], k, "_n").where(F.col("_n") == k).select("_slugs", F.col("_own").alias("_kth"))
+    able = rows.join(kth, "_slugs", "left").where(F.col("_kth").isNull() | (F.col("_own") >= F.col("_kth") - 2 * 10.0**-SCORE_DIGITS))
+    able = top_k(able, ["_slugs", *own], [F.asc("url"), F.asc("resource_id")], k, "_n")
+    lists = written(able.groupBy("_slugs").agg(F.collect_list(F.struct(*own, "url", "resource_id")).alias("_list")).withColumn("_set", F.monotonically_increasing_id()), "resource-sets")
+    best = small(lists.select("_set", "_list"))
+
+    def scored(coverage: Column, x: Column) -> Column:
+        score = F.round(W_COVERAGE * coverage + W_FIT * x["_fit"] + W_TRUST * x["_trust"] + W_RECENCY * x["_quality"], SCORE_DIGITS)
+        return F.struct(score.isNull().alias("none"), (-score).alias("minus"), x["url"].alias("url"), x["resource_id"].alias("resource_id"))
+
+    weighted = gaps.select("user_id", "slug", gap_weight(F.col("mastery")).alias("w")).repartition("user_id").withColumn("all_w", F.sum("w").over(Window.partitionBy("user_id")))
+    covered = weighted.join(small(lists.select("_set", F.explode("_slugs").alias("slug"))), "slug").groupBy("user_id", "_set").agg(F.sum("w").alias("w"), F.max("all_w").alias("all_w"))
+    covered = covered.select("user_id", "_set", (F.col("w") / F.col("all_w")).alias("coverage"))
+    ranked = F.transform("_list", lambda x: scored(F.col("coverage"), x))
+    firsts = covered.join(best, "_set").select("user_id", "_set", "coverage", F.array_min(ranked).alias("_first"))
+    near = top_k(firsts, ["user_id"], [F.asc("_first")], k, "_n").select("user_id", "_set", "coverage")
+    found = near.join(best, "_set").withColumn("_r", F.explode(F.slice(F.sort_array(ranked), 1, k)))
+    return top_k(found, ["user_id"], [F.asc("_r")], k).select("user_id", F.col("_r.resource_id").alias("resource_id"), F.round("coverage", 6).alias("coverage"), (-F.col("_r.minus")).alias("score"), "rank")
 
 
 def unpersonalised(resources: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:

@@ -56,3 +56,28 @@ def test_steps_do_not_carry_all_that_is_done(spark):
 
     assert got == {(r[0], r[1]): plain(*r) for r in rows}
     assert not re.search(r"Aggregate \[plan_id#\d+L?\],", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_recommendations_without_each_learner_meeting_each_resource(spark):
+    dice = random.Random(5)
+    kinds = "resource_id long, url string, difficulty int, year int, rating double, trust string"
+    rows = [(i, f"u{dice.randrange(10**6)}", dice.choice([1, 2, 3, None]), dice.choice([None, 1990, 2020]), dice.choice([None, 0.0, 4.5, 4.5 + dice.random() / 1e4]), dice.choice(["official", "community", None])) for i in range(400)]
+    covers = [(i, f"c{c}") for i, *_ in rows for c in {i % 5, i % 2}]
+    gaps = [(u, f"c{c}", dice.random()) for u in range(60) for c in range(7) if dice.random() < 0.6]
+    resources, covered, lacking = spark.createDataFrame(rows, kinds), spark.createDataFrame(covers, "resource_id long, slug string"), spark.createDataFrame(gaps, "user_id long, slug string, mastery double")
+    found = learning.recommend(resources, covered, lacking, k=4)
+    w = {(u, c): max(0.1, 1 - m) for u, c, m in gaps}
+    plain = lacking.join(covered, "slug").select("user_id", "resource_id", learning.gap_weight(F.col("mastery")).alias("w")).groupBy("user_id", "resource_id").agg(F.sum("w").alias("w"))
+    total = spark.createDataFrame([(u, sum(x for (v, _), x in w.items() if v == u)) for u in {u for u, _ in w}], "user_id long, t double")
+    fit, age = 1 - F.abs(F.col("difficulty") - 3) / 4.0, F.when(F.col("year").isNull(), 0.5).otherwise(learning.clip(1 - (2024 - F.col("year")) / 30.0))
+    quality = 0.5 * age + 0.5 * F.coalesce(F.col("rating") / 5.0, F.lit(0.5))
+    trust = F.when(F.col("trust") == "official", 1.0).when(F.col("trust") == "community", 0.5).otherwise(0.25)
+    scored = plain.join(total, "user_id").join(resources, "resource_id").select("user_id", "resource_id", "url", F.round(0.55 * F.col("w") / F.col("t") + 0.2 * fit + 0.15 * trust + 0.1 * quality, 6).alias("score"))
+    want = {}
+    for r in scored.collect():
+        want.setdefault(r.user_id, []).append((r.score is None, -(r.score or 0), r.url, r.resource_id))
+    got = {}
+    for r in found.orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.resource_id)
+    assert got == {u: [x[-1] for x in sorted(v)[:4]] for u, v in want.items()}
+    assert most_rows(found) < 3000 < scored.count()

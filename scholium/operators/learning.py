@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import heapq
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from scholium.operators.lexical import top_k
 from scholium.store import small, written
@@ -105,21 +107,38 @@ def topological(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     ``nodes`` (plan_id, concept_id, difficulty, verified, weight, slug) and
     ``needs`` (plan_id, concept_id, prerequisite). Of the concepts that are free,
     easier, verified, heavier, then by slug come first. A plan is a bounded closure, so
-    each is ordered in one group.
+    each is one row of lists, of which many go to Python at once.
     """
     listed = needs.groupBy("plan_id", "concept_id").agg(F.collect_set("prerequisite").alias("needs"))
-    rows = nodes.join(listed, ["plan_id", "concept_id"], "left")
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = set(pdf["concept_id"])
-        key = {r.concept_id: (r.difficulty, not r.verified, -r.weight, r.slug) for r in pdf.itertuples()}
-        waits = {r.concept_id: {x for x in (r.needs if r.needs is not None else ()) if x in inside and x != r.concept_id} for r in pdf.itertuples()}
-        place: dict = {}
-        while free := [c for c, w in waits.items() if c not in place and w <= place.keys()]:
-            place[min(free, key=key.__getitem__)] = len(place)
-        return pd.DataFrame({"plan_id": pdf["plan_id"], "concept_id": pdf["concept_id"], "position": pdf["concept_id"].map(place).astype("Int64")})
-
-    return rows.groupBy("plan_id").applyInPandas(order, f"plan_id {nodes.schema['plan_id'].dataType.simpleString()}, concept_id {nodes.schema['concept_id'].dataType.simpleString()}, position long")
+    row = F.struct("difficulty", (~F.col("verified")).alias("unverified"), (-F.col("weight")).alias("light"), "slug", "concept_id", F.coalesce("needs", F.array().cast(listed.schema["needs"].dataType)).alias("needs"))
+    plans = nodes.join(listed, ["plan_id", "concept_id"], "left").groupBy("plan_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    placed = plans.select("plan_id", F.col("rows.concept_id").alias("concept_id"), _places(F.col("rows.concept_id"), F.col("rows.needs")).alias("position"))
+    return placed.select("plan_id", F.explode(F.arrays_zip("concept_id", "position")).alias("p")).select("plan_id", "p.concept_id", "p.position")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _places(concepts: pa.Array, needs: pa.Array) -> pa.Array:
+    """The place of each concept of a plan, whose concepts come in order of preference; null on or behind a cycle."""
+
+    def places(plan: list, wanted: list) -> list:
+        at = {c: i for i, c in enumerate(plan)}
+        waits = [{at[x] for x in w if x in at and x != c} for c, w in zip(plan, wanted, strict=True)]
+        behind: dict[int, list[int]] = {}
+        for i in at.values():
+            for j in waits[i]:
+                behind.setdefault(j, []).append(i)
+        free, place = [i for i in at.values() if not waits[i]], {}
+        heapq.heapify(free)
+        while free:
+            i = heapq.heappop(free)
+            place[i] = len(place)
+            for j in behind.get(i, ()):
+                waits[j].discard(i)
+                if not waits[j]:
+                    heapq.heappush(free, j)
+        return [place.get(at[c]) for c in plan]
+
+    return pa.array([places(c, n) for c, n in zip(concepts.to_pylist(), needs.to_pylist(), strict=True)], pa.list_(pa.int64()))
 
 
 def plan(nodes: DataFrame, needs: DataFrame, mastered: DataFrame, hours_a_week: float = 5.0) -> DataFrame:
@@ -155,7 +174,7 @@ def unblocked(steps: DataFrame, done: DataFrame) -> DataFrame:
 
 def adapted(steps: DataFrame, nodes: DataFrame, needs: DataFrame, mastered: DataFrame) -> DataFrame:
     """A revised plan: completed steps stay in front, mastered ones go, new ones come, the rest is ordered anew."""
-    done = steps.where("status = 'completed'").select("plan_id", "concept_id", "position")
+    done = written(steps.where("status = 'completed'").select("plan_id", "concept_id", "position"), "completed-steps")
     rest = nodes.join(done.select("plan_id", "concept_id"), ["plan_id", "concept_id"], "left_anti").join(mastered.select("plan_id", "concept_id"), ["plan_id", "concept_id"], "left_anti")
     kept = done.withColumn("position", F.row_number().over(Window.partitionBy("plan_id").orderBy("position")) - 1)
     n = kept.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))

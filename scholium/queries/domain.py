@@ -6,6 +6,7 @@ from scholium.functions import safety as S
 from scholium.operators import evaluation as E, extraction as X, graph as G, learning as P, lexical as L, passages as C
 from scholium.queries.tables import CONCEPTS_SQL, EVENTS_SQL, PRICES_SQL, USAGE_SQL, attempts, chunks, concepts, edges, prices, progress_events, table, usage
 from scholium.registry import query
+from scholium.store import written
 from scholium.streaming import learners
 
 SEEDS_SQL = "seeds AS (SELECT concept_id AS seed FROM concepts)"
@@ -182,8 +183,8 @@ def _plan_inputs(spark, d):
     seeds, e, c = _graph(spark, d)
     found = G.closure(seeds, e, c).select(F.col("seed").alias("plan_id"), "concept_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     goals = seeds.select(F.col("seed").alias("plan_id"), F.col("seed").alias("concept_id"), F.lit(0.0).alias("weight"))
-    nodes = found.unionByName(goals).join(c.select("concept_id", "difficulty", "verified", "slug"), "concept_id")
-    needs = G.closure_edges(seeds, e).select(F.col("seed").alias("plan_id"), F.col("source_id").alias("concept_id"), F.col("target_id").alias("prerequisite"))
+    nodes = written(found.unionByName(goals).join(c.select("concept_id", "difficulty", "verified", "slug"), "concept_id"), "plan-nodes")
+    needs = written(G.closure_edges(seeds, e).select(F.col("seed").alias("plan_id"), F.col("source_id").alias("concept_id"), F.col("target_id").alias("prerequisite")), "plan-needs")
     return nodes, needs, nodes.where("concept_id % 5 = 0").select("plan_id", "concept_id")
 
 

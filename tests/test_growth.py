@@ -81,3 +81,20 @@ def test_recommendations_without_each_learner_meeting_each_resource(spark):
         got.setdefault(r.user_id, []).append(r.resource_id)
     assert got == {u: [x[-1] for x in sorted(v)[:4]] for u, v in want.items()}
     assert most_rows(found) < 3000 < scored.count()
+
+
+def test_plans_are_ordered_without_a_group_each(spark):
+    dice = random.Random(3)
+    nodes = [(p, c, dice.randrange(2), dice.random() < 0.5, dice.randrange(2) / 2, f"s{c}") for p in range(20) for c in range(p)]
+    needs = [(p, c, dice.choice([-1, dice.randrange(max(c, 1)), dice.randrange(p)])) for p, c, *_ in nodes for _ in range(dice.randrange(3))]
+    ordered = learning.topological(spark.createDataFrame(nodes, "plan_id long, concept_id long, difficulty int, verified boolean, weight double, slug string"), spark.createDataFrame(needs, "plan_id long, concept_id long, prerequisite long"))
+    want = {}
+    for p in range(20):
+        key = {c: (d, not v, -w, s) for q, c, d, v, w, s in nodes if q == p}
+        waits = {c: {x for q, y, x in needs if (q, y) == (p, c) and x in key and x != c} for c in key}
+        place = {}
+        while free := [c for c in key if c not in place and waits[c] <= place.keys()]:
+            place[min(free, key=key.__getitem__)] = len(place)
+        want |= {(p, c): place.get(c) for c in key}
+    assert {(r.plan_id, r.concept_id): r.position for r in ordered.collect()} == want and None in want.values()
+    assert "FlatMapGroups" not in ordered._jdf.queryExecution().executedPlan().toString()

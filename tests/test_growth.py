@@ -1,15 +1,18 @@
 """What queries make on their way grows with the input, not with the product of two of its sides."""
 
+import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from scholium.operators import catalogue, graph, learning
+from scholium.operators import catalogue, graph, learning, vector
 
 
-def most_rows(df) -> int:
-    """The rows of the largest intermediate result of a run."""
+def most_rows(df, step: str = "") -> int:
+    """The rows of the largest intermediate result of a run, or of its steps of one name."""
     df.collect()
 
     def walk(plan):
@@ -18,7 +21,7 @@ def most_rows(df) -> int:
             return walk(plan.executedPlan())
         if name.endswith("QueryStageExec"):
             return walk(plan.plan())
-        own = [plan.metrics().apply("numOutputRows").value()] if plan.metrics().contains("numOutputRows") else []
+        own = [plan.metrics().apply("numOutputRows").value()] if step in name and plan.metrics().contains("numOutputRows") else []
         below = plan.children()
         return max(own + [walk(below.apply(i)) for i in range(below.size())], default=0)
 
@@ -98,3 +101,42 @@ def test_plans_are_ordered_without_a_group_each(spark):
         want |= {(p, c): place.get(c) for c in key}
     assert {(r.plan_id, r.concept_id): r.position for r in ordered.collect()} == want and None in want.values()
     assert "FlatMapGroups" not in ordered._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_tokens_is_hashed_without_an_object_each(spark):
+    words = [f"word{i}" for i in range(300)]
+    rows = [random.Random(i).choices(words, k=500) for i in range(1000)] + [[], None]
+    tokens = pa.array(rows)
+    tracemalloc.start()
+    got = vector.hash_embedding(64).func(tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    for r, v in list(zip(rows, got.to_pylist(), strict=True))[::250] + [([], got[1000].as_py()), ([], got[1001].as_py())]:
+        want = [0.0] * 64
+        for t in r or []:
+            d = hashlib.blake2b(t.encode(), digest_size=8).digest()
+            want[int.from_bytes(d[:4], "big") % 64] += 1 if d[4] & 1 else -1
+        size = sum(x * x for x in want) ** 0.5
+        assert v == [x / size if size else 0.0 for x in want]
+
+
+def test_a_task_keeps_the_k_best_of_all_its_batches(spark, monkeypatch):
+    monkeypatch.setattr(vector, "CELLS", 100)
+    dice = random.Random(1)
+    rows = [(i, f"t{i % 2}" if i % 9 else None, [float(dice.randrange(3)) for _ in range(4)]) for i in range(600)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        vectors = spark.createDataFrame(rows, "vec_id long, tenant_id string, embedding array<double>").coalesce(1)
+        asked = vectors.where("vec_id % 50 = 1").withColumnRenamed("vec_id", "query_id")
+        for by_tenant in (False, True):
+            found = vector.cosine_top_k(asked, vectors, 3, by_tenant)
+            got = {}
+            for r in found.orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+            cos = lambda a, b: round(sum(map(float.__mul__, a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+            want = {q: sorted((-cos(a, b), i) for i, t, b in rows if any(b) and (not by_tenant or t == own))[:3] for q, own, a in rows if q % 50 == 1 and any(a) and (own or not by_tenant)}
+            assert got == want
+            assert most_rows(found.where("rank > 0").select("query_id"), "MapInArrow") <= 12 * 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -11,8 +11,8 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from scholium.operators.lexical import top_k
 from scholium.store import written
@@ -95,7 +95,7 @@ def adapted(steps: DataFrame, mastered: DataFrame, new: DataFrame | None = None,
     position). Completed steps stay, others that are mastered go, new ones stand last
     unless something needs them earlier. Open prerequisites are those neither
     mastered nor completed; steps that wait for each other are left out. A plan is
-    a bounded closure, so each is ordered in one group.
+    a bounded closure, so each is one row of lists, of which many go to Python at once.
     """
     key = [*by, "concept_id"]
     columns = [*key, "title", "position", "status", "blocked_by", "hours"]
@@ -111,8 +111,11 @@ def adapted(steps: DataFrame, mastered: DataFrame, new: DataFrame | None = None,
     open_ = kept.select(*key, F.explode("blocked_by").alias("_need")).join(met.select(*by, F.col("concept_id").alias("_need")).distinct(), [*by, "_need"], "left_anti")
     needs = open_.groupBy(*key).agg(F.sort_array(F.collect_set("_need")).alias("needs"))
     joined = kept.drop("blocked_by").join(needs, key, "left").withColumn("blocked_by", F.coalesce("needs", F.array().cast(steps.schema["blocked_by"].dataType))).drop("needs")
-    kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in [*key, "status", "blocked_by", "hours", "inserted"])
-    ordered = joined.groupBy(*by).applyInPandas(lambda pdf: _ordered(pdf, [*key, "status", "blocked_by", "hours", "inserted"]), f"{kinds}, position long")
+    row = F.struct("position", "inserted", F.coalesce("title", F.lit("")).alias("title"), "concept_id", "status", "blocked_by", "hours")
+    plans = joined.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    placed = plans.select(*by, F.col("rows"), _ordered(F.col("rows.concept_id"), F.col("rows.blocked_by")).alias("order"))
+    ordered = placed.select(*by, F.posexplode(F.transform("order", lambda i: F.get("rows", i))).alias("place", "r")).withColumn("position", F.col("place").cast("long"))
+    ordered = ordered.select(*by, *(F.col(f"r.{c}").alias(c) for c in ("concept_id", "status", "blocked_by", "hours", "inserted")), "position")
     whole = Window.partitionBy(*by)
     first = F.min(F.when(F.col("status") != "completed", F.col("position"))).over(whole)
     here = F.col("position") == F.col("_first")
@@ -120,26 +123,29 @@ def adapted(steps: DataFrame, mastered: DataFrame, new: DataFrame | None = None,
     return ordered.withColumn("_first", first).withColumn("status", status).select(*key, "position", "status", "blocked_by", "hours", "inserted")
 
 
-def _ordered(pdf: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
-    """The rows that can be put in order, each behind those that it waits for; the earliest of those that are free comes first."""
-    rows = list(pdf.itertuples(index=False))
-    at = {r.concept_id: i for i, r in enumerate(rows)}
-    waits = [{at[x] for x in r.blocked_by if x in at} for r in rows]
-    behind: dict[int, list[int]] = {}
-    for i, w in enumerate(waits):
-        for j in w:
-            behind.setdefault(j, []).append(i)
-    name = lambda i: (rows[i].position, rows[i].inserted, rows[i].title or "", rows[i].concept_id, i)
-    free, place = [name(i) for i, w in enumerate(waits) if not w], []
-    heapq.heapify(free)
-    while free:
-        i = heapq.heappop(free)[-1]
-        place.append(i)
-        for j in behind.get(i, ()):
-            waits[j].discard(i)
-            if not waits[j]:
-                heapq.heappush(free, name(j))
-    return pdf.iloc[place][columns].assign(position=range(len(place)))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _ordered(concepts: pa.Array, needs: pa.Array) -> pa.Array:
+    """Which rows of a plan can be put in order, in that order, each behind those that it waits for; rows come by preference, and the first of those that are free comes next."""
+
+    def order(plan: list, wanted: list) -> list[int]:
+        at = {c: i for i, c in enumerate(plan)}
+        waits = [{at[x] for x in w if x in at} for w in wanted]
+        behind: dict[int, list[int]] = {}
+        for i, w in enumerate(waits):
+            for j in w:
+                behind.setdefault(j, []).append(i)
+        free, place = [i for i, w in enumerate(waits) if not w], []
+        heapq.heapify(free)
+        while free:
+            i = heapq.heappop(free)
+            place.append(i)
+            for j in behind.get(i, ()):
+                waits[j].discard(i)
+                if not waits[j]:
+                    heapq.heappush(free, j)
+        return place
+
+    return pa.array([order(c, n) for c, n in zip(concepts.to_pylist(), needs.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
 
 class Plans:

@@ -8,7 +8,7 @@ import tracemalloc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from scholium.operators import catalogue, graph, learning, vector
+from scholium.operators import catalogue, graph, learning, revisions, vector
 
 
 def most_rows(df, step: str = "") -> int:
@@ -140,3 +140,11 @@ def test_a_task_keeps_the_k_best_of_all_its_batches(spark, monkeypatch):
             assert most_rows(found.where("rank > 0").select("query_id"), "MapInArrow") <= 12 * 3
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_revised_plans_are_ordered_without_a_group_each(spark):
+    steps = spark.createDataFrame([(u, 1, c, f"t{c}", c, "pending", [c + 1] if c % 2 == 0 else [], 1.0) for u in range(30) for c in range(4)], "user_id long, goal long, concept_id long, title string, position long, status string, blocked_by array<long>, hours double")
+    found = revisions.adapted(steps, steps.where("concept_id = 3").select("user_id", "goal", "concept_id"))
+    got = {(r.user_id, r.concept_id): r.position for r in found.collect()}
+    assert got == {(u, c): i for u in range(30) for i, c in enumerate((1, 0, 2))}
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The settings that each version covers.
@@ -65,27 +68,37 @@ def shortest(number: Column) -> Column:
     return named.when(few & usual, own).otherwise(_let(_let(exact, parts), plain))
 
 
-def canonical(value: Column, kind: T.DataType) -> Column:
+@F.arrow_udf(T.StringType())
+def _repr(numbers: pa.Array) -> pa.Array:
+    """The shortest decimals of a batch, each distinct double (by its bits) once."""
+    found = numbers.view(pa.int64()).dictionary_encode()
+    texts = pa.array([json.dumps(x) for x in found.dictionary.view(pa.float64()).to_pylist()], pa.string())
+    return texts.take(found.indices)
+
+
+def canonical(value: Column, kind: T.DataType, inner: bool = False) -> Column:
     """Compact JSON of a value: keys in order of code points, ASCII only, null fields kept.
 
     Structs, maps with keys of text, arrays, texts, integers, doubles and
-    booleans; other types have no text of their own here and are refused.
+    booleans; other types have no text of their own here and are refused. Doubles
+    go through Python, those ``inner`` to an array or a map, where no batch is at
+    hand, through ``shortest``.
     """
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
-        pairs = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType)) for f in fields]
+        pairs = [F.concat(F.lit(f"{json.dumps(f.name)}:"), canonical(value[f.name], f.dataType, inner)) for f in fields]
         out = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         keys = F.array_sort(F.map_keys(value))
-        out = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), canonical(value[k], kind.valueType))), ","), F.lit("}"))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), canonical(value[k], kind.valueType, True))), ","), F.lit("}"))
     elif isinstance(kind, T.ArrayType):
-        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType)), ","), F.lit("]"))
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType, True)), ","), F.lit("]"))
     elif isinstance(kind, T.StringType):
         out = quoted(value)
     elif isinstance(kind, (*_INTEGERS, T.BooleanType)):
         out = value.cast("string")
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        out = _let(value.cast("double"), shortest)
+        out = _let(value.cast("double"), shortest) if inner else _repr(value.cast("double"))
     else:
         raise TypeError(f"no canonical text of {kind.simpleString()}")
     return F.when(value.isNull(), "null").otherwise(out)

@@ -30,6 +30,17 @@ def test_doubles(spark):
     assert len(odd) < 10 and all(json.loads(t) == x for x, t in odd)
 
 
+def test_doubles_of_a_batch_and_within_arrays(spark):
+    """A field's double has the digits of the standard library, seventeen too; within an array it stays a column expression."""
+    rng = random.Random(11)
+    xs = [rng.choice((1, -1)) * rng.random() * 10.0 ** rng.randint(-12, 20) for _ in range(2000)] + [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, None, 2e-44, 2.0**-44, 1e23, 2.2250738585072014e-308]
+    rows = spark.createDataFrame([(i, (x,), [None if x is None else 0.25]) for i, x in enumerate(xs * 2)], "i int, x struct<v:double>, a array<double>")
+    made = rows.select("i", K.canonical(F.struct("x", "a"), rows.select("x", "a").schema).alias("t"))
+    assert {r.i: r.t for r in made.collect()} == {i: dumped({"x": {"v": x}, "a": [None if x is None else 0.25]}) for i, x in enumerate(xs * 2)}
+    narrow = spark.createDataFrame([(0.5,), (None,)], "x float").select(K.canonical(F.col("x"), T.FloatType()))
+    assert [r[0] for r in narrow.collect()] == ["0.5", "null"]
+
+
 def test_texts(spark):
     texts = ["", "plain", 'a "quote" \\ back', "tab\tline\nfeed\rform\fback\b", "\x00\x01\x1f\x7f", "naïve – “x” € 漢字 😀  ", "😀", None, "$1 \\u0041"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

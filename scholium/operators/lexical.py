@@ -40,16 +40,30 @@ def chunk_terms(chunks: DataFrame, keys=("tenant_id", "chunk_id")) -> DataFrame:
     return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """tenant_id, chunk_id, term as ``chunk_terms``, without tf: what document frequencies need.
+
+    A chunk's terms are told apart within its row, so that nothing is shuffled. Keys
+    of several rows are looked up first; only their terms go through ``chunk_terms``.
+    ``chunks`` are read twice: best written ones.
+    """
+    keys = ["tenant_id", "chunk_id"]
+    again = written(chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*(F.col(k).alias(f"_{k}") for k in keys)), "repeated-chunks")
+    same = F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}")) & F.col(keys[1]).eqNullSafe(F.col(f"_{keys[1]}"))
+    alone = chunks.join(small(again), same, "left_anti").select(*keys, F.explode(F.array_distinct(index_terms(F.col("tokens")))).alias("term"))
+    return alone.unionByName(chunk_terms(chunks.join(small(again), same, "left_semi")).drop("tf"))
+
+
 def doc_freq(terms: DataFrame) -> DataFrame:
     """Chunks per tenant and term; (chunk, term) is a key, so a count will do."""
     return terms.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def updated_doc_freq(old: DataFrame, terms: DataFrame, affected: DataFrame) -> DataFrame:
-    """doc_freq after a change: affected terms counted anew, vanished ones gone, the rest kept."""
+    """doc_freq after a change: affected terms counted anew, vanished ones gone, the rest kept. Terms meet the affected ones as counts, not row by row."""
     keys = ["tenant_id", "term"]
     touched = affected.select(*keys).distinct()
-    return old.join(touched, keys, "left_anti").unionByName(doc_freq(terms.join(touched, keys, "left_semi")))
+    return old.join(touched, keys, "left_anti").unionByName(doc_freq(terms).join(touched, keys, "left_semi"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

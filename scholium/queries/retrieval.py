@@ -81,7 +81,7 @@ def doc_freq(spark, d):
 @query("doc_freq_incremental", f"WITH {CHUNKS_SQL}, {TERMS_SQL} SELECT tenant_id, term, count(*) AS doc_freq FROM terms WHERE chunk_id % 10 <> 0 GROUP BY ALL")
 def doc_freq_incremental(spark, d):
     """The statistics after every tenth chunk was deleted, from those before and the terms affected."""
-    terms = L.chunk_terms(L.indexed(chunks(spark, d)))
+    terms = L.chunk_words(L.indexed(chunks(spark, d)))
     return L.updated_doc_freq(L.doc_freq(terms), terms.where("chunk_id % 10 <> 0"), terms.where("chunk_id % 10 = 0"))
 
 
@@ -93,7 +93,7 @@ def corpus_stats(spark, d):
 @query("idf_table", f"WITH {CHUNKS_SQL}, {TERMS_SQL}, {STATS_SQL} SELECT tenant_id, term, round(ln(1 + (doc_count - doc_freq + 0.5) / (doc_freq + 0.5)), 6) AS idf FROM df JOIN corpus USING (tenant_id)")
 def idf_table(spark, d):
     rows = L.indexed(chunks(spark, d))
-    return L.doc_freq(L.chunk_terms(rows)).join(L.corpus_stats(rows), "tenant_id").select("tenant_id", "term", F.round(L.idf(F.col("doc_count"), F.col("doc_freq")), 6).alias("idf"))
+    return L.doc_freq(L.chunk_words(rows)).join(L.corpus_stats(rows), "tenant_id").select("tenant_id", "term", F.round(L.idf(F.col("doc_count"), F.col("doc_freq")), 6).alias("idf"))
 
 
 @query("bm25_topk", f"{RETRIEVAL_SQL} SELECT query_id, tenant_id, chunk_id, score, rank FROM lexical")

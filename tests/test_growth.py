@@ -191,3 +191,18 @@ def test_documents_are_chunked_out_of_batches(spark):
         want += [(d, i, *r) for i, r in enumerate(kept)]
     assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[0] for r in got}) == 27
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequencies_do_not_shuffle_single_tokens(spark):
+    from scholium.operators import lexical
+
+    texts = [("t", 1, "b a a b c"), ("t", 2, "a the c"), ("t", 2, "c d"), ("u", 1, "a a"), ("u", None, "e e"), ("u", None, "e f"), (None, 5, "e"), ("t", 3, ""), *(("v", i, "x y " * 50) for i in range(40))]
+    rows = spark.createDataFrame([(t, c, x.split()) for t, c, x in texts], "tenant_id string, chunk_id long, tokens array<string>")
+    words = lexical.chunk_words(rows)
+    key = lambda r: (str(r.tenant_id), str(r.chunk_id), r.term)
+    assert sorted(map(key, words.collect())) == sorted(map(key, lexical.chunk_terms(rows).collect()))
+    one = rows.where("tenant_id = 'v'")
+    assert most_rows(lexical.doc_freq(lexical.chunk_words(one)), "Exchange") == 0 and most_rows(lexical.doc_freq(lexical.chunk_words(one)), "HashAggregate") < 40
+    left, gone = words.where("not (chunk_id <=> 2)"), words.where("chunk_id = 2")
+    new = lexical.updated_doc_freq(lexical.doc_freq(words), left, gone)
+    assert sorted((str(r.tenant_id), r.term, r.doc_freq) for r in new.collect()) == sorted((str(r.tenant_id), r.term, r.doc_freq) for r in lexical.doc_freq(left).collect())

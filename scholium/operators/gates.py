@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -26,23 +27,27 @@ from scholium.store import written
 EDGE = ["source_id", "target_id", "relation"]
 #: Where an edge stands in the order: document, chunk and place in the chunk of its first row.
 ORDER = ("first_document", "first_chunk", "first_seq")
+#: Edges that are still open up to which one task finds their components; beyond, joins take more away.
+LOCAL_EDGES = 500_000
 
 
 # ---- strongly connected components ---------------------------------------------
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, component of the nodes of ``edges`` (at, to) that lie on a cycle.
 
-    Nodes that no cycle holds are taken away; then the largest name that reaches a
-    node is its colour, and what reaches the namesake of a colour within it is one
-    component. The rest goes round again. Each step is a join over the edges that
-    are left, written; rounds end when none are.
+    Nodes that no cycle holds are taken away, by joins over the edges that are left,
+    which are written each time. Long chains need many such rounds for few edges, so
+    as soon as at most ``local_edges`` are left one task does the rest. If more are
+    left when no round takes any away, the largest name that reaches a node is its
+    colour, and what reaches the namesake of a colour within it is one component;
+    the rest goes round again.
     """
     open_, found = edges.select("at", "to").where("at <> to").distinct(), None
     while True:
-        open_ = written(on_cycles(open_), "open-edges")
-        if open_.isEmpty():
+        open_ = on_cycles(open_, local_edges)
+        if open_.count() <= local_edges:
             break
         colours = written(_colours(open_), "colours")
         same = open_.join(colours.withColumnRenamed("node", "at"), "at").join(colours.select(F.col("node").alias("to"), F.col("colour").alias("other")), "to")
@@ -57,9 +62,65 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = members if found is None else found.unionByName(members)
         gone = members.select("node")
         open_ = open_.join(gone.withColumnRenamed("node", "at"), "at", "left_anti").join(gone.withColumnRenamed("node", "to"), "to", "left_anti").select("at", "to")
-    if found is None:
-        return open_.select(F.col("at").alias("node"), F.col("at").alias("component"))
-    return found.select("node", F.col("colour").alias("component"))
+    rest = _few_components(open_)
+    return rest if found is None else rest.unionByName(found.select("node", F.col("colour").alias("component")))
+
+
+def _few_components(edges: DataFrame) -> DataFrame:
+    """node, component of few edges, in one task."""
+
+    def whole(batches):
+        both = pd.concat([pd.DataFrame({"at": [], "to": []}), *batches])
+        codes, names = pd.factorize(np.concatenate([both["at"].to_numpy(), both["to"].to_numpy()]))
+        groups = [names[g] for g in components(codes[: len(both)], codes[len(both) :], len(names))]
+        if groups:
+            yield pd.DataFrame({"node": np.concatenate(groups), "component": np.repeat([max(g) for g in groups], [len(g) for g in groups])})
+
+    kind = edges.schema["at"].dataType.simpleString()
+    return edges.select("at", "to").coalesce(1).mapInPandas(whole, f"node {kind}, component {kind}")
+
+
+def components(at: np.ndarray, to: np.ndarray, n: int) -> list[list[int]]:
+    """Strongly connected components of two and more of the nodes 0 to n - 1 (Tarjan's search, without recursion)."""
+    while len(at):  # nodes without an edge in or out are on no cycle
+        reached, leads = np.zeros(n, bool), np.zeros(n, bool)
+        reached[to], leads[at] = True, True
+        kept = reached[at] & leads[to]
+        if kept.all():
+            break
+        at, to = at[kept], to[kept]
+    order = np.argsort(at, kind="stable")
+    ahead, ends = to[order].tolist(), np.searchsorted(at[order], np.arange(n + 1)).tolist()
+    seen, low, place, waiting, out = [-1] * n, [0] * n, ends[:-1], [], []
+    count, held = 0, [False] * n
+    for start in np.unique(at).tolist():
+        path = [start] if seen[start] < 0 else []
+        while path:
+            v = path[-1]
+            if seen[v] < 0:
+                seen[v] = low[v] = count
+                count += 1
+                waiting.append(v)
+                held[v] = True
+            if place[v] < ends[v + 1]:
+                w = ahead[place[v]]
+                place[v] += 1
+                if seen[w] < 0:
+                    path.append(w)
+                elif held[w]:
+                    low[v] = min(low[v], seen[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                group = []
+                while not group or group[-1] != v:
+                    group.append(waiting.pop())
+                    held[group[-1]] = False
+                if len(group) > 1:
+                    out.append(group)
+    return out
 
 
 def _colours(edges: DataFrame) -> DataFrame:
@@ -101,10 +162,10 @@ class Ordered:
         self.ahead[a].add(b)
         self.behind[b].add(a)
 
-    def _region(self, start, links, inside) -> dict:
-        """Nodes that ``start`` leads to over ``links``, with their distance."""
+    def _region(self, start, links, inside, wanted=None, steps=float("inf")) -> dict:
+        """Nodes that ``start`` leads to over ``links``, with their distance; at most ``steps`` away, and none further than ``wanted``."""
         far, level = {start: 0}, [start]
-        while level:
+        while level and wanted not in far and far[level[0]] < steps:
             ahead = []
             for v in level:
                 for w in links[v]:
@@ -119,11 +180,11 @@ class Ordered:
         if a == b:
             return True
         if not self.has_order:
-            return 0 < self._region(b, self.ahead, lambda w: True).get(a, 0) <= self.max_depth
+            return a in self._region(b, self.ahead, lambda w: True, a, self.max_depth)
         last = self.place.get(a, -1)
         if self.place.get(b, last + 1) > last:
             return False
-        return 0 < self._region(b, self.ahead, lambda w: self.place[w] <= last).get(a, 0) <= self.max_depth
+        return a in self._region(b, self.ahead, lambda w: self.place[w] <= last, a, self.max_depth)
 
     def add(self, a, b) -> None:
         if b in self.ahead[a]:
@@ -154,23 +215,32 @@ def closing(known, proposed, max_depth: int = MAX_PATH) -> list[bool]:
     return out
 
 
-def cycle_gate(proposed: DataFrame, known: DataFrame, order: tuple[str, ...], max_depth: int = MAX_PATH) -> DataFrame:
+def _named(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows whose relation can close a cycle, with their ends (at, to) named by relation."""
+    node = lambda c: F.concat("relation", F.lit(":"), F.col(c).cast("string"))
+    return rows.where(F.col("relation").isin(*TRANSITIVE)).select(*EDGE, *more, node("source_id").alias("at"), node("target_id").alias("to"))
+
+
+def cycle_parts(proposed: DataFrame, known: DataFrame) -> DataFrame:
+    """node, component of all edges that could be there, whatever is refused of ``proposed``."""
+    return written(strong_components(_named(proposed).select("at", "to").unionByName(_named(known).select("at", "to"))), "components")
+
+
+def cycle_gate(proposed: DataFrame, known: DataFrame, order: tuple[str, ...], max_depth: int = MAX_PATH, parts: DataFrame | None = None) -> DataFrame:
     """Adds ``cycle`` to ``proposed`` (source_id, target_id, relation: one row an edge; enters; the columns of ``order``, which tell all rows apart).
 
     Edges are judged in order, each against ``known`` edges of its relation and the
     earlier ones that were not refused and that enter the graph. Relations other
     than ``TRANSITIVE`` close no cycle; an edge from a concept to itself does.
+    ``parts``: ``cycle_parts`` of these or of more edges.
     """
     own = F.col("relation").isin(*TRANSITIVE)
-    node = lambda c: F.concat("relation", F.lit(":"), F.col(c).cast("string"))
-    named = lambda rows, *more: rows.where(own).select(*EDGE, *more, node("source_id").alias("at"), node("target_id").alias("to"))
-    asked, there = written(named(proposed, "enters", *order), "asked"), written(named(known.select(*EDGE).distinct()), "known")
-    parts = written(strong_components(asked.select("at", "to").unionByName(there.select("at", "to"))), "components")
+    parts = cycle_parts(proposed, known) if parts is None else parts
 
     def within(rows: DataFrame) -> DataFrame:
         return rows.join(parts.withColumnRenamed("node", "at"), "at").join(parts.select(F.col("node").alias("to"), F.col("component").alias("other")), "to").where("component = other").drop("at", "to", "other")
 
-    rows = within(asked).withColumn("old", F.lit(False)).unionByName(within(there).withColumn("old", F.lit(True)), allowMissingColumns=True)
+    rows = within(_named(proposed, "enters", *order)).withColumn("old", F.lit(False)).unionByName(within(_named(known.select(*EDGE).distinct())).withColumn("old", F.lit(True)), allowMissingColumns=True)
     kinds = ", ".join(f"{c} {proposed.schema[c].dataType.simpleString()}" for c in EDGE)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,10 +304,10 @@ def _in_order(edges: DataFrame, known: DataFrame, per_document: int, max_depth:
     """
     open_ = edges.where("not circling")
     share = Window.partitionBy(ORDER[0]).orderBy(*ORDER[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    over, seen = None, None
+    over, seen, parts = None, None, cycle_parts(open_, known)
     while True:
         inside = open_ if over is None else open_.join(over, EDGE, "left_anti")
-        judged = written(cycle_gate(inside.select(*EDGE, "enters", *ORDER), known, ORDER, max_depth).select(*EDGE, "cycle"), "judged")
+        judged = written(cycle_gate(inside.select(*EDGE, "enters", *ORDER), known, ORDER, max_depth, parts).select(*EDGE, "cycle"), "judged")
         state = open_.join(judged, EDGE, "left").withColumn("written", F.col("enters") & F.coalesce(~F.col("cycle"), F.lit(False)))
         before = F.coalesce(F.sum(F.col("written").cast("long")).over(share), F.lit(0))
         over = written(state.withColumn("before", before).where(F.col("before") >= per_document).select(*EDGE, F.lit(True).alias("over")), "over-share")

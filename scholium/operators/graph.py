@@ -99,11 +99,11 @@ def knowledge_gap(goals: DataFrame, mastery: DataFrame, edges: DataFrame, concep
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def on_cycles(steps: DataFrame) -> DataFrame:
-    """``steps`` without those from a source or to a sink, round by round until none is left of these."""
+def on_cycles(steps: DataFrame, enough: int = 0) -> DataFrame:
+    """``steps`` without those from a source or to a sink, round by round until none is left of these, or at most ``enough`` steps are."""
     steps = written(steps, "steps")
     before = steps.count()
-    while before:
+    while before > enough:
         inner = steps.join(steps.select(F.col("to").alias("at")).distinct(), "at", "left_semi")
         steps = written(inner.join(inner.select(F.col("at").alias("to")).distinct(), "to", "left_semi"), "steps")
         after = steps.count()

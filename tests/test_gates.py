@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from scholium.operators import gates
+from scholium.operators import gates, graph
 from scholium.queries import gates as queries
 
 D = "/root/testdata/sf0.001"
@@ -53,6 +54,37 @@ def test_strong_components(spark, seed):
     assert {frozenset(g) for g in groups.values()} == plain_components(pairs)
 
 
+@pytest.mark.parametrize("local_edges", [0, 10])
+def test_strong_components_by_joins(spark, local_edges):
+    """More open edges than one task takes: the rounds of joins go on, to the end or until few are left."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(20), rng.randrange(20)) for _ in range(26)] + [(100, 101), (101, 100)]
+    groups = defaultdict(set)
+    for r in gates.strong_components(spark.createDataFrame(pairs, "at long, to long"), local_edges).collect():
+        groups[r.component].add(r.node)
+    assert {frozenset(g) for g in groups.values()} == plain_components(pairs)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_components_of_few_edges(seed):
+    rng = random.Random(seed)
+    n = rng.choice([2, 6, 30])
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([n, 2 * n]))]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    at, to = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
+    assert {frozenset(g) for g in gates.components(at, to, n)} == plain_components(pairs)
+
+
+def test_long_chain_needs_few_jobs(spark):
+    """A chain of 300 concepts with a cycle at its end: rounds of peeling do not grow with its length."""
+    pairs = [(i, i + 1) for i in range(300)] + [(300, 299)]
+    calls, plain = [], graph.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(graph, "written", lambda df, name: calls.append(name) or plain(df, name))
+        got = gates.strong_components(spark.createDataFrame(pairs, "at long, to long")).collect()
+    assert {(r.node, r.component) for r in got} == {(299, 300), (300, 300)} and len(calls) < 5
+
+
 def test_no_cycle_no_component(spark):
     assert gates.strong_components(spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "at long, to long")).count() == 0
     assert gates.strong_components(spark.createDataFrame([], "at long, to long")).count() == 0

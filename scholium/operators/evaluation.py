@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scholium.operators.lexical import spread
-from scholium.store import small, written
+from scholium.store import fits, small, written
 
 # What marks an answer as a refusal.
 REFUSALS = ("i don't have enough information", "not enough information", "not enough evidence", "insufficient evidence", "cannot answer", "can't answer", "cannot be answered", "do not have enough context")
@@ -38,10 +39,48 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, chunk_id of the texts (chunk_id, text) that hold an item (query_id, item).
 
     The words of an item but the first and the last are whole words of a text that
-    holds it. So three of them, the longest that follow one another, find the
-    candidates by an equi-join, and ``contains`` decides. Items of fewer than five
-    words are compared with every text.
+    holds it. So three of them that follow one another, the longest, find the
+    candidates, and whether the text contains the item decides. Items that are few
+    enough go to the texts, which are read in one pass and not shuffled; more meet
+    them by an equi-join. Items of fewer than five words are compared with every text.
     """
+    n = F.size(F.filter(F.split(F.col("item"), r"\s+"), lambda w: w != ""))
+    keyed = items.where(n >= 5).select("query_id", "item")
+    found = _held_by_few(docs, keyed) if fits(keyed) else _held_by_join(docs, keyed)
+    short = items.where(n < 5)
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(short, F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id"))
+
+
+def _held_by_few(docs: DataFrame, items: DataFrame) -> DataFrame:
+    rows = [tuple(r) for r in items.collect()]  # its size was checked
+    keys: dict[tuple[str, ...], list[int]] = {}
+    for i, (_, item) in enumerate(rows):
+        inner = item.split()[1:-1]
+        keys.setdefault(max(zip(inner, inner[1:], inner[2:], strict=False), key=lambda g: sum(map(len, g))), []).append(i)
+    sent = docs.sparkSession.sparkContext.broadcast((rows, keys))
+    kinds = f"query_id {items.schema['query_id'].dataType.simpleString()}, chunk_id {docs.schema['chunk_id'].dataType.simpleString()}"
+
+    def find(batches):
+        rows, keys = sent.value
+        asked = keys.keys()
+        for batch in batches:
+            who, at = [], []
+            for place, text in enumerate(batch.column("text").to_pylist()):
+                words = text.split() if text else []
+                for gram in set(zip(words, words[1:], words[2:], strict=False)) & asked if len(words) > 2 else ():
+                    for i in keys[gram]:
+                        if rows[i][1] in text:
+                            who.append(rows[i][0])
+                            at.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array(who, ids), batch.column("chunk_id").take(pa.array(at, pa.int64()))], ["query_id", "chunk_id"])
+
+    ids = {"integer": pa.int32(), "long": pa.int64(), "string": pa.string()}[items.schema["query_id"].dataType.typeName()]
+    return spread(docs.select("chunk_id", "text")).mapInArrow(find, kinds)
+
+
+def _held_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     both = lambda x, y: F.concat_ws(" ", x, y)
     rest = lambda w, i: F.slice(w, F.lit(i), F.greatest(F.size(w), F.lit(1)))
@@ -49,14 +88,10 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = F.size(words(F.col("item")))
     inner = F.slice(words(F.col("item")), F.lit(2), F.greatest(n - 2, F.lit(0)))
     longest = F.array_max(F.transform(F.slice(grams(inner), F.lit(1), F.greatest(n - 4, F.lit(0))), lambda g: F.struct(F.length(g).alias("size"), g.alias("gram"))))
-    keys = items.where(n >= 5).select("query_id", longest["gram"].alias("gram"))
+    keys = items.select("query_id", longest["gram"].alias("gram"))
     said = spread(docs).select("chunk_id", F.explode(F.array_distinct(grams(words(F.col("text"))))).alias("gram"))
     likely = said.join(small(keys), "gram").select("query_id", "chunk_id").distinct().join(items, "query_id").join(docs, "chunk_id")
-    found = likely.where(F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id")
-    short = items.where(n < 5)
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(short, F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id"))
+    return likely.where(F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id")
 
 
 def question_metrics(semantic: DataFrame, lexical: DataFrame, fused: DataFrame, final: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scholium.functions.text import index_terms, is_term, may_change, tokenize
-from scholium.store import small, written
+from scholium.store import fits, small, written
 
 K1, B = 1.2, 0.75
+#: Parts of scores that a task adds up at a time.
+PIECE = 1_000_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -98,11 +102,86 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = 20, k1: float = K1, b
     stats = small(written(doc_freq(terms), "asked-frequencies"))
     lengths = chunks.select("tenant_id", "chunk_id", "token_count")
     found = terms.join(stats, key).join(small(written(corpus_stats(chunks), "corpus-stats")), "tenant_id").join(lengths, ["tenant_id", "chunk_id"])
-    parts = found.select("tenant_id", "chunk_id", "term", part(k1, b).alias("part")).join(small(asked), key)
+    rows = found.select("tenant_id", "chunk_id", "term", part(k1, b).alias("part"))
+    if rows.schema["chunk_id"].dataType.typeName() in ("integer", "long") and fits(asked):
+        return top_k(_best_of_tasks(rows, asked, k), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    parts = rows.join(small(asked), key)
     total = parts.groupBy("query_id", "tenant_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(total, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
+def _best_of_tasks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, tenant_id, chunk_id, score: of each task the k best chunks of every question.
+
+    ``rows`` (tenant_id, chunk_id, term, part) come sorted by chunk; the few rows of
+    ``asked`` go to the tasks. A chunk's parts are added up where they are and only
+    the k best are kept, so that pairs of questions and chunks are neither shuffled
+    nor held.
+    """
+    said = sorted(map(tuple, asked.select("tenant_id", "term", "query_id").where("tenant_id is not null").collect()))  # its size was checked
+    terms = {t: i for i, t in enumerate(dict.fromkeys((tenant, term) for tenant, term, _ in said))}
+    names = list(dict.fromkeys((query, tenant) for tenant, _, query in said))
+    place = {q: i for i, q in enumerate(names)}
+    of_term = np.array([terms[tenant, term] for tenant, term, _ in said], np.int64)
+    starts = np.searchsorted(of_term, np.arange(len(terms) + 1))
+    questions = np.array([place[query, tenant] for tenant, _, query in said], np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast((starts, questions, np.unique([t for t, _ in terms], return_inverse=True)[1], names))
+    numbers = rows.sparkSession.createDataFrame([(*t, i) for t, i in terms.items()], "tenant_id string, term string, number long")
+    fields = [asked.schema["query_id"], rows.schema["tenant_id"], rows.schema["chunk_id"]]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", score double"
+
+    def best(batches):
+        starts, questions, tenants, names = sent.value
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # question, chunk, score: the k best so far
+        floor = np.full(len(names), -np.inf)
+
+        def add(chunk, number, part):
+            """Takes whole chunks, whose rows follow one another."""
+            nonlocal kept
+            new = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (tenants[number[1:]] != tenants[number[:-1]])])
+            times = starts[number + 1] - starts[number]
+            owner = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(chunk)]))
+            upto = np.r_[0, np.cumsum(times)]
+            at = 0
+            while at < len(new):
+                end = max(at + 1, int(np.searchsorted(upto[np.r_[new, len(chunk)]], upto[new[at]] + PIECE, side="right")) - 1)
+                span = slice(new[at], new[end] if end < len(new) else len(chunk))
+                many = times[span]
+                asks = questions[np.repeat(starts[number[span]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+                pairs, back = np.unique(np.repeat(owner[span], many) * len(names) + asks, return_inverse=True)
+                score = np.floor(np.bincount(back, np.repeat(part[span], many)) * 1e6 + 0.5) / 1e6
+                who, what = pairs % len(names), chunk[new[pairs // len(names)]]
+                able = score >= floor[who]
+                who, what, score = (np.concatenate([a, b[able]]) for a, b in zip(kept, (who, what, score), strict=True))
+                order = np.lexsort((what, -score, who))
+                who, what, score = who[order], what[order], score[order]
+                nth = np.arange(len(who)) - np.searchsorted(who, who)
+                floor[who[nth == k - 1]] = score[nth == k - 1]
+                kept = [x[nth < k] for x in (who, what, score)]
+                at = end
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "number", "part")]
+            chunk, number, part = now if rest is None else (np.concatenate(x) for x in zip(rest, now, strict=True))
+            last = (chunk == chunk[-1]) & (tenants[number] == tenants[number[-1]])  # may go on in the next batch
+            if not last.all():
+                add(chunk[~last], number[~last], part[~last])
+            rest = [chunk[last], number[last], part[last]]
+        if rest is not None:
+            add(*rest)
+        who, what, score = kept
+        for i in range(0, len(who), 10_000):
+            ids = [names[w] for w in who[i : i + 10_000]]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in ids]), pa.array([t for _, t in ids]), pa.array(what[i : i + 10_000]), pa.array(score[i : i + 10_000])], ["query_id", "tenant_id", "chunk_id", "score"]).cast(kinds)
+
+    kinds = pa.schema([pa.field(f.name, {"integer": pa.int32(), "long": pa.int64(), "string": pa.string()}[f.dataType.typeName()]) for f in fields] + [pa.field("score", pa.float64())])
+    ordered = rows.join(F.broadcast(numbers), ["tenant_id", "term"]).select("tenant_id", "chunk_id", "number", "part").repartition("tenant_id", "chunk_id").sortWithinPartitions("tenant_id", "chunk_id", "number")
+    return ordered.mapInArrow(best, schema)
+
+
 def part(k1: float = K1, b: float = B, tf: str | Column = "tf", length: str | Column = "token_count") -> Column:
     """What a term adds to a chunk's score; rows have doc_count, doc_freq and avg_doc_len. It grows with tf and falls with the length."""
     tf, length = (F.col(x) if isinstance(x, str) else x for x in (tf, length))

@@ -34,7 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes."""
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcasting if it has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes."""
-    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(df, rows) else df

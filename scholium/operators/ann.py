@@ -25,6 +25,8 @@ SAMPLE, ROUNDS, MOST_LISTS = 20_000, 12, 1024
 TRIALS, TARGET = 256, 0.97
 #: Vectors of a list that meet its questions at a time; a larger list is spread over tasks.
 SLICE = 16_384
+#: Rows that a task makes at a time where rows are repeated for each of their lists.
+REPEATED = 16_384
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -64,6 +66,17 @@ def probes_needed(vectors: np.ndarray, centres: np.ndarray, k: int = 20, target:
     return int(needed[min(len(needed) - 1, int(target * len(needed)))]) + 1
 
 
+def closest(batches, centres: np.ndarray, many: int, columns: list[str]):
+    """Rows of ``columns`` with list, once for each of their ``many`` nearest lists, at most about ``REPEATED`` at a time: there may be a thousand lists."""
+    step = max(1, REPEATED // many)
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            rows = pdf.iloc[at : at + step].reset_index(drop=True)
+            near = unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64)) @ centres.T
+            lists = np.argsort(-near, axis=1, kind="stable")[:, :many]
+            yield rows.loc[rows.index.repeat(lists.shape[1]), columns].assign(list=lists.ravel())
+
+
 @dataclass
 class Lists:
     """Every vector ([tenant_id,] vec_id, embedding) with its list and slice, and how many slices a list has."""
@@ -79,15 +92,7 @@ class Lists:
         sent = rows.sparkSession.sparkContext.broadcast(self.centres)  # at most MOST_LISTS rows
         schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
 
-        def closest(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                near = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)) @ sent.value.T
-                lists = np.argsort(-near, axis=1, kind="stable")[:, :many]
-                yield pdf.loc[pdf.index.repeat(lists.shape[1]), columns].assign(list=lists.ravel())
-
-        return rows.select(columns).mapInPandas(closest, f"{schema}, list long")
+        return rows.select(columns).mapInPandas(lambda batches: closest(batches, sent.value, many, columns), f"{schema}, list long")
 
     def search(self, questions: DataFrame, k: int = 20, probes: int | None = None) -> DataFrame:
         """query_id, vec_id, score, rank of questions (query_id, embedding[, tenant_id]); ties by id, zero vectors match nothing."""

@@ -1,5 +1,7 @@
 """Approximate search against the exact one."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,14 @@ def test_few_vectors(spark, n):
     rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<double>")
     asked = spark.createDataFrame([(7, [1.0, 0.5])], "query_id long, embedding array<double>")
     assert ann.fitted(rows).search(asked, 2).count() == min(n, 2)
+
+
+def test_repeated_rows_come_in_pieces(monkeypatch):
+    """A question that looks into many lists is repeated for each: not a whole batch of them at once."""
+    monkeypatch.setattr(ann, "REPEATED", 100)
+    rng = np.random.default_rng(3)
+    centres, rows = rng.normal(size=(40, 8)), pd.DataFrame({"vec_id": range(30), "embedding": list(rng.normal(size=(30, 8)))}, index=range(5, 35))
+    got = list(ann.closest([rows, rows[:0]], centres, 25, ["vec_id", "embedding"]))
+    assert max(map(len, got)) <= 100 and sum(map(len, got)) == 30 * 25
+    near = np.argsort(-(ann.unit(np.stack(rows["embedding"])) @ centres.T), axis=1, kind="stable")[:, :25]
+    assert np.array_equal(pd.concat(got)["list"].to_numpy(), near.ravel()) and pd.concat(got)["vec_id"].tolist() == np.repeat(range(30), 25).tolist()

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
 import hashlib
+import uuid
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from scholium.store import shared_folder
+
 GOLDEN = "id string, question string, expected_answer string, expected_sources array<string>, category string, notes string"
+#: Bytes of names and texts that one task of a corpus' hash reads.
+PIECE_BYTES = 256 << 20
 # File types, and parts of names that tell a source type, first hit wins.
 TEXT_TYPES, BINARY_TYPES = (".txt", ".md", ".markdown"), (".pdf", ".docx")
 SOURCE_HINTS = (
@@ -50,23 +58,78 @@ def markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("filename"), F.col("value").alias("text"))
 
 
-def corpus_hash(docs: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the stream of name, zero byte, content, zero byte, in order of name.
+class _Sha256:
+    """SHA-256 whose state can be handed on: OpenSSL's, which hashlib itself calls."""
 
-    One stream has one hash state, so a single task sees all rows, one batch at a
-    time and in constant memory: meant for evaluation corpora. ``ranged_corpus_hash``
-    spreads the work.
-    """
+    SIZE = 112  # eight words of state, the length in bits, a block that is not full, and how full it is
 
-    def fold(frames):
-        state = hashlib.sha256()
-        for pdf in frames:
-            for name, text in zip(pdf["filename"], pdf["text"], strict=True):
-                state.update(f"{name}\0{text or ''}\0".encode())
-        yield pd.DataFrame({"corpus_hash": [state.hexdigest()]})
+    def __init__(self, state: bytes | None = None):
+        self.lib, self.state = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(state or b"", 2 * self.SIZE)
+        if state is None:
+            self.lib.SHA256_Init(self.state)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.state, data, ctypes.c_size_t(len(data)))
+
+    def so_far(self) -> bytes:
+        return self.state.raw[: self.SIZE]
 
-    ordered = docs.select("filename", "text").repartition(1).sortWithinPartitions("filename")
-    return ordered.mapInPandas(fold, "corpus_hash string")
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.lib.SHA256_Final(out, ctypes.create_string_buffer(self.so_far(), 2 * self.SIZE))
+        return out.raw.hex()
+
+
+def _can_be_handed_on() -> bool:
+    """Whether this Python's hashlib uses a shared OpenSSL that still has the functions."""
+    try:
+        state = _Sha256()
+        state.update(b"ab")
+        state = _Sha256(state.so_far())
+        state.update(b"c" * 100)
+        return state.hexdigest() == hashlib.sha256(b"ab" + b"c" * 100).hexdigest()
+    except (AttributeError, OSError, TypeError):
+        return False
+
+
+def corpus_hash(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """One row: SHA-256 of the stream of name, zero byte, content, zero byte, in order of name.
+
+    A null name is left out, a null text is empty, no rows give null. Equal names
+    stand in order of their texts. One stream has one hash state, so rows are dealt out by
+    ranges of names, in pieces of about ``piece_bytes``; one task after the other hashes a
+    piece, in constant memory, and hands its state (112 bytes) to the next.
+    ``ranged_corpus_hash`` has all ranges hashed at once, and is another hash.
+    """
+    rows = docs.select("filename", "text").where("filename is not null")
+    size = rows.agg(F.sum(F.octet_length("filename") + F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+    pieces = -(-size // piece_bytes) if _can_be_handed_on() else 1
+
+    def hashed(piece: DataFrame, state: bytes | None, last: bool) -> DataFrame:
+        def fold(batches):
+            own, some = (_Sha256(state) if pieces > 1 else hashlib.sha256()), state is not None
+            for batch in batches:
+                for name, text in zip(batch.column("filename").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    own.update(f"{name}\0{text or ''}\0".encode())
+                    some = True
+            out = pa.array([own.hexdigest() if some else None]) if last else pa.array([own.so_far() if some else None], pa.binary())
+            yield pa.RecordBatch.from_arrays([out.cast(pa.string()) if last else out], ["corpus_hash"])
+
+        folded = piece.sortWithinPartitions("filename", "text").mapInArrow(fold, "corpus_hash string" if last else "corpus_hash binary")
+        alone = F.lit(_Sha256(state).hexdigest() if state else None) if last else F.lit(state)  # a piece may have no rows
+        return folded.agg(F.coalesce(F.max("corpus_hash"), alone).alias("corpus_hash"))
+
+    if pieces < 2:
+        return hashed(rows.repartition(1), None, True)
+    path, state = f"{shared_folder(docs.sparkSession)}/hash-pieces-{uuid.uuid4().hex}", None
+    rows.repartitionByRange(pieces, "filename").withColumn("piece", F.spark_partition_id()).write.partitionBy("piece").parquet(path)
+    dealt = docs.sparkSession.read.schema("filename string, text string, piece int").parquet(path)
+    for i in range(pieces):
+        piece = dealt.where(F.col("piece") == i).select("filename", "text").coalesce(1)
+        if i == pieces - 1:
+            return hashed(piece, state, True)
+        state = hashed(piece, state, False).first()[0]
+        state = state and bytes(state)
 
 
 def ranged_corpus_hash(docs: DataFrame, ranges: int = 256) -> DataFrame:

@@ -1,6 +1,9 @@
 """Catalogue search against a plain scan, and other repairs."""
 
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from scholium.operators import catalogue as C, learning
 from scholium.sources import files
@@ -58,6 +61,24 @@ def test_corpus_hash_tells_null_from_empty(spark):
     assert len(set(kinds)) == 5 and of(("b", None), ("a", "x")) == kinds[1]
 
 
+def test_corpus_hash_in_pieces(spark):
+    """One hash, whatever the pieces are: no task reads more than one of them."""
+    texts = [(f"{i:03}", None if i % 17 == 3 else f"text ü {i}" * (i % 9)) for i in range(200)]
+    want = hashlib.sha256("".join(f"{a}\0{b or ''}\0" for a, b in sorted(texts, key=lambda x: x[0])).encode()).hexdigest()
+    docs = spark.createDataFrame([*reversed(texts), (None, "left out")], "filename string, text string").repartition(3)
+    assert [files.corpus_hash(docs, n).first()[0] for n in (1 << 20, 5000, 300)] == [want] * 3
+    one = docs.where("filename = '005' or filename is null").unionByName(docs.where("filename = '005'"))  # more pieces than names
+    assert files.corpus_hash(one, 10).first()[0] == hashlib.sha256(f"005\0{texts[5][1]}\0".encode() * 2).hexdigest()
+    assert files.corpus_hash(docs.where("false")).collect()[0][0] is None
+
+
+def test_corpus_hash_hands_its_state_on(spark):
+    docs = spark.range(3000).selectExpr("cast(id as string) filename", "repeat('x', 1000) text")
+    got = files.corpus_hash(docs, 500_000)
+    sizes = [r[0] for r in spark.read.parquet(*got.inputFiles()).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 1500 and got.first()[0] == hashlib.sha256("".join(f"{k}\0{'x' * 1000}\0" for k in sorted(map(str, range(3000)))).encode()).hexdigest()
+
+
 def test_mastery_reads_a_written_reference(spark):
     rows = spark.sql("select 1L user_id, 2L concept_id, 0.5D value, 1.0D weight, timestamp'2024-01-01' at, 0L seq")
     assert "latest-observations" in learning.mastery(rows)._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,9 @@
 """The stored index against BM25 over the chunks themselves, through changes and broken runs."""
 
 import random
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from scholium.operators import index as I, lexical as L
@@ -104,3 +106,53 @@ def test_blocks_are_left_out(spark, first, tmp_path):
     index._ranked = lambda blocks, *a: (seen.append(blocks.count()), ranked_before(blocks, *a))[1]
     assert ranked(index.bm25(asked, k=5)) == ranked(L.bm25(asked, chunks, k=5))
     assert seen[0] < index.table("postings").where("term in ('usual', 'common')").count()
+
+
+def test_terms_are_counted_within_their_chunk(monkeypatch):
+    """Whatever is counted at a time; null and empty lists of tokens have no terms."""
+    monkeypatch.setattr(I, "TOKENS", 50)
+    rng = random.Random(5)
+    said = [None, [], ["the"], *([rng.choice([*WORDS, "the", "and"]) for _ in range(rng.randrange(80))] for _ in range(60))]
+    batch = pa.RecordBatch.from_pylist([{"tenant_id": None if i == 9 else "t", "document_id": i, "chunk_id": i, "token_count": len(x or []), "tokens": x} for i, x in enumerate(said)],
+                                       pa.schema([("tenant_id", pa.string()), ("document_id", pa.int64()), ("chunk_id", pa.int64()), ("token_count", pa.int64()), ("tokens", pa.list_(pa.string()))]))
+    got = [r for b in I._counted([batch.slice(0, 40), batch.slice(40)]) for r in b.to_pylist()]
+    assert [r["chunk_id"] for r in got] == list(range(len(said)))
+    assert [dict(zip(r["terms"], r["tfs"], strict=True)) for r in got] == [dict(Counter(w for w in x or [] if w.startswith("w"))) for x in said]
+
+
+def test_blocks_of_long_runs(monkeypatch):
+    """Every posting is in one block of its term, whatever its batch, and none is beyond its block's bounds."""
+    monkeypatch.setattr(I, "HELD", 40)
+    rng = random.Random(6)
+    rows = [{"tenant_id": t, "term": w, "tf": rng.randrange(1, 9), "token_count": rng.randrange(1, 99), "chunk_id": i, "bucket": 3} for t, w, n in (("a", "x", 7), ("b", "x", 200), (None, "y", 1), ("a", "y", 40), ("a", "z", 8)) for i in range(n)]
+    table = pa.Table.from_pylist(rows, pa.schema([("tenant_id", pa.string()), ("term", pa.string()), ("tf", pa.int64()), ("token_count", pa.int64()), ("chunk_id", pa.int64()), ("bucket", pa.int32())]))
+    for size in (1, 7, 33, 500):
+        found = defaultdict(list)
+        for b in (r for x in I._folded(8)(table.to_batches(size)) for r in x.to_pylist()):
+            assert 1 <= b["n"] == len(b["postings"]) <= 8 and b["bucket"] == 3
+            assert b["top_tf"] == max(p["tf"] for p in b["postings"]) and b["least_length"] == min(p["token_count"] for p in b["postings"])
+            found[b["tenant_id"], b["term"]] += [(p["tf"], p["token_count"], p["chunk_id"]) for p in b["postings"]]
+        want = defaultdict(list)
+        for r in rows:
+            want[r["tenant_id"], r["term"]].append((r["tf"], r["token_count"], r["chunk_id"]))
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_terms_move_once(spark, first, tmp_path):
+    """Terms are shuffled to their bucket, and by nothing else: neither counted nor put in order by a shuffle of their own."""
+    index = I.Index(spark, f"file://{tmp_path}/index", buckets=2, block=4)
+    seen, put = {}, index._put
+    index._put = lambda df, name, gen: (seen.setdefault(name, df), put(df, name, gen))[1]
+    index.put(first)
+    plan = lambda name: seen[name]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("postings").count("RepartitionByExpression") == 1 and not any(x in plan("postings") for x in ("Aggregate", "Join", "Window"))
+    assert not any(x in plan("chunks") for x in ("Aggregate", "Join", "Repartition"))
+
+
+def test_repeated_chunks_are_one(spark, asked, tmp_path):
+    """Rows of one chunk and length are added up."""
+    texts = [("t0", 1, 1, "w1 w2"), ("t0", 1, 1, "w2 w3"), ("t0", 2, 2, "w1 w5 w6"), ("t1", 3, 3, "w1")]
+    index = I.Index(spark, f"file://{tmp_path}/index", buckets=2, block=4)
+    index.put(L.analysed(spark.createDataFrame(texts, "tenant_id string, document_id long, chunk_id long, text string")))
+    got = {(r.tenant_id, r.term): sorted((p.tf, p.chunk_id) for p in r.postings) for r in index.table("postings").where("term in ('w1', 'w2')").collect()}
+    assert got == {("t0", "w1"): [(1, 1), (1, 2)], ("t0", "w2"): [(2, 1)], ("t1", "w1"): [(1, 3)]}

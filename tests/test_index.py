@@ -156,3 +156,21 @@ def test_repeated_chunks_are_one(spark, asked, tmp_path):
     index.put(L.analysed(spark.createDataFrame(texts, "tenant_id string, document_id long, chunk_id long, text string")))
     got = {(r.tenant_id, r.term): sorted((p.tf, p.chunk_id) for p in r.postings) for r in index.table("postings").where("term in ('w1', 'w2')").collect()}
     assert got == {("t0", "w1"): [(1, 1), (1, 2)], ("t0", "w2"): [(2, 1)], ("t1", "w1"): [(1, 3)]}
+
+
+def test_what_was_replaced_meets_sums(spark, asked, first, changed, tmp_path, monkeypatch):
+    """Where too many chunks were replaced to be sent, a question's sums by chunk are shuffled to them, not its postings."""
+    index = I.Index(spark, f"file://{tmp_path}/index", buckets=2, block=8)
+    index.put(first)
+    index.put(changed)
+    monkeypatch.setattr(I, "small", lambda df: df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = index.bm25(asked, k=5)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("LeftAnti") == 1 and plan.index("LeftAnti") < plan.index("Aggregate [query_id")
+    now = after(first, changed, changed.select("tenant_id", "document_id").distinct())
+    assert ranked(got) == ranked(L.bm25(asked, now, k=5))
